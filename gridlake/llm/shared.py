@@ -111,7 +111,7 @@ def prefix_hashes(buf: np.ndarray) -> np.ndarray:
         t = buf[i:j].astype(np.uint64)
         t += np.uint64(1)
         t *= pw[i:j]
-        t[0] += acc
+        t[:1] += acc
         np.cumsum(t, out=p[i + 1 : j + 1])
         acc = p[j]
     return p
