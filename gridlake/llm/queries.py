@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import ngram_join, ogg, secrets
+from gridlake.llm import language_model, ngram_join, ogg, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
@@ -24,5 +32,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op7_ngram_join": op7_ngram_join, "op9_media": op9_media}
+QUERIES = {"op3_secrets": op3_secrets, "op4_language_model": op4_language_model, "op6_url_filter": op6_url_filter, "op7_ngram_join": op7_ngram_join, "op9_media": op9_media}
 ORACLE: dict[str, str] = {}
