@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import language_model, ngram_join, ogg, secrets, url_filter
+from gridlake.llm import language_model, ngram_join, ogg, secrets, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -32,5 +36,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op4_language_model": op4_language_model, "op6_url_filter": op6_url_filter, "op7_ngram_join": op7_ngram_join, "op9_media": op9_media}
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_secrets": op3_secrets, "op4_language_model": op4_language_model, "op6_url_filter": op6_url_filter, "op7_ngram_join": op7_ngram_join, "op9_media": op9_media}
 ORACLE: dict[str, str] = {}
