@@ -1,8 +1,61 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's documents."""
 
-STAGES = []
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridlake.llm import decontaminate, mixing, ngram_join, secrets, toxicity
+from gridlake.llm.shared import checkpoint_dir
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below their language's toxicity threshold."""
+    return toxicity.keep_clean(docs, _table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id."""
+    return ngram_join.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.remove(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts."""
+    return secrets.redact(docs)
+
+
+def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sampling rate for each document, such that the mixture meets its target weights."""
+    return mixing.mix(docs, _table(spark, sf_dir, "labels"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("secrets", hide_secrets),
+    ("mixing", weigh),
+]
+
+#: The stages aren't expressible in SQL; their tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, from the table of documents."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs

@@ -151,39 +151,37 @@ def _rate(steps: list[list[float]], k: int) -> Column:
 def rates(weighed: DataFrame, targets: list[float], most: int = 60, close: float = 1e-4) -> tuple[Column, list[float]]:
     """(rate as a column of tokens and p, the expected tokens reached) for target tokens of each domain.
 
-    Minimises the squared distance of expected tokens from targets over rates of 0 or more, from rates of 1. The step
-    is one over the trace of the weighted Gram matrix, preconditioned by tokens, with momentum in the sums' space.
-    Stops when every domain is within ``close`` of the total, or after ``most`` sums over the documents."""
+    Minimises the squared distance of expected tokens from targets over rates of 0 or more, from rates of 1. Rates move
+    against the gradient, p . gap, and stop at 0. The step's metric is the inverse curvature over documents whose
+    rate isn't at 0: a few more numbers in the same sum. A step that doesn't help is taken back and tried at half its
+    length. Stops when every domain is within ``close`` of the total, or after ``most`` sums over the documents."""
     k = len(targets)
     goal = np.array(targets, float)
-    sums = lambda r: [F.coalesce(F.sum(r * F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(k)]
-    gram = [F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i in range(k) for j in range(k)]
-    first = weighed.agg(*(c.alias(f"c{i}") for i, c in enumerate([*sums(F.lit(1.0)), *gram]))).first()
-    now, m = np.array(first[:k]), np.array(first[k:]).reshape(k, k)
-    if not m.any():
-        return F.lit(1.0), [0.0] * k
-    # in the space of sums, rates move by -p . s and sums by -gram . s while no rate is at 0: the step solves that system,
-    # damped, so that it is a projected gradient step with the inverse curvature as its metric
-    curve = m + np.eye(k) * 1e-6 * np.trace(m)
+
+    def sums(steps):
+        r = _rate(steps, k)
+        active = F.when(r > 0, F.col("tokens")).otherwise(F.lit(0))
+        cols = [r * F.col("tokens") * F.col("p")[i] for i in range(k)] + [active * F.col("p")[i] * F.col("p")[j] for i in range(k) for j in range(k)]
+        got = np.array(weighed.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols))).first())
+        return got[:k], got[k:].reshape(k, k)
+
     steps: list[list[float]] = []
-    best, best_at = np.inf, 0
-    damp = 1.0
+    now, curve = sums(steps)
+    if not curve.any():
+        return F.lit(1.0), [0.0] * k
+    whole, length = curve, 1.0
     for _ in range(most):
         gap = now - goal
-        size = float(np.abs(gap).max() / max(goal.sum(), 1.0))
-        if size < best:
-            best, best_at = size, len(steps)
-        if size < close:
+        if np.abs(gap).max() < close * max(goal.sum(), 1.0) or length < 1e-3:
             break
-        if steps and size > last:  # overshot behind the floor at 0
-            damp = max(damp / 2, 1 / 64)
-        last = size
-        steps.append([float(x) for x in damp * np.linalg.solve(curve, gap)])
-        now = np.array(weighed.agg(*(c.alias(f"c{i}") for i, c in enumerate(sums(_rate(steps, k))))).first())
-    steps = steps[:best_at]
-    rate = _rate(steps, k)
-    reached = weighed.agg(*(c.alias(f"c{i}") for i, c in enumerate(sums(rate)))).first()
-    return rate, [float(x) for x in reached]
+        step = length * np.linalg.solve(curve + 1e-6 * np.trace(whole) * np.eye(k), gap)
+        then, then_curve = sums([*steps, step.tolist()])
+        if np.square(then - goal).sum() < np.square(gap).sum() * (1 - 1e-6):
+            steps.append(step.tolist())
+            now, curve, length = then, then_curve, min(1.0, length * 2)
+        else:
+            length /= 2
+    return _rate(steps, k), [float(x) for x in now]
 
 
 def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", targets: dict = TARGETS, share: float = SHARE) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gridlake.llm import decontaminate, language_model, mixing, ngram_join, ogg, secrets, suffix_dedup, toxicity, url_filter
+from gridlake.llm import decontaminate, html_extract, language_model, mixing, ngram_join, ogg, secrets, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +47,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -58,6 +61,7 @@ QUERIES = {
     "op7_ngram_join": op7_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
+    "op10_html": op10_html,
 }
 #: The others aren't expressible in SQL; their tests compare them with brute force.
 ORACLE: dict[str, str] = {"op5_decontamination": decontaminate.SQL}

@@ -96,7 +96,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     )
     out = named.join(per, "id", "left")
     none = F.array().cast(SPAN)
-    return out.select(F.col("k").alias(key), "n_assign", "n_access", "n_hex", F.col("base").alias("base_spans"), F.coalesce("added", none).alias("live_spans"), F.coalesce("n_live", F.lit(0)).cast("bigint").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("bigint").alias("n_example"))
+    return out.select(F.col("k").alias(key), F.col("th").alias("text_hash"), "n_assign", "n_access", "n_hex", F.col("base").alias("base_spans"), F.coalesce("added", none).alias("live_spans"), F.coalesce("n_live", F.lit(0)).cast("bigint").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("bigint").alias("n_example"))
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -105,34 +105,27 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", mark: str = "[secret]", copied_owners: int = 3) -> DataFrame:
-    """``docs`` with each secret's characters replaced by ``mark``; no row goes.
+    """``docs`` with the characters of each base and each live span replaced by ``mark``; no row goes.
 
-    Base values held by ``copied_owners`` or more owners are examples and stay, as do texts without secrets. The
-    texts are not joined to anything: the examples' hashes come in as the anti-side of the values' join, and the
-    pieces are cut from the text by offset. ``n_chars``, if present, follows the text."""
+    Overlapping spans become one mark. Rows without spans stay as they are, null texts too. Spans are found again by
+    key and a hash of key and text, so rows that share a key but not a text keep their own. ``n_chars``, if present,
+    follows the text."""
     scanned = scan(docs, key, text, owner, key, copied_owners)
-    t = F.coalesce(F.col(text), F.lit(""))
-    hit = scanned.where((F.size("base_spans") > 0) | (F.size("live_spans") > 0)).groupBy(F.col(key).alias("__k")).agg(F.first(F.concat("base_spans", "live_spans")).alias("__s"))
-    hit = hit.withColumn("__s", F.array_sort(F.transform("__s", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))))
-    joined = docs.join(hit, docs[key].eqNullSafe(hit["__k"]), "left")
+    hit = scanned.where((F.size("base_spans") > 0) | (F.size("live_spans") > 0))
+    cuts = F.array_sort(F.transform(F.concat("base_spans", "live_spans"), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))))
+    hit = materialise(hit.select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), cuts.alias("__s")).distinct())
+    joined = docs.join(hit, docs[key].eqNullSafe(hit["__k"]) & (F.xxhash64(docs[key], docs[text]) == hit["__h"]), "left")
+    t = F.coalesce(docs[text], F.lit(""))
     first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def cut(acc, s):
-        ahead = F.substring(t, (acc["at"] + 1).cast("int"), (F.greatest(s["a"], acc["at"]) - acc["at"]).cast("int"))
-        fresh = s["a"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.when(fresh, F.concat(acc["out"], ahead, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate("__s", first, cut, lambda a: F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    out = joined.withColumn("__t", F.when(F.col("__s").isNull(), F.col(text)).otherwise(new))
-    cols = [F.col("__t").alias(c) if c == text else F.length("__t").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+        ahead = F.substr(t, (acc["at"] + 1).cast("int"), (s["a"] - acc["at"]).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.when(s["a"] >= acc["at"], F.concat(acc["out"], ahead, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    new = F.aggregate("__s", first, cut, lambda a: F.concat(a["out"], F.substr(t, (a["at"] + 1).cast("int"))))
+    out = joined.withColumn("__t", F.when(F.col("__s").isNull(), docs[text]).otherwise(new))
+    kinds = dict(docs.dtypes)
+    changed = F.col("__s").isNotNull()
+    cols = [F.col("__t").alias(c) if c == text else F.when(changed, F.length("__t").cast(kinds[c])).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return out.select(*cols)
 
-
-SQL = rf"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
-m AS (
-  SELECT doc_id, x,
-    regexp_extract_all(x, '{ASSIGN.replace("'", "''")}', 0) AS a0, regexp_extract_all(x, '{ASSIGN.replace("'", "''")}', 2) AS a2,
-    regexp_extract_all(x, '{ACCESS}', 0) AS c0, regexp_extract_all(x, '{HEX}', 0) AS h0 FROM t)
-SELECT doc_id, len(list_filter(a2, v -> length(v) >= 8)) AS n_assign, len(list_filter(c0, v -> length(v) >= 16)) AS n_access, len(h0) AS n_hex FROM m
-"""

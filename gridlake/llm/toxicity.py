@@ -281,3 +281,17 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", folds: int =
     model, thresholds = train(docs, labels, key, folds=folds, held=held)
     s = score(docs, model, thresholds, key)
     return s.select(key, (fold(F.col(key), folds) == held).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"), "threshold", "flagged")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose score reaches their language's threshold; a null language takes the general one."""
+    model, thresholds = train(docs, labels, key, text, lang)
+    cast = docs.sparkSession.sparkContext.broadcast((model, thresholds))
+
+    def run(batches):
+        m, limits = cast.value
+        for rows, buf, offs in chunks(batches, text):
+            limit = np.array([limits.get(x, limits[None]) for x in rows.column(rows.schema.names.index(lang)).to_pylist()])
+            yield rows.filter(pa.array(m.score(buf, offs) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
