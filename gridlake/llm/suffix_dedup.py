@@ -43,16 +43,21 @@ def gram_hashes(p: np.ndarray, n: int, k: int) -> np.ndarray:
     return out
 
 
-def leftmost_min(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the first least value in each window of w values, by doubling."""
-    val, at, size = h.copy(), np.arange(len(h), dtype=np.int32), 1
-    while size < w:
-        step = min(size, w - size)
-        right = val[step:] < val[: len(val) - step]
-        at = np.where(right, at[step:], at[: len(at) - step])
-        val = np.minimum(val[: len(val) - step], val[step:])
-        size += step
-    return at
+def leftmost_min(h: np.ndarray, w: int, step: int = 1 << 14) -> np.ndarray:
+    """Position of the first least value in each window of w values, by doubling, in pieces that stay in cache."""
+    n = len(h) - w + 1
+    out = np.empty(n, np.int32)
+    for i in range(0, n, step):
+        val = h[i : min(i + step, n) + w - 1].copy()
+        at, size = np.arange(i, i + len(val), dtype=np.int32), 1
+        while size < w:
+            d = min(size, w - size)
+            right = val[d:] < val[:-d]
+            at = at[:-d].copy() if not right.any() else np.where(right, at[d:], at[:-d])
+            val = np.minimum(val[:-d], val[d:])
+            size += d
+        out[i : i + len(at)] = at
+    return out
 
 
 class Blocks:
@@ -295,6 +300,9 @@ def suffix_order(buf: np.ndarray, p: np.ndarray, at: np.ndarray, segment: np.nda
     size = np.diff(np.r_[begin, n])
     seg = np.repeat(np.arange(len(begin)), size)
     width = 1
+    # the first 8 bytes settle most comparisons; the rest go by their common extension
+    head = np.r_[buf, np.zeros(8, np.uint8)]
+    head = sum(head[at + j].astype(np.uint64) << np.uint64(56 - 8 * j) for j in range(min(8, most)))
     ext = np.r_[buf, np.zeros(1, np.uint8)]
     while width < size.max():
         idx = np.flatnonzero(size[seg] > width)  # segments that this level changes
@@ -310,11 +318,14 @@ def suffix_order(buf: np.ndarray, p: np.ndarray, at: np.ndarray, segment: np.nda
             if not len(go):
                 break
             mid = (lo[go] + hi[go]) >> 1
-            x, y = at[order[mid]], mine[go]
-            c = common_extension(p, x, y, most)
-            full = c == most
-            less = np.where(full, right[go], ext[np.minimum(x + c, len(buf))] < ext[np.minimum(y + c, len(buf))])
-            # elements of the left run come first among equals
+            i, j = order[mid], order[idx[go]]
+            less = head[i] < head[j]
+            tie = np.flatnonzero(head[i] == head[j])
+            if len(tie):
+                x, y = at[i[tie]], mine[go[tie]]
+                c = common_extension(p, x, y, most)
+                # elements of the left run come first among equals
+                less[tie] = np.where(c == most, right[go[tie]], ext[np.minimum(x + c, len(buf))] < ext[np.minimum(y + c, len(buf))])
             lo[go[less]] = mid[less] + 1
             hi[go[~less]] = mid[~less]
         base = begin[seg[idx]] + (run - run % 2) * width
@@ -334,7 +345,9 @@ def least_holder(buf: np.ndarray, at: np.ndarray, segment: np.ndarray, doc: np.n
     out = np.empty(len(at), np.int64)
     if not len(at):
         return out
-    same = (s[1:] == s[:-1]) & (common_extension(p, x[:-1], x[1:], length) == length)
+    same = s[1:] == s[:-1]
+    near = np.flatnonzero(same)  # neighbours whose common extension reaches the length
+    same[near] = span_hashes(p, x[near], x[near] + length) == span_hashes(p, x[near + 1], x[near + 1] + length)
     i = np.flatnonzero(same)
     bad = set()
     for j in range(0, len(i), 100_000):  # byte by byte
