@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,9 +42,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_parts(df: DataFrame, least: int = 12) -> int:
-    """Shuffle partitions to deal by: the session's setting."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+def learn_in_task(rows: DataFrame, learn):
+    """``learn(list of dicts)`` of a bounded set of rows, run in one task; its result comes back pickled."""
+
+    def run(batches):
+        got = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(got))], pa.binary())], ["model"])
+
+    first = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return learn([]) if first is None else pickle.loads(first[0])
 
 
 def fold(doc_id: Column, k: int) -> Column:

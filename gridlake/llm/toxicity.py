@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import chunks, fold, mix, prefix_hashes, span_hashes, words
+from gridlake.llm.shared import chunks, fold, learn_in_task, mix, prefix_hashes, span_hashes, words
 
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 8, 8
 PREFIXES = (4, 5, 6)
-MOST_TOXIC, MOST_CLEAN = 2000, 4000  # rows of the training sample at most
+MOST_TOXIC, MOST_CLEAN = 1500, 3000  # rows of the training sample at most
 MOST_FEATURES = 1 << 17
 SHRINK = 8.0  # texts of the usual mixture that each feature is credited with
 LEAST_TEXTS, LEAST_SHARE = 4, 0.004  # training texts that must hold a feature: so many and such a share, or it has no vector
@@ -245,12 +245,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     y = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & (fold(F.col(key), folds) != held))
     y = y.groupBy(F.col(key).alias("id")).agg(F.max("toxic").alias("y")).withColumn("order", F.xxhash64("id"))
     pick = y.where("y > 0").orderBy("order", "id").limit(MOST_TOXIC).unionByName(y.where("y <= 0").orderBy("order", "id").limit(MOST_CLEAN))
-    # at most 6,000 rows, so their ids can be broadcast
+    # at most MOST_TOXIC + MOST_CLEAN rows, so their ids can be broadcast and one task holds their texts
     src = docs.select(docs[key].alias("id"), docs[text].alias("t"), docs[lang].alias("lang"))
-    rows = src.join(F.broadcast(pick.select("id", "y")), "id").select("id", "y", "lang", F.coalesce("t", F.lit("")).alias("t")).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["t"]))
-    later = [r for i, r in enumerate(rows) if i % 5 == 0]
-    first = [r for i, r in enumerate(rows) if i % 5]
+    rows = src.join(F.broadcast(pick.select("id", "y")), "id").select("id", "y", "lang", F.coalesce("t", F.lit("")).alias("t"))
+    return learn_in_task(rows, learn)
+
+
+def learn(rows: list[dict]) -> tuple[Model, dict]:
+    """(model, thresholds); every fifth row by hash calibrates, the others train."""
+    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["t"]))
+    later, first = rows[::5], [r for i, r in enumerate(rows) if i % 5]
     model = fit([r["t"] for r in first], [int(r["y"] > 0) for r in first])
     return model, calibrate(model, [r["t"] for r in later], [int(r["y"] > 0) for r in later], [r["lang"] for r in later])
 
