@@ -22,9 +22,9 @@ def _variance(x: Column) -> Column:
     return _mean(F.transform(x, lambda v: (v - m) * (v - m)))
 
 
-def percentile(x: Column, p: float) -> Column:
-    """Linear interpolation between the sorted values."""
-    s = F.array_sort(x)
+def percentile(x: Column, p: float, ordered: bool = False) -> Column:
+    """Linear interpolation between the sorted values; ``ordered``: they are sorted already."""
+    s = x if ordered else F.array_sort(x)
     at = (F.size(x) - 1) * (p / 100.0)
     low = F.floor(at).cast("int")
     a, b = F.try_element_at(s, low + 1), F.try_element_at(s, F.least(low + 2, F.size(x)))
@@ -100,10 +100,11 @@ def max_second_difference(x: Column) -> Column:
     return F.when(n >= 3, F.array_max(F.transform(mid, lambda k: F.abs(F.element_at(x, k + 1) - 2 * F.element_at(x, k) + F.element_at(x, k - 1)))))
 
 
+_PERCENTILES = {"five": 5, "twenty_five": 25, "fifty": 50, "seventy_five": 75, "ninety_five": 95}
 FEATURES = {
     "mean": _mean,
     "cv": lambda x: F.coalesce(ratio(F.sqrt(_variance(x)), _mean(x)), F.lit(0.0)),
-    **{n: (lambda p: lambda x: percentile(x, p))(p) for n, p in (("five", 5), ("twenty_five", 25), ("fifty", 50), ("seventy_five", 75), ("ninety_five", 95))},
+    **{n: (lambda p: lambda x: percentile(x, p))(p) for n, p in _PERCENTILES.items()},
     **{f"{n}_cumulative": (lambda p: lambda x: cumulative_percentile(x, p))(p) for n, p in (("five", 5), ("twenty_five", 25), ("fifty", 50), ("seventy_five", 75), ("ninety_five", 95))},
     "min_slope": lambda x: F.array_min(rolling_slopes(x)),
     "max_slope": lambda x: F.array_max(rolling_slopes(x)),
@@ -112,5 +113,11 @@ FEATURES = {
 
 
 def series_features(df: DataFrame, series: str, names: list[str] | None = None) -> DataFrame:
-    """``df`` with the named features of an array column (all by default), in one projection."""
-    return df.withColumns({n: FEATURES[n](F.col(series)) for n in names or FEATURES})
+    """``df`` with the named features of an array column (all by default); it is sorted once, and slopes are fitted once."""
+    names = list(names or FEATURES)
+    once = {"__sorted": F.array_sort(series)} if set(names) & set(_PERCENTILES) else {}
+    if {"min_slope", "max_slope"} & set(names):
+        once["__slopes"] = rolling_slopes(F.col(series))
+    shared = {n: percentile(F.col("__sorted"), p, True) for n, p in _PERCENTILES.items()} | {"min_slope": F.array_min("__slopes"), "max_slope": F.array_max("__slopes")}
+    made = {n: shared[n] if n in shared else FEATURES[n](F.col(series)) for n in names}
+    return df.withColumns(once).withColumns(made).drop(*once)
