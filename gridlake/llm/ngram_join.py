@@ -7,9 +7,11 @@ Two texts link when their sets' Jaccard similarity is at least ``num/100``. Pass
 2. each node's prefix: its rarest n-grams by (sketch class, hash), as many as any partner must share one of;
 3. the whole sets of those nodes that have a candidate.
 
-In a prefix bucket every node pairs with the smallest one; once those pairs are verified and their components
-known, only pairs across components are left to verify, so a group of k copies costs k pairs and no link between
-components is lost. A prefix n-gram that very many nodes hold is salted; its salts meet block by block.
+Nodes that share a prefix n-gram of at most ``SMALL`` holders pair directly, and how many such n-grams a pair shares
+bounds its intersection. Where more hold it, every node pairs with the smallest one; once those pairs are verified
+and their components known, only pairs across components are left to verify, so a group of k copies costs k pairs
+and no link between components is lost. A prefix n-gram that very many nodes hold is salted; its salts meet block
+by block.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ WORDS = 5
 SKETCH = 1 << 20
 SLICES = 16
 PER_SALT = 50_000  # nodes that one bucket of a prefix n-gram may gather
+SMALL = 4  # holders of a prefix n-gram up to which all of them pair
+LONG = 200  # holders of an n-gram beyond which components are probed first
+PROBE_ROUNDS = 3
 PER_BUCKET = 300_000  # prefix entries of a bucket
 HASH_BITS = np.uint64(58)
 _ENTRY = np.dtype([("token", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("salts", "<u4"), ("salt", "<u4")])
@@ -153,8 +158,6 @@ def _prefix_pass(k: int, num: int, classes: np.ndarray, salts: np.ndarray, bucke
 
 
 def _bucket_pass(num: int):
-    empty = pa.nulls
-
     def run(_, table):
         parts = []
         for b in table.column("blob"):
@@ -173,61 +176,137 @@ def _bucket_pass(num: int):
         start = np.flatnonzero(np.r_[True, (e["token"][1:] != e["token"][:-1]) | (e["salt"][1:] != e["salt"][:-1])])
         length = np.diff(np.r_[start, len(e)])
         run_of = np.repeat(np.arange(len(start)), length)
-        c = e[start[run_of]]  # the smallest set of each run
-        n, m = c["n"].astype(np.int64), e["n"].astype(np.int64)
-        least = needed(n, m, num)
-        ok = (length[run_of] > 1) & (c["fp"] != e["fp"]) & (100 * n >= num * m)
-        ok &= 1 + np.minimum(n - c["pos"] - 1, m - e["pos"] - 1) + np.minimum(c["pos"], e["pos"]) >= least
-        pa_, pb = np.minimum(c["fp"][ok], e["fp"][ok]), np.maximum(c["fp"][ok], e["fp"][ok])
-        pairs = np.unique(np.stack([pa_, pb], 1), axis=0) if len(pa_) else np.zeros((0, 2), np.uint64)
-        # runs of three and more, and salted ones, are kept for the second round; equal runs once
-        big = np.flatnonzero((length > 2) | (e["salts"][start] > 1))
+        small = (length <= SMALL) & (e["salts"][start] == 1)
+        left, right = [], []
+        for d in range(1, SMALL):
+            i = np.flatnonzero(small[run_of[: len(e) - d]] & (run_of[d:] == run_of[: len(e) - d])) if len(e) > d else np.zeros(0, np.int64)
+            left.append(i)
+            right.append(i + d)
+        j = np.flatnonzero(~small[run_of])
+        left.append(start[run_of[j]])  # the smallest set of the run
+        right.append(j)
+        x, y = e[np.concatenate(left)], e[np.concatenate(right)]
+        one = np.r_[np.ones(sum(map(len, left[:-1])), bool), np.zeros(len(j), bool)]
+        n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+        ok = (x["fp"] != y["fp"]) & (100 * n >= num * m)
+        ok &= 1 + np.minimum(n - x["pos"] - 1, m - y["pos"] - 1) + np.minimum(x["pos"], y["pos"]) >= needed(n, m, num)
+        x, y, one, n, m = x[ok], y[ok], one[ok], n[ok], m[ok]
+        swap = x["fp"] > y["fp"]
+        quad = np.stack([np.where(swap, y["fp"], x["fp"]), np.where(swap, x["fp"], y["fp"]), np.where(swap, m, n).astype(np.uint64), np.where(swap, n, m).astype(np.uint64)], 1)
+        pairs, inverse = np.unique(quad, axis=0, return_inverse=True) if len(quad) else (quad, np.zeros(0, np.int64))
+        shared = np.bincount(inverse.ravel(), weights=one, minlength=len(pairs)).astype(np.int64)
+        members, often = np.unique(e["fp"][j], return_counts=True)
+        # the other runs are kept for the second round; equal runs once
+        big = np.flatnonzero(~small)
         total = np.add.reduceat(mix(e["fp"].copy()), start)
         gid = mix(total + length.astype(np.uint64))
         salted = e["salts"][start] > 1
         gid[salted] = mix(e["token"][start[salted]].copy())
-        _, once = np.unique(np.stack([gid[big], e["salt"][start[big]].astype(np.uint64)], 1), axis=0, return_index=True) if len(big) else (None, [])
+        _, once, times = np.unique(np.stack([gid[big], e["salt"][start[big]].astype(np.uint64)], 1), axis=0, return_index=True, return_counts=True) if len(big) else (None, [], [])
         rows = [(int(gid[i].view(np.int64)), int(e["salts"][start[i]]), int(e["salt"][start[i]]), e["fp"][start[i] : start[i] + length[i]].view(np.int64), e["n"][start[i] : start[i] + length[i]].astype(np.int64)) for i in (big[j] for j in once)]
-        p, g = len(pairs), len(rows)
+        p, g, q = len(pairs), len(rows), len(members)
+        long = pa.int64()
+        many = pa.list_(long)
+
+        def column(kind, of_pairs=None, of_groups=None, of_members=None):
+            parts = [pa.nulls(c, kind) if v is None else pa.array(v, kind) for c, v in ((p, of_pairs), (g, of_groups), (q, of_members))]
+            return pa.concat_arrays(parts)
+
+        signed = lambda v: np.ascontiguousarray(v).view(np.int64)
         return pa.table(
             {
-                "a": pa.concat_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), empty(g, pa.int64())]),
-                "b": pa.concat_arrays([pa.array(pairs[:, 1].copy().view(np.int64)), empty(g, pa.int64())]),
-                "gid": pa.concat_arrays([empty(p, pa.int64()), pa.array([r[0] for r in rows], pa.int64())]),
-                "salts": pa.concat_arrays([empty(p, pa.int64()), pa.array([r[1] for r in rows], pa.int64())]),
-                "salt": pa.concat_arrays([empty(p, pa.int64()), pa.array([r[2] for r in rows], pa.int64())]),
-                "fps": pa.concat_arrays([empty(p, pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))]),
-                "ns": pa.concat_arrays([empty(p, pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.int64()))]),
+                "a": column(long, signed(pairs[:, 0])),
+                "b": column(long, signed(pairs[:, 1])),
+                "na": column(long, signed(pairs[:, 2])),
+                "nb": column(long, signed(pairs[:, 3])),
+                "shared": column(long, shared),
+                "gid": column(long, None, [r[0] for r in rows]),
+                "salts": column(long, None, [r[1] for r in rows]),
+                "salt": column(long, None, [r[2] for r in rows]),
+                "times": column(long, None, times),
+                "fps": column(many, None, [r[3] for r in rows]),
+                "ns": column(many, None, [r[4] for r in rows]),
+                "member": column(long, None, None, signed(members)),
+                "often": column(long, None, None, often),
             }
         )
 
     return run
 
 
+_LIVE = "a bigint, b bigint, na bigint, nb bigint, shared bigint, gid bigint, salts bigint, salt bigint, times bigint, fps array<bigint>, ns array<bigint>, member bigint, often bigint"
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray | None]:
+    """Rows of (fp, n, root) of a column of lists, sorted by n; None for null."""
+    out = []
+    for x in batch.column(batch.schema.names.index(name)):
+        if not x.is_valid:
+            out.append(None)
+            continue
+        v = x.values
+        m = np.stack([v.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "root")], 1)
+        out.append(m[np.lexsort((m[:, 0], m[:, 1]))])
+    return out
+
+
+def _pair_batch(got: list[np.ndarray], times: int) -> pa.RecordBatch:
+    """(a, b, na, nb, shared) from rows of (fp, fp, n, n), in unsigned order as the buckets give them."""
+    g = np.concatenate(got).view(np.uint64)
+    swap = g[:, 0] > g[:, 1]
+    g[swap] = g[swap][:, [1, 0, 3, 2]]
+    g = np.unique(g, axis=0).view(np.int64)
+    return pa.RecordBatch.from_arrays([*(pa.array(g[:, c].copy()) for c in range(4)), pa.array(np.full(len(g), times))], ["a", "b", "na", "nb", "shared"])
+
+
 def _cross_pairs(num: int):
-    """Pairs across components inside one list, or between two lists, by the length filter; in blocks of rows."""
+    """Pairs across components inside one list, or between two lists, by the length filter; in blocks of rows.
+
+    Inside a list, members of its largest component are only paired with those outside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                x = np.array([(m["fp"], m["n"], m["root"]) for m in r["x"]], np.int64)
-                y = x if r["y"] is None else np.array([(m["fp"], m["n"], m["root"]) for m in r["y"]], np.int64)
-                x, y = x[np.argsort(x[:, 1], kind="stable")], y[np.argsort(y[:, 1], kind="stable")]
+            times = batch.column(batch.schema.names.index("times")).to_pylist()
+            for x, y, t in zip(_lists(batch, "x"), _lists(batch, "y"), times):
+                if y is None:
+                    roots, count = np.unique(x[:, 2], return_counts=True)
+                    x, y = x[x[:, 2] != roots[count.argmax()]], x
                 lo = np.searchsorted(y[:, 1], -(-num * x[:, 1] // 100), "left")
                 hi = np.searchsorted(y[:, 1], x[:, 1] * 100 // num, "right")
                 for i in range(0, len(x), 256):
-                    part = range(i, min(i + 256, len(x)))
                     got = []
-                    for j in part:
+                    for j in range(i, min(i + 256, len(x))):
                         z = y[lo[j] : hi[j]]
                         z = z[(z[:, 2] != x[j, 2]) & (z[:, 0] != x[j, 0])]
                         if len(z):
-                            got.append(np.stack([np.full(len(z), x[j, 0]), z[:, 0]], 1))
+                            got.append(np.stack([np.full(len(z), x[j, 0]), z[:, 0], np.full(len(z), x[j, 1]), z[:, 1]], 1))
                     if got:
-                        # as unsigned, like the first round's
-                        g = np.concatenate(got).view(np.uint64)
-                        g = np.unique(np.stack([g.min(1), g.max(1)], 1), axis=0).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy())], ["a", "b"])
+                        yield _pair_batch(got, t)
+
+    return run
+
+
+def _probe_pairs(num: int, probes: int = 4):
+    """For each component of a list but its largest: its first member with a few of the largest's, spread over it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in _lists(batch, "x"):
+                roots, first, count = np.unique(x[:, 2], return_index=True, return_counts=True)
+                most = roots[count.argmax()]
+                y = x[x[:, 2] == most]
+                one = x[first[roots != most]]
+                lo = np.searchsorted(y[:, 1], -(-num * one[:, 1] // 100), "left")
+                size = np.searchsorted(y[:, 1], one[:, 1] * 100 // num, "right") - lo
+                got = []
+                for p in range(probes):
+                    h = mix(one[:, 0].copy().view(np.uint64) + np.uint64(p * len(x)))
+                    ok = size > 0
+                    z = y[lo[ok] + (h[ok] % size[ok].astype(np.uint64)).astype(np.int64)]
+                    if len(z):
+                        got.append(np.stack([one[ok, 0], z[:, 0], one[ok, 1], z[:, 1]], 1))
+                if got:
+                    yield _pair_batch(got, 0)
 
     return run
 
@@ -294,40 +373,71 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
         yield from _prefix_pass(k, num, c, s, max(1, -(-entries // PER_BUCKET)))(batches)
 
     live = src.mapInArrow(prefixes, "bucket int, blob binary").groupBy("bucket")
-    live = materialise(live.applyInArrow(_bucket_pass(num), "a bigint, b bigint, gid bigint, salts bigint, salt bigint, fps array<bigint>, ns array<bigint>"))
+    live = materialise(live.applyInArrow(_bucket_pass(num), _LIVE))
     groups = live.where("gid is not null")
-    hubs = groups.where("salts > 1").select("gid", F.struct(F.element_at("ns", 1).alias("n"), F.element_at("fps", 1).alias("fp")).alias("hub"))
+    hubs = groups.where("salts > 1").select("gid", F.struct(F.element_at("ns", 1).alias("n"), F.element_at("fps", 1).alias("fp")).alias("hub")).distinct()
     top = hubs.groupBy("gid").agg(F.min("hub").alias("top"))
-    between = hubs.join(top, "gid").select(F.col("hub.fp").alias("p"), F.col("top.fp").alias("q")).where("p <> q")
-    # pairs in unsigned order, as the buckets give them
+    between = hubs.join(top, "gid").where("hub.fp <> top.fp").select(F.col("hub.fp").alias("p"), F.col("hub.n").alias("np"), F.col("top.fp").alias("q"), F.col("top.n").alias("nq"))
+    # in unsigned order, as the buckets give them
     low = (F.col("p") < F.col("q")) != ((F.col("p") < 0) != (F.col("q") < 0))
-    between = between.select(F.when(low, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(low, F.col("q")).otherwise(F.col("p")).alias("b"))
-    pairs = live.where("a is not null").select("a", "b").unionByName(between).distinct()
-
-    once = groups.dropDuplicates(["gid", "salt"])
-    wanted = live.select(F.explode(F.concat(F.array_compact(F.array("a", "b")), F.coalesce("fps", F.array().cast("array<bigint>")))).alias("fp")).distinct()
-    ids = wanted.join(least_of, "fp").select(F.col("least").alias("k")).distinct()
-    texts = src.join(ids, src["k"].eqNullSafe(ids["k"]), "left_semi")
-    sets = materialise(texts.mapInArrow(_set_pass(k), "fp bigint, grams binary").dropDuplicates(["fp"]))
+    ordered = [F.when(low, F.col(v)).otherwise(F.col(w)).alias(c) for c, v, w in (("a", "p", "q"), ("b", "q", "p"), ("na", "np", "nq"), ("nb", "nq", "np"))]
+    between = between.select(*ordered, F.lit(0).cast("bigint").alias("shared"))
+    pairs = live.where("a is not null").select("a", "b", "na", "nb", "shared").unionByName(between).groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    # a link shares so many prefix n-grams: those that few hold are counted, of the others the smaller number is a bound
+    often = live.where("member is not null").groupBy("member").agg(F.sum("often").alias("often"))
+    rest = F.greatest(*(F.ceil(F.col(c) * num / 100) - 1 for c in ("na", "nb")))
+    least = F.greatest(F.ceil((F.col("na") + F.col("nb")) * num / F.lit(100 + num)) - rest, F.lit(1))
+    bound = pairs
+    for side in ("a", "b"):
+        bound = bound.join(often.select(F.col("member").alias(side), F.col("often").alias(f"o{side}")), side, "left")
+    most = F.col("shared") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
+    first_round = materialise(bound.where(most >= least).select("a", "b"))
+    once = groups.groupBy("gid", "salts", "salt").agg(F.sum("times").alias("times"), F.first("fps").alias("fps"), F.first("ns").alias("ns"))
 
     def verified(p):
+        ends = p.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        ids = materialise(ends.join(least_of, "fp").select(F.col("least").alias("k")).distinct())
+        texts = src.join(ids, src["k"].eqNullSafe(ids["k"]), "left_semi")
+        sets = materialise(texts.mapInArrow(_set_pass(k), "fp bigint, grams binary"))
         one = p.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a")
         two = one.join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
-        return materialise(two.select("a", "b", "x", "y").mapInArrow(_verify(num), "a bigint, b bigint"))
+        return materialise(two.select("a", "b", "x", "y").mapInArrow(_verify(num), "a bigint, b bigint").distinct())
 
-    links = verified(pairs)
+    links = verified(first_round)
     roots = components(links)
-    members = once.select("gid", "salts", "salt", F.explode(F.arrays_zip("fps", "ns")).alias("m")).select("gid", "salts", "salt", F.col("m.fps").alias("fp"), F.col("m.ns").alias("n"))
-    members = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    split = members.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gid")
-    lists = members.join(split, "gid").groupBy("gid", "salts", "salt").agg(F.collect_list(F.struct("fp", "n", "root")).alias("x"))
-    lists = materialise(lists)
+    each = once.select("gid", "salts", "salt", "times", F.explode(F.arrays_zip("fps", "ns")).alias("m")).select("gid", "salts", "salt", "times", F.col("m.fps").alias("fp"), F.col("m.ns").alias("n"))
+    few = pairs.select("a", "b", F.col("shared").alias("few"))
+
+    def open_lists():
+        """The lists that hold several components."""
+        members = each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        split = members.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gid")
+        return materialise(members.join(split, "gid").groupBy("gid", "salts", "salt", "times").agg(F.collect_list(F.struct("fp", "n", "root")).alias("x")))
+
+    lists = open_lists()
+    # where many hold an n-gram, a few probes from each component join most of them before all pairs are looked at
+    for _ in range(PROBE_ROUNDS):
+        if not lists.where(F.size("x") > LONG).limit(1).count():
+            break
+        probes = lists.where(F.size("x") > LONG).select("x").mapInArrow(_probe_pairs(num), "a bigint, b bigint, na bigint, nb bigint, shared bigint").distinct()
+        probes = probes.join(few, ["a", "b"], "left").withColumn("shared", F.coalesce("few", F.lit(0)))
+        for side in ("a", "b"):
+            probes = probes.join(often.select(F.col("member").alias(side), F.col("often").alias(f"o{side}")), side, "left")
+        more = verified(materialise(probes.where(most >= least).select("a", "b")))
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        roots = components(links)
+        lists = open_lists()
     if lists.limit(1).count():
         other = lists.where("salts > 1").select("gid", F.col("salt").alias("salt2"), F.col("x").alias("y"))
-        blocks = lists.where("salts > 1").join(other, "gid").where("salt < salt2").select("x", "y")
-        within = lists.select("x", F.lit(None).cast(lists.schema["x"].dataType).alias("y"))
-        more = within.unionByName(blocks).mapInArrow(_cross_pairs(num), "a bigint, b bigint").distinct()
-        links = links.unionByName(verified(more.join(pairs, ["a", "b"], "left_anti")))
+        blocks = lists.where("salts > 1").join(other, "gid").where("salt < salt2").select("x", "y", "times")
+        within = lists.select("x", F.lit(None).cast(lists.schema["x"].dataType).alias("y"), "times")
+        # here each n-gram that many hold counts for just those pairs that share it
+        crossed = within.unionByName(blocks).mapInArrow(_cross_pairs(num), "a bigint, b bigint, na bigint, nb bigint, shared bigint")
+        crossed = crossed.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+        crossed = crossed.join(few, ["a", "b"], "left").where(F.col("shared") + F.coalesce("few", F.lit(0)) >= least)
+        links = links.unionByName(verified(materialise(crossed.select("a", "b").join(first_round, ["a", "b"], "left_anti"))))
         roots = components(links)
     of_node = least_of.join(roots, least_of["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ends = of_node.groupBy("root").agg(F.min("least").alias("component"))

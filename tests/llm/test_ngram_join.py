@@ -74,6 +74,9 @@ def test_borderline_groups(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PER_BUCKET", 500)
     same(spark, rows)
     same(spark, rows, num=60, k=3)
+    monkeypatch.setattr(ngram_join, "PER_SALT", 50_000)
+    monkeypatch.setattr(ngram_join, "LONG", 5)  # probes first
+    same(spark, rows)
 
 
 def test_cases(spark):
