@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import chunks, materialise, word_hashes, words
+from gridlake.llm.shared import chunks, learn_in_task, materialise, word_hashes, words
 
 DOMAINS = ("good", "low", "toxic")
 #: Share of the mixture's tokens that each domain should have, and the mixture's tokens as a share of all.
@@ -65,7 +65,7 @@ class Classifier:
         return z / z.sum(1, keepdims=True), count
 
 
-def fit(texts: list[str], y: list[int], k: int, prior: np.ndarray, epochs: int = 12, rate: float = 0.1) -> Classifier:
+def fit(texts: list[str], y: list[int], k: int, prior: np.ndarray, epochs: int = 6, rate: float = 0.1) -> Classifier:
     """Trained by Adagrad on whole texts, one row of each domain as likely as the prior says; without rows: the prior."""
     m = Classifier(k)
     m.b = np.log(np.maximum(prior, 1e-6)).astype(np.float32)
@@ -119,10 +119,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for c in range(len(DOMAINS)):
         part = ranked.where(F.col("y") == c).orderBy("order", "id").limit(MOST_ROWS)
         pick = part if pick is None else pick.unionByName(part)
-    # at most MOST_ROWS ids a domain, so they can be broadcast
-    rows = src.join(F.broadcast(pick.select("id", "y")), "id").select("id", "y", F.coalesce("t", F.lit("")).alias("t")).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["t"]))
-    return fit([r["t"] for r in rows], [r["y"] for r in rows], len(DOMAINS), prior / prior.sum())
+    # at most MOST_ROWS rows a domain, so their ids can be broadcast and one task holds their texts
+    rows = src.join(F.broadcast(pick.select("id", "y")), "id").select("id", "y", F.coalesce("t", F.lit("")).alias("t"))
+    share = prior / prior.sum()
+
+    def learn(got):
+        got = sorted(got, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["t"]))
+        return fit([r["t"] for r in got], [r["y"] for r in got], len(DOMAINS), share)
+
+    return learn_in_task(rows, learn)
 
 
 def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,7 +159,8 @@ def rates(weighed: DataFrame, targets: list[float], most: int = 60, close: float
     Minimises the squared distance of expected tokens from targets over rates of 0 or more, from rates of 1. Rates move
     against the gradient, p . gap, and stop at 0. The step's metric is the inverse curvature over documents whose
     rate isn't at 0: a few more numbers in the same sum. A step that doesn't help is taken back and tried at half its
-    length. Stops when every domain is within ``close`` of the total, or after ``most`` sums over the documents."""
+    length. Stops when every domain is within ``close`` of the total, when a step gains less than a fiftieth, or after
+    ``most`` sums over the documents."""
     k = len(targets)
     goal = np.array(targets, float)
 
@@ -172,13 +178,16 @@ def rates(weighed: DataFrame, targets: list[float], most: int = 60, close: float
     whole, length = curve, 1.0
     for _ in range(most):
         gap = now - goal
-        if np.abs(gap).max() < close * max(goal.sum(), 1.0) or length < 1e-3:
+        if np.abs(gap).max() < close * max(goal.sum(), 1.0) or length < 0.05:
             break
         step = length * np.linalg.solve(curve + 1e-6 * np.trace(whole) * np.eye(k), gap)
         then, then_curve = sums([*steps, step.tolist()])
-        if np.square(then - goal).sum() < np.square(gap).sum() * (1 - 1e-6):
+        was, new = np.square(gap).sum(), np.square(then - goal).sum()
+        if new < was * (1 - 1e-6):
             steps.append(step.tolist())
             now, curve, length = then, then_curve, min(1.0, length * 2)
+            if new > was * 0.98:  # targets that no rates of 0 or more meet: as near as steps of use come
+                break
         else:
             length /= 2
     return _rate(steps, k), [float(x) for x in now]
