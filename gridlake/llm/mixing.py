@@ -8,6 +8,7 @@ documents, and a document's rate follows from the steps so far, so that no rate
 
 from __future__ import annotations
 
+import logging
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gridlake.llm.shared import chunks, learn_in_task, materialise, word_hashes, words
 
+_log = logging.getLogger(__name__)
 DOMAINS = ("good", "low", "toxic")
 #: Share of the mixture's tokens that each domain should have, and the mixture's tokens as a share of all.
 TARGETS = {"good": 0.88, "low": 0.10, "toxic": 0.02}
@@ -65,7 +67,7 @@ class Classifier:
         return z / z.sum(1, keepdims=True), count
 
 
-def fit(texts: list[str], y: list[int], k: int, prior: np.ndarray, epochs: int = 6, rate: float = 0.1) -> Classifier:
+def fit(texts: list[str], y: list[int], k: int, prior: np.ndarray, epochs: int = 12, rate: float = 0.1) -> Classifier:
     """Trained by Adagrad on whole texts, one row of each domain as likely as the prior says; without rows: the prior."""
     m = Classifier(k)
     m.b = np.log(np.maximum(prior, 1e-6)).astype(np.float32)
@@ -157,39 +159,59 @@ def rates(weighed: DataFrame, targets: list[float], most: int = 60, close: float
     """(rate as a column of tokens and p, the expected tokens reached) for target tokens of each domain.
 
     Minimises the squared distance of expected tokens from targets over rates of 0 or more, from rates of 1. Rates move
-    against the gradient, p . gap, and stop at 0. The step's metric is the inverse curvature over documents whose
-    rate isn't at 0: a few more numbers in the same sum. A step that doesn't help is taken back and tried at half its
-    length. Stops when every domain is within ``close`` of the total, when a step gains less than a fiftieth, or after
-    ``most`` sums over the documents."""
+    against the gradient, p . gap, and stop at 0. A step's metric is the inverse curvature over documents whose rate
+    isn't at 0; one sum over the documents tries it at several lengths, and the plain gradient, which at the length of
+    the greatest curvature always helps, and the best is taken. Stops when every domain is within ``close`` of the
+    total, when no rates of 0 or more can come nearer by more than that (a bound by the gradient, not by what a step
+    gains), or after ``most`` sums over the documents."""
     k = len(targets)
     goal = np.array(targets, float)
-
-    def sums(steps):
-        r = _rate(steps, k)
-        active = F.when(r > 0, F.col("tokens")).otherwise(F.lit(0))
-        cols = [r * F.col("tokens") * F.col("p")[i] for i in range(k)] + [active * F.col("p")[i] * F.col("p")[j] for i in range(k) for j in range(k)]
-        got = np.array(weighed.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols))).first())
-        return got[:k], got[k:].reshape(k, k)
+    enough = close * max(goal.sum(), 1.0)
+
+    def sums(steps, tries, gap):
+        """For each try the expected tokens and the curvature after it; and the least product of a posterior with the gap."""
+
+        def run(batches):
+            total, least = np.zeros((len(tries), k + k * k)), 0.0
+            for b in batches:
+                n = b.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+                p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                r = np.ones(len(n))
+                for s in steps:
+                    r = np.maximum(0, r - p @ s)
+                least = min(least, (p @ gap)[n > 0].min(initial=0.0))
+                for x, s in zip(total, tries):
+                    q = np.maximum(0, r - p @ s)
+                    x[:k] += (q * n) @ p
+                    x[k:] += ((np.where(q > 0, n, 0)[:, None] * p).T @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([least]), pa.array([total.ravel().tolist()])], ["least", "total"])
+
+        got = weighed.select("tokens", "p").mapInArrow(run, "least double, total array<double>").collect()  # a row a task
+        each = np.sum([r["total"] for r in got], axis=0).reshape(len(tries), k + k * k) if got else np.zeros((len(tries), k + k * k))
+        return [(x[:k], x[k:].reshape(k, k)) for x in each], min([0.0, *(r["least"] for r in got)])
 
     steps: list[list[float]] = []
-    now, curve = sums(steps)
+    ((now, curve),), _ = sums(steps, [np.zeros(k)], np.zeros(k))
     if not curve.any():
         return F.lit(1.0), [0.0] * k
-    whole, length = curve, 1.0
+    whole, steepest = curve, np.linalg.eigvalsh(curve)[-1]
     for _ in range(most):
         gap = now - goal
-        if np.abs(gap).max() < close * max(goal.sum(), 1.0) or length < 0.05:
+        if np.abs(gap).max() < enough:
+            break
+        newton = np.linalg.solve(curve + (1e-9 * np.trace(curve) + 1e-12 * np.trace(whole)) * np.eye(k), gap)
+        own = max(np.linalg.eigvalsh(curve)[-1], 1e-9 * steepest)
+        tries = [newton * x for x in (1, 1 / 2, 1 / 4, 1 / 16, 1 / 128)] + [gap / steepest] + [gap / own * x for x in (1, 8, 64)]
+        after, least = sums(steps, tries, gap)
+        # half the squared distance exceeds the best by no more than this: the best's total is bounded by today's gap
+        over = gap @ now - min(least, 0.0) * (goal.sum() + np.sqrt(k) * np.linalg.norm(gap))
+        if over <= enough * enough / 2:
+            break
+        best = min(range(len(tries)), key=lambda n: np.square(after[n][0] - goal).sum())
+        if np.square(after[best][0] - goal).sum() >= np.square(gap).sum():  # beyond the sums' precision
             break
-        step = length * np.linalg.solve(curve + 1e-6 * np.trace(whole) * np.eye(k), gap)
-        then, then_curve = sums([*steps, step.tolist()])
-        was, new = np.square(gap).sum(), np.square(then - goal).sum()
-        if new < was * (1 - 1e-6):
-            steps.append(step.tolist())
-            now, curve, length = then, then_curve, min(1.0, length * 2)
-            if new > was * 0.98:  # targets that no rates of 0 or more meet: as near as steps of use come
-                break
-        else:
-            length /= 2
+        steps.append([float(x) for x in tries[best]])
+        now, curve = after[best]
     return _rate(steps, k), [float(x) for x in now]
 
 
@@ -198,12 +220,18 @@ def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     ``copies`` is the rate rounded down or up so that its mean is the rate, by a hash of the key; 0 leaves a row out.
     Rows without words have tokens 0 and no part in the sums; null texts are empty. Without labels every posterior is
-    the uniform prior. Repeated rows count as often as they stand. Other columns aren't read."""
+    the uniform prior. Repeated rows count as often as they stand. Other columns aren't read. The column ``rate`` holds
+    the expected tokens as metadata, ``targets`` and ``reached`` by domain; a target missed is also logged."""
     model = train(docs, labels, key, text)
     weighed = materialise(posteriors(docs, model, key, text))
     total = weighed.agg(F.sum("tokens")).first()[0] or 0
-    rate, _ = rates(weighed, [targets[d] * share * total for d in DOMAINS])
+    goal = {d: targets[d] * share * total for d in DOMAINS}
+    rate, got = rates(weighed, list(goal.values()))
+    reached = dict(zip(DOMAINS, got))
+    missed = [f"{d}: {reached[d]:.0f} of {goal[d]:.0f} tokens" for d in DOMAINS if abs(reached[d] - goal[d]) > 1e-3 * sum(goal.values())]
+    if missed:
+        _log.warning("targets missed: %s", ", ".join(missed))
     out = weighed.withColumn("rate", rate)
     part = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("bigint")).cast("bigint")
-    return out.select(key, "tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", copies.alias("copies"))
+    return out.select(key, "tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), F.col("rate").alias("rate", metadata={"targets": goal, "reached": reached}), copies.alias("copies"))

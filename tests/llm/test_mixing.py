@@ -51,6 +51,36 @@ def test_rates_against_plain_projected_gradient(spark):
     assert min(x[0] for x in df.select(rate).collect()) >= 0
 
 
+def test_soft_posteriors_reach_the_targets(spark):
+    """Steps gain little and most rates end at 0, but the targets can be met."""
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([6, 3, 3], 400)
+    n = rng.integers(1, 50, 400)
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "tokens long, p array<double>")
+    goal = np.array([0.70, 0.25, 0.05]) * 0.5 * n.sum()
+    rate, reached = mixing.rates(df, [float(x) for x in goal])
+    assert np.abs(np.array(reached) - goal).max() < 1e-4 * goal.sum()
+    r = np.array([x[0] for x in df.select(rate).collect()])
+    assert r.min() >= 0 and (r * n) @ p == pytest.approx(np.array(reached))
+
+
+def test_targets_out_of_reach_end_at_the_optimum(spark):
+    p = np.array([0.5, 0.3, 0.2])
+    df = spark.createDataFrame([(n, p.tolist()) for n in range(1, 40)], "tokens long, p array<double>")
+    goal = np.array([300.0, 50.0, 0.0])
+    _, reached = mixing.rates(df, goal.tolist())
+    assert reached == pytest.approx((p * (p @ goal) / (p @ p)).tolist(), rel=1e-3)
+
+
+def test_totals_are_reported(spark):
+    rows = made(200)
+    out = mixing.mix(docs(spark, [r[:2] for r in rows]), labels(spark, rows))
+    told = out.schema["rate"].metadata
+    assert set(told) == {"targets", "reached"} and set(told["reached"]) == set(mixing.DOMAINS)
+    got = out.selectExpr(*(f"sum(rate * tokens * p_{d}) AS {d}" for d in mixing.DOMAINS)).first().asDict()
+    assert got == pytest.approx(told["reached"])
+
+
 def test_cases(spark):
     rows = made(60)
     odd = [(901, None), (902, ""), (903, "word " * 50_000), (904, "x"), (904, "x"), (None, "y z")]
