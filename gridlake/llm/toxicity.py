@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import chunks, fold, learn_in_task, mix, prefix_hashes, span_hashes, words
+from gridlake.llm.shared import chunks, fold, learn_in_task, materialise, mix, prefix_hashes, span_hashes, words
 
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 8, 8
@@ -27,6 +27,7 @@ MOST_FEATURES = 1 << 17
 SHRINK = 8.0  # texts of the usual mixture that each feature is credited with
 LEAST_TEXTS, LEAST_SHARE = 4, 0.004  # training texts that must hold a feature: so many and such a share, or it has no vector
 SLOTS = 1 << 20
+BINS = 128  # of one unit of the logit, in calibration counts
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -200,63 +201,88 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 32, r
     return model
 
 
-def calibrate(model: Model, texts: list[str], labels: list[int], langs: list[str | None], prior: float = 0.3) -> dict[str | None, float]:
-    """Sets the model's scale and shift by Platt's method on rows kept out of training; returns a threshold by language.
+def calibrate(model: Model, cells: list[tuple], whole: dict, prior: float = 0.3) -> dict[str | None, float]:
+    """Sets the model's scale and shift by Platt's method; returns a threshold by language.
 
-    Each language's threshold has the best F1 among its calibration scores, at the middle of the gap below it; a
-    language with fewer than 20 rows of either label takes ``prior``, and so does the key None."""
+    ``cells``: (language, label, bin of the logit, rows) of labelled rows that weren't trained on; ``whole``: labelled
+    rows by language and label, trained on or not, to which the cells are weighted. Each language's threshold has the best
+    F1, at the middle of the gap below it; a language with fewer than 20 rows of either label in ``cells`` takes
+    ``prior``, and so does the key None."""
     got = {None: prior}
-    y = np.array(labels, np.float64)
-    if not len(y) or y.min() == y.max():
+    cells = sorted(cells, key=lambda c: (c[0] is not None, c[0] or "", c[1], c[2]))
+    if len({c[1] for c in cells}) < 2:
         return got
-    raw = [t.encode() for t in texts]
-    offs = np.r_[0, np.cumsum([len(b) for b in raw])].astype(np.int64)
-    h, rows = features(np.frombuffer(b"".join(raw), np.uint8), offs)
-    z = model.logit(model.pooled(h, rows, len(raw))).astype(np.float64)
+    seen: dict = {}
+    for lang, label, _, n in cells:
+        seen[lang, label] = seen.get((lang, label), 0) + n
+    y = np.array([c[1] for c in cells], np.float64)
+    bins = np.array([c[2] for c in cells])
+    z = (bins + 0.5) / BINS
+    n = np.array([c[3] * whole[c[0], c[1]] / seen[c[0], c[1]] for c in cells], np.float64)
     a, b = 1.0, 0.0
-    soft = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    ones, none = (n * y).sum(), (n * (1 - y)).sum()
+    soft = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (none + 2))
     for _ in range(50):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - soft) * z).sum() + 1e-3 * (a - 1), (p - soft).sum()])
+        w = n * np.maximum(p * (1 - p), 1e-9)
+        e = n * (p - soft)
+        g = np.array([(e * z).sum() + 1e-3 * (a - 1), e.sum()])
         m = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         d = np.linalg.solve(m, g)
         a, b = a - np.clip(d[0], -1, 1), b - np.clip(d[1], -1, 1)
     model.scale, model.shift = float(max(a, 1e-3)), float(b)
-    p = 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -60, 60)))
-    for lang in sorted({x for x in langs if x is not None}):
-        mine = np.array([x == lang for x in langs])
-        s, t = p[mine], y[mine]
-        if min(t.sum(), len(t) - t.sum()) < 20:
+    for lang in sorted({c[0] for c in cells if c[0] is not None}):
+        if min(seen.get((lang, v), 0) for v in (0, 1)) < 20:
             continue
-        order = np.argsort(-s, kind="stable")
-        s, t = s[order], t[order]
-        f1 = 2 * np.cumsum(t) / (np.arange(1, len(t) + 1) + t.sum())
-        k = int(np.argmax(f1))
-        got[lang] = float((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2)
+        mine = np.flatnonzero([c[0] == lang for c in cells])
+        u, at = np.unique(-bins[mine], return_inverse=True)  # highest first
+        right = np.cumsum(np.bincount(at, weights=n[mine] * y[mine]))
+        k = int(np.argmax(2 * right / (np.cumsum(np.bincount(at, weights=n[mine])) + right[-1])))
+        low = -u[k] / BINS
+        cut = (low + (1 - u[k + 1]) / BINS) / 2 if k + 1 < len(u) else low
+        got[lang] = float(1 / (1 + np.exp(-np.clip(model.scale * cut + model.shift, -60, 60))))
     return got
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2) -> tuple[Model, dict]:
-    """(model, thresholds) from a bounded sample: at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled rows, those with
-    the least hashes, of rows whose fold isn't ``held``. A fifth of them calibrates and isn't trained on.
+    """(model, thresholds), of labelled rows whose fold isn't ``held``.
+
+    The network trains on a bounded sample: at most ``MOST_TOXIC`` and ``MOST_CLEAN`` rows, those with the least hashes,
+    of four fifths of the rows. All the others are scored and counted by language, label and bin of the logit, and
+    the counts, weighted to all labelled rows, calibrate.
 
     Labels are joined by key; a key labelled more than once takes its largest label, null labels are left out."""
     y = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & (fold(F.col(key), folds) != held))
-    y = y.groupBy(F.col(key).alias("id")).agg(F.max("toxic").alias("y")).withColumn("order", F.xxhash64("id"))
-    pick = y.where("y > 0").orderBy("order", "id").limit(MOST_TOXIC).unionByName(y.where("y <= 0").orderBy("order", "id").limit(MOST_CLEAN))
+    y = y.groupBy(F.col(key).alias("id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
+    first = y.where(F.pmod(F.xxhash64(F.lit("later"), "id"), F.lit(5)) != 0).withColumn("order", F.xxhash64("id"))
+    pick = first.where("y = 1").orderBy("order", "id").limit(MOST_TOXIC).unionByName(first.where("y = 0").orderBy("order", "id").limit(MOST_CLEAN))
     # at most MOST_TOXIC + MOST_CLEAN rows, so their ids can be broadcast and one task holds their texts
+    pick = materialise(pick.select("id", "y"))
     src = docs.select(docs[key].alias("id"), docs[text].alias("t"), docs[lang].alias("lang"))
-    rows = src.join(F.broadcast(pick.select("id", "y")), "id").select("id", "y", "lang", F.coalesce("t", F.lit("")).alias("t"))
-    return learn_in_task(rows, learn)
-
+    rows = src.join(F.broadcast(pick), "id").select("id", "y", F.coalesce("t", F.lit("")).alias("t"))
+    model = learn_in_task(rows, learn)
+    cast = docs.sparkSession.sparkContext.broadcast(model)
 
-def learn(rows: list[dict]) -> tuple[Model, dict]:
-    """(model, thresholds); every fifth row by hash calibrates, the others train."""
+    def run(batches):
+        m = cast.value
+        for part, buf, offs in chunks(batches, "t"):
+            h, r = features(buf, offs)
+            z = np.clip(m.logit(m.pooled(h, r, len(offs) - 1)).astype(np.float64), -60, 60)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.floor(z * BINS).astype(np.int32))], ["id", "lang", "bin"])
+
+    # every text is scored before the join, so that the join moves no texts
+    binned = src.mapInArrow(run, f"id {dict(docs.dtypes)[key]}, lang string, bin int").join(y, "id")
+    binned = binned.join(F.broadcast(pick.select("id", F.lit(True).alias("trained"))), "id", "left")
+    counts = binned.groupBy("lang", "y", F.when(F.col("trained").isNull(), F.col("bin")).alias("bin")).count().collect()
+    whole: dict = {}
+    for r in counts:
+        whole[r["lang"], r["y"]] = whole.get((r["lang"], r["y"]), 0) + r["count"]
+    return model, calibrate(model, [(r["lang"], r["y"], r["bin"], r["count"]) for r in counts if r["bin"] is not None], whole)
+
+
+def learn(rows: list[dict]) -> Model:
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["t"]))
-    later, first = rows[::5], [r for i, r in enumerate(rows) if i % 5]
-    model = fit([r["t"] for r in first], [int(r["y"] > 0) for r in first])
-    return model, calibrate(model, [r["t"] for r in later], [int(r["y"] > 0) for r in later], [r["lang"] for r in later])
+    return fit([r["t"] for r in rows], [r["y"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, thresholds: dict, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

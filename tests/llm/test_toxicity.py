@@ -71,3 +71,15 @@ def test_blocks_of_words_do_not_matter():
     whole = m.pooled(h, r, len(raw))
     for step in (7, 64):
         assert m.pooled(h, r, len(raw), step) == pytest.approx(whole, abs=1e-5)
+
+
+def test_calibration_has_the_frequencies_of_all_labelled_rows(spark, monkeypatch):
+    """Caps change the sample's mix of classes, but neither calibration nor the rows it counts."""
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 60)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 120)
+    rnd = random.Random(3)
+    rows = [(*r[:4], int(rnd.random() < (0.3 if r[4] else 0.05))) for r in made(1600)]  # labels that no score separates
+    out = toxicity.judge(docs(spark, [r[:4] for r in rows]), labels(spark, rows)).collect()
+    share = np.mean([r[4] for r in rows])
+    assert np.mean([r.score for r in out]) == pytest.approx(share, abs=0.04)
+    assert all(r.threshold != 0.3 for r in out)
