@@ -178,9 +178,10 @@ def relaxed(p: np.ndarray, compatibility: np.ndarray, size: int, iterations: int
 
 def tiled(pixels: DataFrame, value: str, name: str, size: int, tile: int = TILE, **how) -> DataFrame:
     """(i, j, out) of a kernel: cells go to their tile and to those whose halo they are in; a tile is one task's array
-    of at most (tile + size)^2 cells, whatever the scene."""
-    half = size // 2 + 1
-    cuts = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - half) / tile), F.floor(F.col(c) / tile), F.floor((F.col(c) + half) / tile)))
+    of its own and its halo's cells, whatever the scene. The halo is half a window, or a whole one for circles, whose ring is judged at a
+    centre half a window away."""
+    half = (2 if name == "circles" else 1) * (size // 2) + 1
+    cuts = lambda c: F.sequence(F.floor((F.col(c) - half) / tile), F.floor((F.col(c) + half) / tile))
     sent = pixels.select("i", "j", F.col(value).cast("double").alias("v")).withColumn("ti", F.explode(cuts("i"))).withColumn("tj", F.explode(cuts("j")))
 
     def run(key, pdf):

@@ -91,6 +91,14 @@ def test_tiles_equal_the_whole(spark, name):
         assert got == pytest.approx(whole)
 
 
+@pytest.mark.parametrize("size, tile", [(5, 8), (7, 8), (7, 3)])
+def test_circles_over_tiles_equal_the_whole(spark, size, tile):
+    a = np.random.default_rng(1).random((30, 23)).round(1) * (np.random.default_rng(2).random((30, 23)) < 0.3)
+    whole = focal.kernel("circles", np.pad(a, 9), size, least=0.4)[9:-9, 9:-9]
+    got = array(focal.tiled(frame(spark, a), "v", "circles", size, tile=tile, least=0.4), a.shape)
+    assert 0 < whole.mean() < 1 and (got == whole).all()
+
+
 def test_relaxation_keeps_shape():
     p = np.random.default_rng(2).dirichlet([1, 1, 1], (6, 7)).transpose(2, 0, 1)
     out = focal.relaxed(p, np.eye(3), 3, 2)
