@@ -79,6 +79,31 @@ def test_borderline_groups(spark, monkeypatch):
     same(spark, rows)
 
 
+def test_hot_passages(spark, monkeypatch):
+    """Texts that share passages, many of them by nothing else, with n-grams hot beyond a few holders."""
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passages = [[word() for _ in range(n)] for n in (30, 55, 80)]
+    texts = []
+    for p in passages:
+        for _ in range(40):  # the passage is 75 to 100 % of the text
+            own = [word() for _ in range(rnd.randrange(0, len(p) // 3))]
+            texts.append(" ".join(p + own if rnd.random() < 0.5 else own + p))
+    for _ in range(30):  # two passages, the second cut
+        p, q = rnd.sample(passages, 2)
+        texts.append(" ".join(p + q[: rnd.randrange(len(q))] + [word() for _ in range(rnd.randrange(9))]))
+    texts += near_copies(60, 70, 6, 8)
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts, 1000))
+    same(spark, rows, hot=3)
+    same(spark, rows, hot=1)
+    monkeypatch.setattr(ngram_join, "PART", 3000)
+    monkeypatch.setattr(ngram_join, "PER_SALT", 3)
+    monkeypatch.setattr(ngram_join, "PER_COUNT", 900)
+    same(spark, rows, hot=8)
+    same(spark, rows)
+
+
 def test_cases(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "A b"), (5, "a  B"), (6, "b a"), (7, "a b c d e"), (8, "a b c d e f"), (9, long), (10, long + " tail"), (11, "a b c d e"), (12, "a b")]
