@@ -8,21 +8,36 @@ from pyspark.sql import functions as F
 from gridlake.llm.shared import materialise
 
 
+HEAVY = 50_000  # edges of a node from which its edges are dealt out by more than the node
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node of its component.
 
     Each round takes the least label among neighbours, then the label of that label, so long paths halve. Sums and
-    minima are partial before shuffles and joins are on one row per node, so a node with a third of all edges is
-    dealt out. Each round's labels are a table in the shared folder. No edges: no rows. Self-loops and repeated
-    edges change nothing; edges with a null end are left out."""
+    minima are partial before shuffles; a node of very many edges is salted: its edges are dealt out and its label is
+    sent to each part. Such nodes are at most one in ``HEAVY`` edges, so their table may be broadcast. Each round's
+    labels are a table in the shared folder. No edges: no rows. Self-loops and repeated edges change nothing; edges
+    with a null end are left out."""
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     sym = materialise(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = materialise(sym.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")))
+    heavy = sym.groupBy("y").agg(F.count(F.lit(1)).alias("edges")).where(F.col("edges") > HEAVY)
+    heavy = materialise(heavy.select(F.col("y").alias("hub"), F.ceil(F.col("edges") / HEAVY).cast("int").alias("parts")))
+    if salted := heavy.limit(1).count():
+        heavy = F.broadcast(heavy)
+        sym = sym.join(heavy, sym["y"] == heavy["hub"], "left").select("x", "y", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
     while True:
-        near = sym.join(labels, sym["y"] == labels["node"]).groupBy("x").agg(F.min("root").alias("m"))
+        if salted:
+            dealt = labels.join(heavy, labels["node"] == heavy["hub"], "left").select("node", "root", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+            near = sym.join(dealt, (sym["y"] == dealt["node"]) & (sym["salt"] == dealt["part"]))
+        else:
+            near = sym.join(labels, sym["y"] == labels["node"])
+        near = near.groupBy("x").agg(F.min("root").alias("m"))
         step = labels.join(near, labels["node"] == near["x"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
-        up = step.select(F.col("node").alias("up"), F.col("root").alias("upper"))
-        new = materialise(step.join(up, step["root"] == up["up"]).select("node", F.least("root", "upper").alias("root"), "was"))
+        # only roots that have found a smaller one are sent, so few that adaptive execution broadcasts or splits the join
+        up = step.select(F.col("node").alias("up"), F.col("root").alias("upper")).where("upper < up")
+        new = materialise(step.join(up, step["root"] == up["up"], "left").select("node", F.coalesce("upper", "root").alias("root"), "was"))
         labels = new.select("node", "root")
         if not new.where("root <> was").limit(1).count():
             return labels

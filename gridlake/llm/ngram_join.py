@@ -563,14 +563,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     alike = materialise(alike.select(F.col("cid").alias("a"), "b"))
     itself = classes.where(F.col("hn") * (100 + num) >= 2 * num * F.col("n")).select("cid")
 
-    def grouped(links):
-        """Components of nodes and classes; a class that links holds its members together."""
-        links = links.unionByName(alike)
+    def grouped(links, more=None, roots=None):
+        """Components of nodes and classes; a class that links holds its members together. With ``more`` links beside
+        those that made ``roots``, only links between the components of ``roots`` are looked at."""
         linked = links.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(itself).distinct()
-        held = members.join(linked, "cid", "left_semi").select(F.col("id").alias("a"), F.col("cid").alias("b"))
-        return components(links.unionByName(held))
+        edges = members.join(linked, "cid", "left_semi").select(F.col("id").alias("a"), F.col("cid").alias("b"))
+        edges = edges.unionByName(links if more is None else more)
+        if roots is None:
+            return components(edges)
+        for side in ("a", "b"):
+            edges = edges.join(roots.toDF(side, f"r{side}"), side, "left")
+        edges = edges.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+        up = components(edges)
+        moved = roots.join(up.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        return materialise(moved.unionByName(up.join(roots, "node", "left_anti")))
 
-    links = verified(first_round)
+    links = verified(first_round).unionByName(alike)
     roots = grouped(links)
     each = once.select("gid", "salts", "salt", "times", F.explode(F.arrays_zip("fps", "ns", "hs")).alias("m"))
     each = each.select("gid", "salts", "salt", "times", F.col("m.fps").alias("fp"), F.col("m.ns").alias("n"), F.col("m.hs").alias("h"))
@@ -593,7 +601,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
         if not more.limit(1).count():
             break
         links = links.unionByName(more)
-        roots = grouped(links)
+        roots = grouped(links, more, roots)
         lists = open_lists()
     if lists.limit(1).count():
         other = lists.where("salts > 1").select("gid", F.col("salt").alias("salt2"), F.col("x").alias("y"))
@@ -604,8 +612,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
         crossed = crossed.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
         crossed = crossed.join(few, ["a", "b"], "left").withColumn("shared", F.col("shared") + F.coalesce("few", F.lit(0)))
         crossed = bounded(crossed, members.select("id", "hot"))
-        links = links.unionByName(verified(materialise(crossed.join(first_round, ["a", "b"], "left_anti"))))
-        roots = grouped(links)
+        more = verified(materialise(crossed.join(first_round, ["a", "b"], "left_anti")))
+        roots = grouped(links.unionByName(more), more, roots)
     of_node = least_of.join(roots, least_of["id"] == roots["node"], "left").select("f1", "f2", "least", F.coalesce("root", "id").alias("root"))
     ends = of_node.groupBy("root").agg(F.min("least").alias("component"))
     label = of_node.join(ends, "root").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "component")
@@ -621,3 +629,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     a null key: nothing tells which of them is smaller."""
     gone = join(docs, key, text, **how).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("__gone")).distinct()
     return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+
+
+#: The same rows in DuckDB, for the table of documents: shingles are compared as texts, components by reachability.
+SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM docs WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT docs.doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM docs JOIN reach ON docs.doc_id = reach.doc_id LEFT JOIN sizes ON sizes.doc_id = docs.doc_id GROUP BY docs.doc_id
+"""

@@ -9,7 +9,11 @@ groups to buckets of anchors:
 3. where an anchor has several different blocks, their bytes go to a bucket, whose strings are put in order by a
    mergesort that compares suffixes by prefix hashes: a binary search over lengths finds the common extension of
    two suffixes, and the byte behind it decides. Neighbours whose common extension reaches ``length`` are compared
-   byte by byte, so no hash collision removes a byte.
+   byte by byte.
+
+A block that another document holds whole has nothing to sort: it is removed by equality with the other, which is
+verified by ``Blocks.digests``, a second 64-bit hash of its bytes of another kind than the first. So only strings that
+agree in two independent hashes, 128 bits, or byte by byte, are removed; a collision of the first hash removes nothing.
 
 No group of equal strings is ever gathered: a group of texts sends each block once, with its least document.
 """
@@ -30,25 +34,26 @@ GROUP_BYTES = 12 << 20
 BUCKET_KEYS = 400_000
 PER_SALT = 20_000  # groups that may hold an anchor before its strings are dealt out one by one
 _LAST = np.iinfo(np.int64).max
+_TWICE = np.uint64(40)  # bit of an asked block that two documents of its group hold
 
 
 def gram_hashes(p: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Mixed hashes of the k bytes at each of the n starts."""
+    """Hashes of the k bytes at each of the n starts, not mixed."""
     out, step, inv = np.empty(n, np.uint64), 1 << 15, _powers(_INV, len(p))
     for i in range(0, n, step):
         j = min(i + step, n)
         np.subtract(p[i + k : j + k], p[i:j], out=out[i:j])
         out[i:j] *= inv[i:j]
-        mix(out[i:j])
     return out
 
 
 def leftmost_min(h: np.ndarray, w: int, step: int = 1 << 14) -> np.ndarray:
-    """Position of the first least value in each window of w values, by doubling, in pieces that stay in cache."""
+    """Position of the first value with the least upper half in each window of w values, by doubling, in pieces that
+    stay in cache."""
     n = len(h) - w + 1
     out = np.empty(n, np.int32)
     for i in range(0, n, step):
-        val = h[i : min(i + step, n) + w - 1].copy()
+        val = (h[i : min(i + step, n) + w - 1] >> np.uint64(32)).astype(np.uint32)
         at, size = np.arange(i, i + len(val), dtype=np.int32), 1
         while size < w:
             d = min(size, w - size)
@@ -64,7 +69,7 @@ class Blocks:
     """Anchors of a chunk: positions p, first and last string lo..hi that each represents, row, keys A and H."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, length: int, k: int):
-        self.buf, self.length = buf, length
+        self.buf, self.length, self.longest = buf, length, 2 * length - k
         n = len(buf) - length + 1
         empty = np.zeros(0, np.int64)
         self.p = self.lo = self.hi = self.row = empty
@@ -89,13 +94,23 @@ class Blocks:
         self.lo, self.hi = s[first], s[np.r_[first[1:], len(s)] - 1]
         self.p = a[first].astype(np.int64)
         self.row = np.searchsorted(offs, self.lo, "right") - 1
-        self.a = grams[self.p]
+        self.a = mix(grams[self.p])
         h = span_hashes(p, self.lo, self.hi + length)
         h += (self.p - self.lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
         h ^= (self.hi - self.lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         self.h = mix(h)
         self.prefix = p
 
+    def digests(self, i: np.ndarray) -> np.ndarray:
+        """A second hash of the bytes of blocks i: their words of 8 bytes, mixed one after the other."""
+        view = np.ndarray(max(0, len(self.buf) - 7), "<u8", np.ascontiguousarray(self.buf), 0, (1,))
+        lo, size = self.lo[i], self.hi[i] - self.lo[i] + self.length
+        acc = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (self.p[i] - self.lo[i]).astype(np.uint64)
+        for w in range(0, self.longest if len(i) else 0, 8):  # as many for every block
+            acc ^= view[lo + np.minimum(w, size - 8)]  # a word beyond the block's end is its last one
+            mix(acc)
+        return acc
+
 
 def _table_blocks(table, length: int, k: int):
     """(doc of each row, Blocks, offsets) by chunk. Null keys are after all others."""
@@ -111,6 +126,21 @@ def _gather(table, length: int, k: int):
     return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
 
 
+def _repeated(x: np.ndarray) -> np.ndarray:
+    """The sorted values that occur twice or more."""
+    y = np.sort(x)
+    return np.unique(y[1:][y[1:] == y[:-1]])
+
+
+def _first_of(*cols: np.ndarray) -> np.ndarray:
+    """True for the first of each run of equal rows of sorted columns."""
+    n = len(cols[0])
+    out = np.ones(n, bool)
+    if n:
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return out
+
+
 def _rows(g, bucket, cols, buckets: int, kind: str = ""):
     """One row for each bucket; ``cols``: name -> array, or a list of bytes, in any order."""
     order = np.argsort(bucket, kind="stable")
@@ -161,63 +191,87 @@ def _lookup(u: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _ask_blocks(length, k, buckets):
     def run(left, right):
         if not left.num_rows:
-            return _rows(0, np.zeros(0, np.int64), {c: np.zeros(0, np.uint64) for c in ("a", "h", "doc", "salts")}, buckets)
+            return _rows(0, np.zeros(0, np.int64), {c: np.zeros(0, np.uint64) for c in ("a", "h", "h2", "doc", "salts")}, buckets)
         g = left.column("g")[0].as_py()
-        a, h, doc = _gather(left, length, k)
         held, n = _join_rows(right, a=np.uint64, n=np.uint32)
         order = np.argsort(held)
         held, n = held[order], n[order]
-        at, found = _lookup(held, a)
-        u, inverse, count = np.unique(a, return_inverse=True, return_counts=True)
-        take = np.flatnonzero(found | (count[inverse] > 1))
-        a, h, doc, at, found = a[take], h[take], doc[take], at[take], found[take]
-        salts = np.where(found, -(-(n[at] if len(n) else np.ones(len(at), np.uint32)).astype(np.int64) // PER_SALT), 1).astype(np.uint64)
-        order = np.lexsort((doc, h))
-        a, h, doc, salts = a[order], h[order], doc[order], salts[order]
-        first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-        a, h, doc, salts = a[first], h[first], doc[first], salts[first]
-        return _rows(g, _bucket_of(a + h % np.maximum(salts, np.uint64(1)), buckets), {"a": a, "h": h, "doc": doc, "salts": salts}, buckets)
+        own = _repeated(np.concatenate([b.a for _, _, b, _ in _table_blocks(left, length, k)] or [np.zeros(0, np.uint64)]))
+        got = []
+        for _, doc, b, _ in _table_blocks(left, length, k):
+            at, found = _lookup(held, b.a)
+            take = np.flatnonzero(found | _lookup(own, b.a)[1])
+            at, found = at[take], found[take]
+            salts = np.where(found, -(-(n[at] if len(n) else np.ones(len(at), np.uint32)).astype(np.int64) // PER_SALT), 1).astype(np.uint64)
+            got.append((b.a[take], b.h[take], b.digests(take), doc[b.row[take]], salts))
+        a, h, h2, doc, salts = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, np.uint64)] * 5
+        order = np.lexsort((doc, h2, h))
+        first = _first_of(h[order], h2[order])
+        docs, place = doc[order], np.cumsum(first) - 1
+        twice = np.bincount(place, docs > docs[first][place], minlength=int(first.sum())) > 0  # in documents of this group
+        order = order[first]
+        a, h, h2, doc, salts = a[order], h[order], h2[order], doc[order], salts[order]
+        bucket = _bucket_of(a + h % np.maximum(salts, np.uint64(1)), buckets)
+        return _rows(g, bucket, {"a": a, "h": h, "h2": h2, "doc": doc, "salts": salts | (twice.astype(np.uint64) << _TWICE)}, buckets)
 
     return run
 
 
 def _answer_blocks(table):
     """For each asked block: the least document that holds it, and whether its anchor has other blocks too."""
-    a, h, doc, salts = _join_rows(table, a=np.uint64, h=np.uint64, doc=np.int64, salts=np.uint64)
+    a, h, h2, doc, salts = _join_rows(table, a=np.uint64, h=np.uint64, h2=np.uint64, doc=np.int64, salts=np.uint64)
     sizes = [len(b.as_py()) // 8 for b in table.column("h")]
-    hu, hi = np.unique(h, return_inverse=True)
-    least = np.full(len(hu), _LAST)
-    np.minimum.at(least, hi, doc)
-    pair = np.unique(np.stack([a, h], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-    au, blocks = np.unique(pair[:, 0], return_counts=True)
-    many = (blocks[np.searchsorted(au, a)] > 1) | (salts > 1) if len(a) else np.zeros(0, bool)
-    mine = least[hi] if len(h) else least
-    send = many | (mine < doc)
+    twice, salts = salts >> _TWICE > 0, salts & ((np.uint64(1) << _TWICE) - np.uint64(1))
+    order = np.lexsort((h2, h))
+    first = _first_of(h[order], h2[order])
+    block = np.empty(len(h), np.int64)
+    block[order] = np.cumsum(first) - 1
+    least = np.full(int(first.sum()), _LAST)
+    np.minimum.at(least, block, doc)
+    anchors = np.sort(a[order][first])  # one for each different block
+    many = (np.searchsorted(anchors, a, "right") - np.searchsorted(anchors, a) > 1) | (salts > 1)
+    mine = least[block]
+    send = many | twice | (mine < doc)
     ends, out = np.cumsum(sizes), []
     for size, e in zip(sizes, ends):
         i = np.arange(e - size, e)[send[e - size : e]]
-        out.append((h[i].tobytes(), mine[i].tobytes(), np.where(many[i], salts[i], 0).astype(np.uint64).tobytes()))
-    none = pa.nulls(len(out), pa.binary())
-    return pa.table({"g": table.column("g"), "kind": pa.array([0] * len(out), pa.int32()), "h": pa.array([x[0] for x in out], pa.binary()), "least": pa.array([x[1] for x in out], pa.binary()), "more": pa.array([x[2] for x in out], pa.binary())})
+        out.append((h[i].tobytes(), h2[i].tobytes(), mine[i].tobytes(), np.where(many[i], salts[i], 0).astype(np.uint64).tobytes()))
+    return pa.table({"g": table.column("g"), "kind": pa.array([0] * len(out), pa.int32())} | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("h", "h2", "least", "more"))})
 
 
 def _known(right, kind: int):
-    """Sorted (h, least, more) of one kind of answer."""
+    """(h, h2, least, more) of one kind of answer, sorted by h."""
     part = right.filter(pa.array(np.asarray(right.column("kind")) == kind)) if right.num_rows else right
-    h, least, more = _join_rows(part, h=np.uint64, least=np.int64, more=np.uint64)
-    order = np.argsort(h)
-    return h[order], least[order], more[order]
-
-
-def _open_blocks(doc_of, b, known):
+    cols = _join_rows(part, h=np.uint64, h2=np.uint64, least=np.int64, more=np.uint64)
+    order = np.argsort(cols[0], kind="stable")
+    return [c[order] for c in cols]
+
+
+def _match(known, b, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of ``known``, found) for blocks i of a chunk, by both hashes."""
+    h, h2 = known[0], known[1]
+    at, found = _lookup(h, b.h[i])
+    go = np.flatnonzero(found)
+    mine = b.digests(i[go])
+    at = at.copy()
+    while len(go):  # past blocks whose first hash collides
+        other = h2[at[go]] != mine
+        go, mine = go[other], mine[other]
+        at[go] += 1
+        past = (at[go] >= len(h)) | (h[np.minimum(at[go], len(h) - 1)] != b.h[i[go]])
+        found[go[past]] = False
+        at[go[past]] = 0
+        go, mine = go[~past], mine[~past]
+    return at, found
+
+
+def _open_blocks(doc_of, b, known, match):
     """Of a chunk's blocks: (index, salts) of those that are the least document's own and must be compared."""
-    h, least, more = known
-    at, found = _lookup(h, b.h)
-    if not len(h):
+    at, found = match
+    if not len(known[0]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    is_open = found & (more[at] > 0) & (least[at] == doc_of)
-    i = np.flatnonzero(is_open)
-    return i, more[at[i]].astype(np.int64)
+    i = np.flatnonzero(found & (known[3][at] > 0) & (known[2][at] == doc_of))
+    return i, known[3][at[i]].astype(np.int64)
 
 
 def _each_string(b, i, length):
@@ -237,13 +291,13 @@ def _ask_bytes(length, k, buckets):
         g = left.column("g")[0].as_py() if left.num_rows else 0
         known, seen = _known(right, 0), set()
         for _, doc, b, _ in _table_blocks(left, length, k):
-            i, salts = _open_blocks(doc[b.row], b, known)
-            raw = b.buf
-            for x, s in zip(i.tolist(), salts.tolist()):
-                if s == 1 and (name := int(b.h[x])) not in seen:
-                    seen.add(name)
+            i, salts = _open_blocks(doc[b.row], b, known, _match(known, b, np.arange(len(b.h))))
+            raw, second = b.buf, b.digests(i)
+            for x, s, name2 in zip(i.tolist(), salts.tolist(), second.tolist()):
+                if s == 1 and (name := int(b.h[x]), name2) not in seen:
+                    seen.add((name, name2))
                     keys.append(int(b.a[x]))
-                    meta.append((name, int(doc[b.row[x]]), int(b.p[x] - b.lo[x]), int(b.hi[x] - b.lo[x] + 1)))
+                    meta.append((name, int(doc[b.row[x]]), int(b.p[x] - b.lo[x]), int(b.hi[x] - b.lo[x] + 1), name2))
                     data.append(raw[b.lo[x] : b.hi[x] + length].tobytes())
             _, start, names = _each_string(b, i[salts > 1], length)
             block = _
@@ -252,7 +306,7 @@ def _ask_bytes(length, k, buckets):
                 if (name, d) not in seen:
                     seen.add((name, d))
                     keys.append(name)
-                    meta.append((name, d, -1, 1))
+                    meta.append((name, d, -1, 1, 0))
                     data.append(raw[s : s + length].tobytes())
         bucket = _bucket_of(np.array(keys, np.uint64), buckets)
         order = np.argsort(bucket, kind="stable")
@@ -265,6 +319,7 @@ def _ask_bytes(length, k, buckets):
                 "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
                 "a": col(keys, np.uint64),
                 "h": col([m[0] for m in meta], np.uint64),
+                "h2": col([m[4] for m in meta], np.uint64),
                 "doc": col([m[1] for m in meta], np.int64),
                 "shift": col([m[2] for m in meta], np.int64),
                 "n": col([m[3] for m in meta], np.int64),
@@ -371,7 +426,7 @@ def least_holder(buf: np.ndarray, at: np.ndarray, segment: np.ndarray, doc: np.n
 
 def _answer_bytes(length):
     def run(table):
-        a, h, doc, shift, n = _join_rows(table, a=np.uint64, h=np.uint64, doc=np.int64, shift=np.int64, n=np.int64)
+        a, h, h2, doc, shift, n = _join_rows(table, a=np.uint64, h=np.uint64, h2=np.uint64, doc=np.int64, shift=np.int64, n=np.int64)
         buf = np.concatenate([np.frombuffer(b.as_py(), np.uint8) for b in table.column("data")])
         sizes = [len(b.as_py()) // 8 for b in table.column("h")]
         begin = np.cumsum(n + length - 1) - (n + length - 1)
@@ -393,8 +448,8 @@ def _answer_bytes(length):
         for size, e in zip(sizes, ends):
             i = np.arange(e - size, e)
             i = i[(bits[i] > 0) | single[i]]
-            out.append((h[i].tobytes(), least[i].tobytes(), bits[i].tobytes()))
-        return pa.table({"g": table.column("g"), "kind": pa.array([1] * len(out), pa.int32()), "h": pa.array([x[0] for x in out], pa.binary()), "least": pa.array([x[1] for x in out], pa.binary()), "more": pa.array([x[2] for x in out], pa.binary())})
+            out.append((h[i].tobytes(), h2[i].tobytes(), least[i].tobytes(), bits[i].tobytes()))
+        return pa.table({"g": table.column("g"), "kind": pa.array([1] * len(out), pa.int32())} | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("h", "h2", "least", "more"))})
 
     return run
 
@@ -406,29 +461,24 @@ def _remove(length, k, key, key_type):
     def run(left, right):
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
+        # the answers to whole blocks hold the least documents of all groups, this one's too
         whole, part = _known(right, 0), _known(right, 1)
-        a, h, doc = _gather(left, length, k)
-        order = np.lexsort((doc, h))
-        u, first = np.unique(h[order], return_index=True)
-        own = doc[order][first]  # least document of the group itself
-        at, found = _lookup(whole[0], u)
-        if found.any():
-            own[found] = np.minimum(own[found], whole[1][at[found]])
         # strings of salted anchors: the least document among the group's own and the answered ones
-        strings, least = part[0], part[1]
+        strings, least = part[0], part[2]
         cols = [[] for _ in names]
         for rows, d, b, offs in _table_blocks(left, length, k):
             n = len(b.buf)
             step = np.zeros(n + 1, np.int32)
             if len(b.h):
                 mine = d[b.row]
-                done = own[_lookup(u, b.h)[0]] < mine
+                at, found = match = _match(whole, b, np.arange(len(b.h)))
+                done = found & (whole[2][at] < mine) if len(whole[0]) else found
                 lo, hi = [b.lo[done]], [b.hi[done] + length]
-                i, salts = _open_blocks(mine, b, whole)
+                i, salts = _open_blocks(mine, b, whole, match)
                 plain = i[salts == 1]
-                at, found = _lookup(part[0], b.h[plain])
+                at, found = _match(part, b, plain)
                 if found.any():
-                    bits = part[2][at[found]]
+                    bits = part[3][at[found]]
                     for j in range(length - k + 1):
                         s = b.lo[plain[found]][(bits >> np.uint64(j)) & np.uint64(1) > 0] + j
                         lo.append(s)
@@ -466,8 +516,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     from each other; rows with a null key come after all others and don't take from each other. Other columns
     aren't read."""
     k = max(4, length * 2 // 5)
-    if not k < length <= k + 63:
-        raise ValueError("length must be 7 to 105")
+    if not max(k, 7) < length <= k + 63:
+        raise ValueError("length must be 8 to 105")
     src = docs.select(docs[key].cast("bigint").alias("k"), docs[text].alias("t"))
     size = src.agg(F.coalesce(F.sum(F.octet_length("t") + F.lit(2)), F.count(F.lit(1)))).first()[0] or 1
     groups = max(1, -(-size // GROUP_BYTES))
@@ -476,9 +526,28 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     texts = src.groupBy("g")
     anchors = texts.applyInArrow(_ask_anchors(length, k, buckets), "g bigint, bucket int, a binary")
     anchors = anchors.groupBy("bucket").applyInArrow(_answer_anchors, "g bigint, a binary, n binary")
-    blocks = texts.cogroup(anchors.groupBy("g")).applyInArrow(_ask_blocks(length, k, buckets), "g bigint, bucket int, a binary, h binary, doc binary, salts binary")
-    answer = "g bigint, kind int, h binary, least binary, more binary"
+    blocks = texts.cogroup(anchors.groupBy("g")).applyInArrow(_ask_blocks(length, k, buckets), "g bigint, bucket int, a binary, h binary, h2 binary, doc binary, salts binary")
+    answer = "g bigint, kind int, h binary, h2 binary, least binary, more binary"
     blocks = blocks.groupBy("bucket").applyInArrow(_answer_blocks, answer)
-    pieces = texts.cogroup(blocks.groupBy("g")).applyInArrow(_ask_bytes(length, k, buckets), "g bigint, bucket int, a binary, h binary, doc binary, shift binary, n binary, data binary")
+    pieces = texts.cogroup(blocks.groupBy("g")).applyInArrow(_ask_bytes(length, k, buckets), "g bigint, bucket int, a binary, h binary, h2 binary, doc binary, shift binary, n binary, data binary")
     pieces = pieces.groupBy("bucket").applyInArrow(_answer_bytes(length), answer)
     return texts.cogroup(blocks.unionByName(pieces).groupBy("g")).applyInArrow(_remove(length, k, key, pa.int64()), f"{key} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+#: The same rows in DuckDB, for the table of documents: strings of 50 bytes are compared themselves, as hexadecimal text.
+SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS s FROM docs WHERE length(x) >= 100),
+strings AS (SELECT doc_id, s, substr(x, 2 * s + 1, 100) AS w FROM starts),
+first AS (SELECT w, min(doc_id) AS least FROM strings GROUP BY w HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT strings.doc_id, strings.s FROM strings JOIN first ON strings.w = first.w WHERE first.least < strings.doc_id),
+marked AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS fresh FROM gone),
+spanned AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(s) AS a, max(s) + 50 AS e FROM spanned GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, span, a, e, lead(a) OVER (PARTITION BY doc_id ORDER BY span) AS next_a FROM spans),
+parts AS (SELECT gaps.doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, min(a) AS a0,
+    string_agg(substr(x, 2 * e + 1, 2 * (coalesce(next_a, length(x) // 2) - e)), '' ORDER BY span) AS kept FROM gaps JOIN docs ON gaps.doc_id = docs.doc_id GROUP BY gaps.doc_id)
+SELECT docs.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE substr(x, 1, 2 * a0) || kept END)) AS kept_sha256
+FROM docs LEFT JOIN parts ON docs.doc_id = parts.doc_id
+"""

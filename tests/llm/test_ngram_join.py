@@ -1,12 +1,13 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from gridlake.llm import ngram_join
 from gridlake.llm.components import components
-from tests.llm.common import as_dict, docs, table
+from tests.llm.common import SF, as_dict, docs, table
 
 
 def lower(t):
@@ -137,10 +138,12 @@ def test_filters_never_prune_a_link():
             assert set(a[: ngram_join.prefix_length(len(a), 80)]) & set(b[: ngram_join.prefix_length(len(b), 80)])
 
 
-@pytest.mark.parametrize("kind", ["path", "star", "random", "none"])
-def test_components(spark, kind):
+@pytest.mark.parametrize("kind", ["path", "star", "random", "none", "salted"])
+def test_components(spark, kind, monkeypatch):
+    if kind == "salted":
+        monkeypatch.setitem(components.__globals__, "HEAVY", 7)
     rnd = random.Random(3)
-    e = {"path": [(i, i + 1) for i in range(70)], "star": [(500, i) for i in range(99)], "random": [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)], "none": []}[kind]
+    e = {"path": [(i, i + 1) for i in range(70)], "star": [(500, i) for i in range(99)], "random": [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)], "none": [], "salted": [(500, i) for i in range(99)] + [(i, i + 1) for i in range(95, 130)]}[kind]
     up = {}
 
     def find(i):
@@ -154,3 +157,10 @@ def test_components(spark, kind):
         up[max(x, y)] = min(x, y)
     got = as_dict(components(spark.createDataFrame(e, "a long, b long")), "node")
     assert {n: r["root"] for n, r in got.items()} == {n: find(n) for n in up}
+
+
+def test_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = {d: (n, c) for d, n, c in con.execute(ngram_join.SQL).fetchall()}
+    assert got == brute([(r.doc_id, r.text) for r in table(spark, "documents").select("doc_id", "text").collect()])

@@ -1,12 +1,15 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from gridlake.llm import suffix_dedup
 from gridlake.llm.shared import prefix_hashes
-from tests.llm.common import docs, table
+from tests.llm.common import SF, docs, table
 
 
 def brute(rows, length=50):
@@ -92,3 +95,44 @@ def test_collisions_are_verified(monkeypatch):
     got = suffix_dedup.least_holder(buf, at, np.zeros(380, np.int64), doc, 8)
     for i in range(380):
         assert got[i] == min(doc[j] for j in range(380) if (buf[j : j + 8] == buf[i : i + 8]).all())
+
+
+def in_process(rows, length=50, k=20, groups=3, buckets=2):
+    """The steps of ``dedup`` on tables in this process."""
+    cut = lambda t, name: [t.filter(pc.equal(t.column(name), v)) for v in sorted(set(t.column(name).to_pylist()))]
+    texts = {g: pa.table({"g": pa.array([g] * len(part), pa.int64()), "k": pa.array([d for d, _ in part], pa.int64()), "t": [t for _, t in part]}) for g in range(groups) if (part := rows[g::groups])}
+
+    def by_group(f, answers):
+        empty = answers.slice(0, 0)
+        return [f(t, answers.filter(pc.equal(answers.column("g"), g)) if answers.num_rows else empty) for g, t in texts.items()]
+
+    ask = pa.concat_tables([suffix_dedup._ask_anchors(length, k, buckets)(t) for t in texts.values()])
+    anchors = pa.concat_tables([suffix_dedup._answer_anchors(t) for t in cut(ask, "bucket")])
+    blocks = pa.concat_tables(by_group(suffix_dedup._ask_blocks(length, k, buckets), anchors))
+    whole = pa.concat_tables([suffix_dedup._answer_blocks(t) for t in cut(blocks, "bucket")])
+    pieces = pa.concat_tables(by_group(suffix_dedup._ask_bytes(length, k, buckets), whole))
+    every = pa.concat_tables([whole, *(suffix_dedup._answer_bytes(length)(t) for t in cut(pieces, "bucket"))])
+    out = pa.concat_tables(by_group(suffix_dedup._remove(length, k, "doc_id", pa.int64()), every)).to_pylist()
+    return sorted((tuple(r.values()) for r in out), key=str)
+
+
+@pytest.mark.parametrize("bits", [0, 2, 64])
+def test_colliding_block_hashes(monkeypatch, bits):
+    """With first hashes of blocks that collide, all or most of them, no other byte goes."""
+    real = suffix_dedup.Blocks.__init__
+
+    def init(self, *how):
+        real(self, *how)
+        self.h = self.h & np.uint64((1 << bits) - 1)
+
+    monkeypatch.setattr(suffix_dedup.Blocks, "__init__", init)
+    rows = made(3)
+    assert in_process(rows) == brute(rows)
+
+
+def test_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = sorted((tuple(r) for r in con.execute(suffix_dedup.SQL).fetchall()), key=str)
+    rows = [(r.doc_id, r.text) for r in table(spark, "documents").select("doc_id", "text").collect()]
+    assert got == brute(rows)
