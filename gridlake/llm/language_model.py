@@ -3,7 +3,7 @@
 States are histories, arcs are n-grams seen in training, and a state without an arc for the next token takes its
 failure arc to the next shorter history and pays that arc's weight. Neither counts nor automaton ever stand in one
 place: texts are dealt into groups of bounded size, each group asks the count buckets for the n-grams it holds,
-and traverses the part of the automaton that its own texts can reach.
+builds the part of the automaton that its own texts can reach, and each text goes through it once, from left to right.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import chunks, fold, mix, word_hashes, words
+from gridlake.llm.shared import chunks, fold, from_planes, mix, planes, word_hashes, words
 
-ORDER = 2
+ORDER = 3
 STRENGTH = 8.0  # Dirichlet weight of the shorter history
-GROUP_BYTES = 12 << 20
-BUCKET_KEYS = 400_000
+GROUP_BYTES = 8 << 20
+BUCKET_KEYS = 600_000
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _KIND = np.uint64(3)  # low bits of a key: its order, 0 for the begin state
 
@@ -39,8 +39,9 @@ def sequences(buf: np.ndarray, offs: np.ndarray):
     return tok, np.repeat(np.arange(n), size), first, size
 
 
-def keys(tok: np.ndarray, first: np.ndarray, size: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order: (keys, positions of their last tokens). The begin token alone is kind 0; n-grams hold it only first."""
+def keys(tok: np.ndarray, first: np.ndarray, size: np.ndarray, order: int, bits: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order: (keys of ``bits`` bits, positions of their last tokens). The begin token alone is kind 0; n-grams
+    hold it only first."""
     at = np.arange(len(tok)) - np.repeat(first, size)
     h = tok.copy()
     out = []
@@ -50,7 +51,7 @@ def keys(tok: np.ndarray, first: np.ndarray, size: np.ndarray, order: int) -> li
             g[1:] = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + tok[1:]
             h = mix(g)
         pos = np.flatnonzero(at >= n - 1)
-        k = mix(h[pos] + np.uint64(n)) & ~_KIND
+        k = (mix(h[pos] + np.uint64(n)) >> np.uint64(64 - bits)) & ~_KIND
         kind = np.full(len(pos), n, np.uint64)
         if n == 1:
             kind[tok[pos] == _BEGIN] = 0
@@ -58,7 +59,7 @@ def keys(tok: np.ndarray, first: np.ndarray, size: np.ndarray, order: int) -> li
     return out
 
 
-def _group_keys(t: np.ndarray, order: int):
+def _group_keys(t: np.ndarray, order: int, bits: int):
     """(sorted unique keys of a group's texts, training counts, training tokens)."""
     every, counted, tokens = [], [], 0
     for rows, buf, offs in t:
@@ -66,7 +67,7 @@ def _group_keys(t: np.ndarray, order: int):
         held = np.asarray(rows.column(rows.schema.names.index("held")))
         learn = ~np.repeat(held, size)
         tokens += int((size[~held] - 1).sum())
-        for k, pos in keys(tok, first, size, order):
+        for k, pos in keys(tok, first, size, order, bits):
             mine = learn[pos]
             u, c = np.unique(k[mine], return_counts=True)
             counted.append((u, c))
@@ -84,25 +85,22 @@ def _text_chunks(table) -> Iterator:
     yield from chunks(iter(table.combine_chunks().to_batches()), "t")
 
 
-def _bounds(buckets: int) -> np.ndarray:
-    return np.array([i * (1 << 64) // buckets for i in range(1, buckets)], np.uint64)
-
-
-def _ask(order: int, buckets: int):
-    """Per group: its keys with its own training counts, one row for each bucket."""
+def _ask(order: int, bits: int, step: int):
+    """Per group: its keys, as differences, with its own training counts, one row for each bucket that it has keys of."""
 
     def run(table):
         g = table.column("g")[0].as_py()
-        u, c, tokens = _group_keys(_text_chunks(table), order)
-        at = np.r_[0, np.searchsorted(u, _bounds(buckets)), len(u)]
-        own = [i for i in range(buckets) if at[i + 1] > at[i]]
+        u, c, tokens = _group_keys(_text_chunks(table), order, bits)
+        bucket = (u // np.uint64(step)).astype(np.int64)
+        at = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(u)]
+        spans = list(zip(at[:-1], at[1:]))
         return pa.table(
             {
-                "g": pa.array([g] * len(own), pa.int64()),
-                "bucket": pa.array(own, pa.int32()),
-                "names": pa.array([u[at[i] : at[i + 1]].tobytes() for i in own], pa.binary()),
-                "counts": pa.array([c[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in own], pa.binary()),
-                "tokens": pa.array([tokens if i == own[0] else 0 for i in own], pa.int64()),
+                "g": pa.array([g] * len(spans), pa.int64()),
+                "bucket": pa.array([int(bucket[x]) for x, _ in spans], pa.int64()),
+                "names": pa.array([planes(np.diff(u[x:y], prepend=np.uint64(0)), 8) for x, y in spans], pa.binary()),
+                "counts": pa.array([planes(c[x:y], 4) for x, y in spans], pa.binary()),
+                "tokens": pa.array([tokens] + [0] * (len(spans) - 1), pa.int64()),
             }
         )
 
@@ -110,85 +108,117 @@ def _ask(order: int, buckets: int):
 
 
 def _answer(table):
-    """Per bucket: every asking row gets the corpus counts of its keys, in its order."""
-    names = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("names")]
-    counts = [np.frombuffer(b.as_py(), np.uint32) for b in table.column("counts")]
+    """Per bucket: every asking row gets what the corpus counts beyond its own counts of its keys, in its order."""
+    names = [np.cumsum(from_planes(b.as_py(), 8)) for b in table.column("names")]
+    own = np.concatenate([from_planes(b.as_py(), 4) for b in table.column("counts")])
     u, inverse = np.unique(np.concatenate(names), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.uint64)
+    total = np.bincount(inverse, weights=own, minlength=len(u)).astype(np.uint64)  # exact up to 2^53
     types = int(((total > 0) & ((u & _KIND) == 1)).sum())
     ends = np.cumsum([len(x) for x in names])
-    back = [total[inverse[e - len(x) : e]].astype(np.uint32).tobytes() for e, x in zip(ends, names)]
+    more = total[inverse] - own
+    back = [planes(more[e - len(x) : e], 8) for e, x in zip(ends, names)]
     n = table.num_rows
-    return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "totals": pa.array(back, pa.binary()), "tokens": table.column("tokens"), "types": pa.array([types] + [0] * (n - 1), pa.int64())})
+    return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "more": pa.array(back, pa.binary()), "tokens": table.column("tokens"), "types": pa.array([types] + [0] * (n - 1), pa.int64())})
 
 
 class Automaton:
-    """The part of the automaton that a group's texts can reach: sorted keys and their corpus counts."""
-
-    def __init__(self, names: np.ndarray, counts: np.ndarray, tokens: int, types: int, strength: float):
-        self.names, self.counts, self.strength = names, counts.astype(np.float64), strength
+    """The part of the automaton that a group's texts can reach, over the ids of its keys.
+
+    A key seen in training is an arc from the state of its history, ``source``, and its weight is p(w|h) = (c(hw) +
+    m p(w|h')) / (c(h) + m). Keys shorter than the order are states too. The arc leads to ``target``: the state of its
+    whole n-gram, or of the longest ending that is a state. ``fail`` is a state's failure arc, to the state of its
+    history without the first token, and costs m / (c(h) + m), so the weights of a state sum to one. The root, id -1,
+    has an arc for every token: (c + 1) / (tokens + types + 1)."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray, tokens: int, types: int, strength: float, order: int):
+        self.names, self.order, self.strength = names, order, strength
+        n = len(names)
+        self.counts = np.r_[counts, 0].astype(np.float64)
+        self.kind = np.r_[np.maximum(names & _KIND, 1), 0].astype(np.int64)  # of a state: tokens in its history
         self.mass = float(tokens + types + 1)
-
-    def count(self, k: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.names, k)] if len(k) else np.zeros(0)
-
-    def traverse(self, tok, first, size, order):
-        """(log10 probability, log10 of the base model, count of the token) at each position, 0 at the begin token.
-
-        All texts of the chunk advance side by side. A position's state is the longest history with training
-        counts; where that state has an arc for the token, the arc's weight is p(w|h) = (c(hw) + m p(w|h')) /
-        (c(h) + m); where not, the failure arc's weight m / (c(h) + m) is paid, and the shorter state tried."""
-        by = keys(tok, first, size, order)
-        n = len(tok)
-        grams = []
-        for k, pos in by:
-            c = np.zeros(n)
-            c[pos] = self.count(k)
-            grams.append(c)
-        one = grams[0]
-        p = (one + 1.0) / self.mass
-        base = np.log10(p)
-        failed = np.zeros(n)
-        for g in range(1, order):
-            history = np.zeros(n)
-            history[1:] = grams[g - 1][:-1]
-            history[first] = 0.0
-            at = np.arange(n) - np.repeat(first, size)
-            state = (history > 0) & (at >= g)
-            arc = state & (grams[g] > 0)
-            fail = state & ~arc
-            # an arc's own weight replaces what failure from it would have paid
-            p = np.where(arc, (grams[g] + self.strength * p * 10.0**failed) / (history + self.strength), p)
-            failed = np.where(arc, 0.0, failed)
-            failed[fail] += np.log10(self.strength / (history[fail] + self.strength))
-        score = np.log10(p) + failed
-        score[first], base[first] = 0.0, 0.0
-        return score, base, one
-
-
-def _score(order: int, strength: float, key: str, key_type):
+        self.source, self.fail = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
+
+    def ids(self, tok, first, size, bits: int) -> np.ndarray:
+        """The id of the n-gram of each order that ends at each position, -1 where the text is too short; learns which
+        arcs leave which states."""
+        out = np.full((self.order, len(tok)), -1, np.int32)
+        for n, (k, pos) in enumerate(keys(tok, first, size, self.order, bits)):
+            u, back = np.unique(k, return_inverse=True)
+            out[n, pos] = np.searchsorted(self.names, u).astype(np.int32)[back]
+            if n:
+                self.source[out[n, pos]] = out[n - 1, pos - 1]
+                self.fail[out[n, pos]] = out[n - 1, pos]
+        return out
+
+    def close(self) -> None:
+        """Weights and targets, once all arcs are known."""
+        c, m = self.counts, self.strength
+        p = (c + 1.0) / self.mass
+        for n in range(2, self.order + 1):
+            g = np.flatnonzero((self.kind == n) & (c > 0))
+            p[g] = (c[g] + m * p[self.fail[g]]) / (c[self.source[g]] + m)
+        self.weight = np.log10(p)
+        self.arc = (c > 0) | (self.kind == 1)
+        self.cost = np.log10(m / (c + m))
+        self.target = np.where(c > 0, np.where(self.kind < self.order, np.arange(len(c)), self.fail), -1).astype(np.int32)
+
+    def traverse(self, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """log10 probability of each text. Texts go from left to right, side by side, each with its state."""
+        by = np.argsort(-size, kind="stable")
+        start, count = first[by], np.searchsorted(-size[by], -np.arange(int(size.max(initial=0))), "left")
+        state = self.target[ids[0, start]] if self.order > 1 else np.full(len(by), -1, np.int32)
+        total, flat, width = np.zeros(len(by)), ids.ravel(), ids.shape[1]
+        for t in range(1, len(count)):
+            live = count[t]  # texts that still have a token
+            s = state[:live]
+            at = start[:live] + t
+            arc = flat[self.kind[s] * width + at]
+            out = ~self.arc[arc]
+            if out.any():
+                s = s.copy()
+                lost = np.flatnonzero(out)
+                while len(lost):  # no arc for this token: pay the failure arc and try the shorter state
+                    total[lost] += self.cost[s[lost]]
+                    s[lost] = self.fail[s[lost]]
+                    arc[lost] = flat[self.kind[s[lost]] * width + at[lost]]
+                    lost = lost[~self.arc[arc[lost]]]
+            total[:live] += self.weight[arc]
+            state[:live] = self.target[arc]
+        out = np.empty(len(by))
+        out[by] = total
+        return out
+
+
+def _score(order: int, bits: int, strength: float, key: str, key_type):
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [key_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(left, right):
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
-        order_ = np.argsort(np.asarray(right.column("bucket")))
-        blobs = right.column("totals").to_pylist()
-        totals = np.concatenate([np.frombuffer(blobs[i], np.uint32) for i in order_])
-        u, _, _ = _group_keys(_text_chunks(left), order)
+        by = np.argsort(np.asarray(right.column("bucket")))
+        blobs = right.column("more").to_pylist()
+        u, own, _ = _group_keys(_text_chunks(left), order, bits)
+        totals = own + np.concatenate([from_planes(blobs[i], 8) for i in by]).astype(np.int64)
         tokens, types = right.column("all_tokens")[0].as_py(), right.column("all_types")[0].as_py()
-        model = Automaton(u, totals, tokens, types, strength)
-        cols = [[] for _ in names]
+        model = Automaton(u, totals, tokens, types, strength, order)
+        held, ids, starts, sizes, k, at = [], [], [], [], [], 0
         for rows, buf, offs in _text_chunks(left):
             tok, _, first, size = sequences(buf, offs)
-            score, base, one = model.traverse(tok, first, size, order)
-            known = one > 0
-            known[first] = False
-            got = [rows.column(rows.schema.names.index("k")), rows.column(rows.schema.names.index("held")), size - 1, np.add.reduceat(known, first, dtype=np.int64), np.full(len(size), tokens), np.add.reduceat(base, first), np.add.reduceat(score, first)]
-            for c, x, t in zip(cols, got, kinds):
-                c.append(x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t))
-        return pa.table({n: pa.chunked_array(c, t) for n, c, t in zip(names, cols, kinds)})
+            ids.append(model.ids(tok, first, size, bits))
+            starts.append(first + at)
+            sizes.append(size)
+            k.append(rows.column(rows.schema.names.index("k")))
+            held.append(rows.column(rows.schema.names.index("held")))
+            at += len(tok)
+        model.close()
+        ids, first, size = np.concatenate(ids, 1), np.concatenate(starts), np.concatenate(sizes)
+        count = model.counts[ids[0]]
+        count[first] = 0
+        base = np.log10((count + 1.0) / model.mass)
+        base[first] = 0.0
+        got = [pa.concat_arrays(k).cast(key_type), pa.concat_arrays(held), size - 1, np.add.reduceat(count > 0, first, dtype=np.int64), np.full(len(size), tokens), np.add.reduceat(base, first), model.traverse(ids, first, size)]
+        return pa.table({n: x if isinstance(x, pa.Array) else pa.array(x, t) for n, x, t in zip(names, got, kinds)})
 
     return run
 
@@ -198,18 +228,49 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
 
     Learns from rows whose crc32(key as text) mod ``folds`` isn't ``held`` (a null key counts as the empty text).
     Tokens: runs other than white space, A-Z lower-cased, then one end. ``base_score``: log10 of add-one unigrams.
-    ``score``: log10 of the automaton's model, in which each state's arcs and failure arc sum to one. A null, empty
-    or blank text is its end token alone. Equal rows are scored alike and all stay. Other columns aren't read."""
+    ``score``: log10 of the automaton's model of ``order`` 1 to 3, in which each state's arcs and failure arc sum to
+    one. A null, empty or blank text is its end token alone. Equal rows are scored alike and all stay. Other columns
+    aren't read. A key of bigint, int or string keeps its type; another raises. N-grams are told apart by hashes 30
+    bits wider than the number of all n-grams needs, up to 64, so one in 2^30 shares its counts with another."""
+    kind = dict(docs.dtypes)[key]
+    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
+    if key_type is None:
+        raise ValueError(f"the key {key} must be bigint, int or string, not {kind}")
+    if not 1 <= order <= 3:
+        raise ValueError("the order must be 1 to 3")
     src = docs.select(docs[key].alias("k"), (fold(docs[key], folds) == held).alias("held"), docs[text].alias("t"))
     size = src.agg(F.coalesce(F.sum(F.octet_length("t") + F.lit(2)), F.count(F.lit(1)))).first()[0] or 1
     groups = max(1, -(-size // GROUP_BYTES))
-    buckets = max(1, -(-size * order // 6 // BUCKET_KEYS))
+    bits = min(64, (size * order).bit_length() + 32)
+    step = -(-(1 << bits) // max(1, -(-size * order // 6 // BUCKET_KEYS)))
     src = src.withColumn("g", F.pmod(F.xxhash64("k", "t"), F.lit(groups))).select("g", "k", "held", "t")
-    asked = src.groupBy("g").applyInArrow(_ask(order, buckets), "g bigint, bucket int, names binary, counts binary, tokens bigint")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "g bigint, bucket int, totals binary, tokens bigint, types bigint")
+    asked = src.groupBy("g").applyInArrow(_ask(order, bits, step), "g bigint, bucket bigint, names binary, counts binary, tokens bigint")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "g bigint, bucket bigint, more binary, tokens bigint, types bigint")
     total = answers.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"))
-    answers = answers.select("g", "bucket", "totals", total.select("n").scalar().alias("all_tokens"), total.select("v").scalar().alias("all_types"))
-    kind = dict(docs.dtypes)[key]
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    answers = answers.select("g", "bucket", "more", total.select("n").scalar().alias("all_tokens"), total.select("v").scalar().alias("all_types"))
     schema = f"{key} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return src.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_score(order, strength, key, key_type), schema)
+    return src.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_score(order, bits, strength, key, key_type), schema)
+
+
+#: The same rows in DuckDB, for the table of documents, order 3 and strength 8.
+SQL = r"""
+WITH docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)), CAST(4294967295 AS BIGINT)) % 7 = 2 AS held_out FROM documents),
+seqs AS (SELECT doc_id, held_out, list_concat(['b'], list_transform(words, lambda x: 'w' || x), ['e']) AS t FROM docs),
+tokens AS (SELECT doc_id, held_out, t, unnest(range(2, len(t) + 1)) AS i FROM seqs),
+spots AS (SELECT doc_id, held_out, i, t[i] AS w, t[i - 1] AS h1, CASE WHEN i > 2 THEN t[i - 2] END AS h2 FROM tokens),
+one AS (SELECT w, count(*) AS c FROM spots WHERE NOT held_out GROUP BY w),
+hist1 AS (SELECT h1, count(*) AS c FROM spots WHERE NOT held_out GROUP BY h1),
+two AS (SELECT h1, w, count(*) AS c FROM spots WHERE NOT held_out GROUP BY h1, w),
+hist2 AS (SELECT h2, h1, count(*) AS c FROM spots WHERE NOT held_out AND h2 IS NOT NULL GROUP BY h2, h1),
+three AS (SELECT h2, h1, w, count(*) AS c FROM spots WHERE NOT held_out AND h2 IS NOT NULL GROUP BY h2, h1, w),
+total AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM one),
+p1 AS (SELECT spots.*, coalesce(one.c, 0) AS c1, n, (coalesce(one.c, 0) + 1) / (n + v + 1) AS p FROM spots CROSS JOIN total LEFT JOIN one ON spots.w = one.w),
+p2 AS (SELECT p1.* EXCLUDE (p), p AS base, CASE WHEN hist1.c > 0 THEN (coalesce(two.c, 0) + 8 * p) / (hist1.c + 8) ELSE p END AS p
+    FROM p1 LEFT JOIN hist1 ON p1.h1 = hist1.h1 LEFT JOIN two ON p1.h1 = two.h1 AND p1.w = two.w),
+p3 AS (SELECT p2.* EXCLUDE (p), CASE WHEN hist2.c > 0 THEN (coalesce(three.c, 0) + 8 * p) / (hist2.c + 8) ELSE p END AS p
+    FROM p2 LEFT JOIN hist2 ON p2.h1 = hist2.h1 AND p2.h2 = hist2.h2 LEFT JOIN three ON p2.h1 = three.h1 AND p2.h2 = three.h2 AND p2.w = three.w)
+SELECT doc_id, held_out, count(*) AS n_tokens, CAST(count(*) FILTER (c1 > 0) AS BIGINT) AS n_known, max(n) AS train_tokens, sum(log10(base)) AS base_score, sum(log10(p)) AS score
+FROM p3 GROUP BY doc_id, held_out
+"""

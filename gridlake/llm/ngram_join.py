@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.components import components
-from gridlake.llm.shared import chunks, grams, materialise, mix, word_hashes, words
+from gridlake.llm.shared import chunks, from_planes, grams, materialise, mix, planes, word_hashes, words
 
 WORDS = 5
 HOT = 32  # sets that hold an n-gram up to which it isn't hot
@@ -143,17 +143,6 @@ def _asked(z: bytes, sizes: np.ndarray, f1: np.ndarray, k: int, bits: int):
     return np.unique(np.concatenate(got), return_counts=True)
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each value, byte by byte, so that equal bytes stand together."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _from_planes(blob: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(blob) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
-    return out.reshape(-1).view("<u8")
-
-
 def _ask_pass(k: int, bits: int, step: int):
     """For each part and bucket of hashes: the hashes as differences, and their counts."""
 
@@ -164,8 +153,8 @@ def _ask_pass(k: int, bits: int, step: int):
                 bucket = (u // np.uint64(step)).astype(np.int64)
                 at = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(u)] if len(u) else [0]
                 rows = list(zip(at[:-1], at[1:]))
-                hashes = [_planes(np.diff(u[x:y], prepend=np.uint64(0)), 8) for x, y in rows]
-                counts = [_planes(c[x:y], 4) for x, y in rows]
+                hashes = [planes(np.diff(u[x:y], prepend=np.uint64(0)), 8) for x, y in rows]
+                counts = [planes(c[x:y], 4) for x, y in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([int(bucket[x]) for x, _ in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "part", "u", "c"])
 
     return run
@@ -178,8 +167,8 @@ def rarity(count: np.ndarray) -> np.ndarray:
 
 def _count_pass(_, table):
     """For each asking part: the ranks of its n-grams by how many sets of all parts hold them, in its order."""
-    u = [np.cumsum(_from_planes(b.as_py(), 8)) for b in table.column("u")]
-    c = np.concatenate([_from_planes(b.as_py(), 4) for b in table.column("c")])
+    u = [np.cumsum(from_planes(b.as_py(), 8)) for b in table.column("u")]
+    c = np.concatenate([from_planes(b.as_py(), 4) for b in table.column("c")])
     every, inverse = np.unique(np.concatenate(u), return_inverse=True)
     rank = rarity(np.bincount(inverse, weights=c, minlength=len(every)).astype(np.int64))[inverse]
     ends = np.cumsum([len(x) for x in u])
@@ -633,12 +622,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
 
 #: The same rows in DuckDB, for the table of documents: shingles are compared as texts, components by reachability.
 SQL = r"""
-WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 starts AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM docs WHERE len(w) > 0),
 grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM starts),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-half AS (SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
 links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
 reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
 SELECT docs.doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id

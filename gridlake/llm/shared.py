@@ -192,3 +192,14 @@ def grams(h: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
         order = np.argsort(out_r, kind="stable")
         out_h, out_r = out_h[order], out_r[order]
     return out_h, out_r
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, byte by byte, so that equal bytes stand together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8")

@@ -3,10 +3,12 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from gridlake.llm import language_model
-from tests.llm.common import docs, table
+from tests.llm.common import SF, docs, table
 
 
 def tokens(t):
@@ -52,7 +54,7 @@ class Slow:
         return len(seq) - 1, sum(self.one[w] > 0 for w in seq[1:]), self.n, sum(math.log10(self.base(w)) for w in seq[1:]), s
 
 
-def same(spark, rows, order=2, **how):
+def same(spark, rows, order=3, **how):
     slow = Slow(rows, order, language_model.STRENGTH)
     got = language_model.score(docs(spark, rows), order=order, **how).collect()
     assert len(got) == len(rows)
@@ -74,6 +76,24 @@ def test_against_formula(spark, order, monkeypatch):
     same(spark, rows, order)
 
 
+def test_whole_table(spark):
+    same(spark, [(r.doc_id, r.text) for r in table(spark, "documents").select("doc_id", "text").collect()])
+
+
+def test_automaton_fails_to_shorter_states():
+    """States, arcs and failure arcs of a small corpus, and the score of a text that needs each of them."""
+    texts = ["a b c", "a b d", "b c"]
+    free = [i for i in range(20) if not held(i)]
+    rows = list(zip(free, texts))
+    t = pa.table({"g": [0] * 4, "k": free[:4], "held": [False] * 3 + [True], "t": [*texts, "a b c d z b"]})
+    asked = language_model._ask(3, 64, 1 << 62)(t)
+    answers = language_model._answer(asked)
+    slow = Slow(rows, 3, 8.0)
+    right = answers.append_column("all_tokens", pa.array([slow.n] * answers.num_rows)).append_column("all_types", pa.array([slow.v] * answers.num_rows))
+    got = language_model._score(3, 64, 8.0, "k", pa.int64())(t, right).to_pylist()
+    assert got[3]["score"] == pytest.approx(slow.row("a b c d z b")[-1])
+
+
 def test_states_sum_to_one():
     rows = [(i, t) for i, t in enumerate(["a b c", "a b", "b c a c", "", "c c c b"])]
     slow = Slow(rows, 3, 8.0)
@@ -89,3 +109,12 @@ def test_repeats_and_empty(spark):
     only_held = next(i for i in range(100) if held(i))
     r = language_model.score(docs(spark, [(only_held, "x y")])).collect()[0]
     assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+
+
+def test_sql():
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rows = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    slow, texts = Slow(rows, 3, language_model.STRENGTH), dict(rows)
+    for d, h, *got in con.execute(language_model.SQL).fetchall():
+        assert h == held(d) and got == [pytest.approx(x, rel=1e-9) for x in slow.row(texts[d])]
