@@ -196,9 +196,13 @@ def _ask_blocks(length, k, buckets):
         held, n = _join_rows(right, a=np.uint64, n=np.uint32)
         order = np.argsort(held)
         held, n = held[order], n[order]
-        own = _repeated(np.concatenate([b.a for _, _, b, _ in _table_blocks(left, length, k)] or [np.zeros(0, np.uint64)]))
-        got = []
+        every = []
         for _, doc, b, _ in _table_blocks(left, length, k):
+            b.prefix = None  # as large as all else together
+            every.append((doc, b))
+        own = _repeated(np.concatenate([b.a for _, b in every] or [np.zeros(0, np.uint64)]))
+        got = []
+        for doc, b in every:
             at, found = _lookup(held, b.a)
             take = np.flatnonzero(found | _lookup(own, b.a)[1])
             at, found = at[take], found[take]

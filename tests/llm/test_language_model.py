@@ -85,7 +85,8 @@ def test_automaton_fails_to_shorter_states():
     texts = ["a b c", "a b d", "b c"]
     free = [i for i in range(20) if not held(i)]
     rows = list(zip(free, texts))
-    t = pa.table({"g": [0] * 4, "k": free[:4], "held": [False] * 3 + [True], "t": [*texts, "a b c d z b"]})
+    t = pa.RecordBatch.from_pydict({"g": [0] * 4, "k": free[:4], "held": [False] * 3 + [True], "t": [*texts, "a b c d z b"]})
+    t = pa.Table.from_batches(language_model._pack_pass(1, pa.int64())(iter([t])))
     asked = language_model._ask(3, 64, 1 << 62)(t)
     answers = language_model._answer(asked)
     slow = Slow(rows, 3, 8.0)
