@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import CHUNK, chunks, fold, from_planes, mix, planes, word_hashes, words
+from gridlake.llm.shared import fold, from_planes, mix, packed, planes, unpacked, word_hashes, words
 
 ORDER = 3
 STRENGTH = 8.0  # Dirichlet weight of the shorter history
 GROUP_BYTES = 10 << 20
-PACK_BYTES = 64 << 20  # bytes of text that a task holds before it sends them off
 BUCKET_KEYS = 600_000
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _KIND = np.uint64(3)  # low bits of a key: its order, 0 for the begin state
@@ -82,50 +81,8 @@ def _group_keys(t: np.ndarray, order: int, bits: int):
     return all_keys, total, tokens
 
 
-def _pack_pass(groups: int, key_type: pa.DataType):
-    """Rows of (g, k, held, t) by group: a group's texts of some batches, compressed together."""
-    names = ["g", "k", "held", "bytes", "z"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
-
-        def flush():
-            one = lambda rows, i, t: pa.ListArray.from_arrays(pa.array([0, sum(len(r[i]) for r in rows)], pa.int32()), pa.concat_arrays([r[i] for r in rows]).cast(t))
-            for g, rows in held.items():
-                z = pa.compress(b"".join(r[3] for r in rows), codec="zstd", asbytes=True)
-                cols = [one(rows, i, t) for i, t in ((0, key_type), (1, pa.bool_()), (2, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *cols, pa.array([z], pa.binary())], names)
-
-        for batch in batches:
-            for rows, buf, offs in chunks(iter([batch]), "t", 32 << 20):
-                g = rows.column(0).to_numpy()
-                by = np.argsort(g, kind="stable")
-                cut = np.r_[0, np.flatnonzero(np.diff(g[by])) + 1, len(g)]
-                for x, y in zip(cut[:-1], cut[1:]):
-                    own = pa.array(by[x:y])
-                    text = b"".join(buf[offs[i] : offs[i + 1]].tobytes() for i in by[x:y].tolist())
-                    held.setdefault(int(g[by[x]]), []).append((rows.column(1).take(own), rows.column(2).take(own), pa.array(np.diff(offs)[by[x:y]]), text))
-                size += len(buf)
-                if size > PACK_BYTES:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
-
-    return run
-
-
-def _text_chunks(table, most: int = CHUNK) -> Iterator:
-    """(rows with k and held, bytes, offsets) of a group's texts, in pieces of bounded size."""
-    for i in range(table.num_rows):
-        sizes = table.column("bytes")[i].values.to_numpy()
-        rows = pa.RecordBatch.from_arrays([table.column(c)[i].values for c in ("k", "held")], ["k", "held"])
-        whole = np.frombuffer(pa.decompress(table.column("z")[i].as_py(), int(sizes.sum()), codec="zstd", asbytes=True), np.uint8)
-        offs, at = np.r_[0, np.cumsum(sizes)], 0
-        while at < len(sizes):
-            end = min(max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1), len(sizes))
-            yield rows.slice(at, end - at), whole[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
-            at = end
+def _text_chunks(table) -> Iterator:
+    yield from unpacked(table, ["k", "held"])
 
 
 def _ask(order: int, bits: int, step: int):
@@ -287,7 +244,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     bits = min(64, (size * order // 6).bit_length() + 30)
     step = -(-(1 << bits) // max(1, -(-size * order // 6 // BUCKET_KEYS)))
     src = src.select(F.pmod(F.xxhash64("k", "t"), F.lit(groups)).alias("g"), "k", "held", "t")
-    src = src.mapInArrow(_pack_pass(groups, key_type), f"g bigint, k array<{kind}>, held array<boolean>, bytes array<bigint>, z binary")
+    src = packed(src, {"k": key_type, "held": pa.bool_()})
     asked = src.groupBy("g").applyInArrow(_ask(order, bits, step), "g bigint, bucket bigint, names binary, counts binary, tokens bigint")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "g bigint, bucket bigint, more binary, tokens bigint, types bigint")
     total = answers.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 2 << 20  # bytes of text that a kernel handles at once; a longer text is a chunk of its own
+PACK_BYTES = 64 << 20  # bytes of text that a task holds before it sends them off
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -203,3 +204,58 @@ def from_planes(blob: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(blob) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
     return out.reshape(-1).view("<u8")
+
+
+def pack_pass(kinds: dict[str, pa.DataType]):
+    """Rows of (g, other columns, t) by group: a group's texts of some batches, compressed together."""
+    names = ["g", *kinds, "bytes", "z"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush():
+            for g, rows in held.items():
+                z = pa.compress(b"".join(r[-1] for r in rows), codec="zstd", asbytes=True)
+                cols = []
+                for i, kind in enumerate([*kinds.values(), pa.int64()]):
+                    v = pa.concat_arrays([r[i] for r in rows]).cast(kind)
+                    cols.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *cols, pa.array([z], pa.binary())], names)
+
+        for rows, buf, offs in chunks(batches, "t", PACK_BYTES // 2):
+            g = rows.column(0).to_numpy()
+            by = np.argsort(g, kind="stable")
+            cut = np.r_[0, np.flatnonzero(np.diff(g[by])) + 1, len(g)]
+            for x, y in zip(cut[:-1], cut[1:]):
+                own = by[x:y]
+                text = b"".join(buf[offs[i] : offs[i + 1]].tobytes() for i in own.tolist())
+                cols = [rows.column(1 + i).take(pa.array(own)) for i in range(len(kinds))]
+                held.setdefault(int(g[own[0]]), []).append((*cols, pa.array(np.diff(offs)[own]), text))
+            size += len(buf)
+            if size > PACK_BYTES:
+                yield from flush()
+                held, size = {}, 0
+        yield from flush()
+
+    return run
+
+
+def packed(src: DataFrame, kinds: dict[str, pa.DataType]) -> DataFrame:
+    """(g, lists of the other columns, bytes, z) from rows of (g, the columns of ``kinds``, t)."""
+    types = dict(src.dtypes)
+    schema = ", ".join(["g bigint", *(f"{c} array<{types[c]}>" for c in kinds), "bytes array<bigint>", "z binary"])
+    return src.select("g", *kinds, "t").mapInArrow(pack_pass(kinds), schema)
+
+
+def unpacked(table: pa.Table, names: list[str], most: int = CHUNK):
+    """(rows with the named columns, bytes, offsets) of a group's texts, in pieces of bounded size."""
+    for i in range(table.num_rows):
+        sizes = table.column("bytes")[i].values.to_numpy()
+        rows = pa.RecordBatch.from_arrays([table.column(c)[i].values for c in names], names)
+        whole = np.frombuffer(pa.decompress(table.column("z")[i].as_py(), int(sizes.sum()), codec="zstd", asbytes=True), np.uint8)
+        offs, at = np.r_[0, np.cumsum(sizes)], 0
+        while at < len(sizes):
+            end = min(max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1), len(sizes))
+            yield rows.slice(at, end - at), whole[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
+            at = end

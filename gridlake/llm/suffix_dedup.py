@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import _INV, _powers, chunks, mix, prefix_hashes, span_hashes
+from gridlake.llm.shared import _INV, _powers, mix, packed, prefix_hashes, span_hashes, unpacked
 
 LENGTH = 50
 GROUP_BYTES = 12 << 20
@@ -114,9 +114,8 @@ class Blocks:
 
 def _table_blocks(table, length: int, k: int):
     """(doc of each row, Blocks, offsets) by chunk. Null keys are after all others."""
-    names = table.schema.names
-    for rows, buf, offs in chunks(iter(table.combine_chunks().to_batches()), "t"):
-        doc = rows.column(names.index("k")).fill_null(_LAST).to_numpy(zero_copy_only=False)
+    for rows, buf, offs in unpacked(table, ["k"]):
+        doc = rows.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
         yield rows, doc, Blocks(buf, offs, length, k), offs
 
 
@@ -526,8 +525,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     size = src.agg(F.coalesce(F.sum(F.octet_length("t") + F.lit(2)), F.count(F.lit(1)))).first()[0] or 1
     groups = max(1, -(-size // GROUP_BYTES))
     buckets = max(1, -(-size * 2 // (length - k + 2) // BUCKET_KEYS))
-    src = src.withColumn("g", F.pmod(F.xxhash64("k", "t"), F.lit(groups))).select("g", "k", "t")
-    texts = src.groupBy("g")
+    src = src.select(F.pmod(F.xxhash64("k", "t"), F.lit(groups)).alias("g"), "k", "t")
+    texts = packed(src, {"k": pa.int64()}).groupBy("g")
     anchors = texts.applyInArrow(_ask_anchors(length, k, buckets), "g bigint, bucket int, a binary")
     anchors = anchors.groupBy("bucket").applyInArrow(_answer_anchors, "g bigint, a binary, n binary")
     blocks = texts.cogroup(anchors.groupBy("g")).applyInArrow(_ask_blocks(length, k, buckets), "g bigint, bucket int, a binary, h binary, h2 binary, doc binary, salts binary")

@@ -7,7 +7,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-from gridlake.llm import language_model
+from gridlake.llm import language_model, shared
 from tests.llm.common import SF, docs, table
 
 
@@ -86,7 +86,7 @@ def test_automaton_fails_to_shorter_states():
     free = [i for i in range(20) if not held(i)]
     rows = list(zip(free, texts))
     t = pa.RecordBatch.from_pydict({"g": [0] * 4, "k": free[:4], "held": [False] * 3 + [True], "t": [*texts, "a b c d z b"]})
-    t = pa.Table.from_batches(language_model._pack_pass(1, pa.int64())(iter([t])))
+    t = pa.Table.from_batches(shared.pack_pass({"k": pa.int64(), "held": pa.bool_()})(iter([t])))
     asked = language_model._ask(3, 64, 1 << 62)(t)
     answers = language_model._answer(asked)
     slow = Slow(rows, 3, 8.0)

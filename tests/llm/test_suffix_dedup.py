@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from gridlake.llm import suffix_dedup
+from gridlake.llm import shared, suffix_dedup
 from gridlake.llm.shared import prefix_hashes
 from tests.llm.common import SF, docs, table
 
@@ -100,7 +100,11 @@ def test_collisions_are_verified(monkeypatch):
 def in_process(rows, length=50, k=20, groups=3, buckets=2):
     """The steps of ``dedup`` on tables in this process."""
     cut = lambda t, name: [t.filter(pc.equal(t.column(name), v)) for v in sorted(set(t.column(name).to_pylist()))]
-    texts = {g: pa.table({"g": pa.array([g] * len(part), pa.int64()), "k": pa.array([d for d, _ in part], pa.int64()), "t": [t for _, t in part]}) for g in range(groups) if (part := rows[g::groups])}
+    texts = {}
+    for g in range(groups):
+        part = rows[g::groups]
+        batch = pa.RecordBatch.from_pydict({"g": [g] * len(part), "k": [d for d, _ in part], "t": [t for _, t in part]})
+        texts[g] = pa.Table.from_batches(shared.pack_pass({"k": pa.int64()})(iter([batch])))
 
     def by_group(f, answers):
         empty = answers.slice(0, 0)
