@@ -18,6 +18,7 @@ from gridlake.llm.shared import chunks, grams, text_buffer, word_hashes, words
 
 WORDS = 5
 BINS = 64
+FEW = 8  # filled bins below which a sketch doesn't decide
 BLOCK_BYTES = 8 << 20  # text of items that one index holds; more items are searched block by block
 
 
@@ -37,6 +38,8 @@ class Index:
         key = np.unique(np.stack([self.item.astype(np.uint64), self.gram % np.uint64(BINS), self.gram], 1), axis=0) if len(pair) else np.zeros((0, 3), np.uint64)
         first = np.r_[True, (key[1:, :2] != key[:-1, :2]).any(1)] if len(key) else np.zeros(0, bool)
         value, owner = key[first, 2], key[first, 0].astype(np.int64)
+        # too few filled bins to tell, so such an item's hits all go to the exact check
+        self.few = np.bincount(owner, minlength=len(ids)) < FEW
         order = np.argsort(value, kind="stable")
         self.value, self.owner = value[order], owner[order]
         self.step = 1 << (np.floor(np.log2(np.maximum(self.size, 1))).astype(np.int64) + 1)
@@ -72,7 +75,7 @@ class Index:
             found: set[int] = set()
             for j in range(x, y):
                 for item in self.owner[lo[j] : hi[j]].tolist():
-                    if item not in found and self.agrees(own, int(hit[j] - begin[row]), item):
+                    if item not in found and (self.few[item] or self.agrees(own, int(hit[j] - begin[row]), item)):
                         found.add(item)
             whole = np.unique(own)
             for item in sorted(found):

@@ -11,14 +11,16 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
-from dataclasses import dataclass, field
+from collections import Counter, deque
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.llm.shared import learn_in_task
+
 SAMPLE = 400  # pages that the classifier is trained on at most
 SMOOTH, NEAR = 0.8, 0.4  # weight of page neighbours and of tree neighbours
 MOST_COST = 6.0
@@ -26,8 +28,11 @@ MOST_COST = 6.0
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")  # where a quote doesn't end
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-#: Elements whose text is no text of the page.
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "button", "canvas", "audio", "video", "noembed", "noframes", "xmp"}
+#: Elements that hold no elements, up to their end tag or the page's end, and whose text is no text of the page.
+_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes"}
+#: Elements whose text isn't shown. They end with their end tag or their parent; the second ones also before a block.
+_MUTE = {"template", "canvas", "audio", "video", "svg", "select"}
+_BREAKS = {"svg", "select"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _NEGATIVE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "search"}
@@ -45,7 +50,9 @@ class Block:
     tag: str
     sign: int  # of the nearest ancestor that says what it holds: 1 content, -1 boilerplate, 0 none
     links: int  # characters inside links
-    path: tuple  # numbers of the open elements
+    depth: int  # open elements around it
+    common: int  # of these, the ones around the block before too
+    parent: int  # number of the element around the innermost one, 0 without
 
 
 @dataclass
@@ -53,13 +60,7 @@ class _Open:
     tag: str
     number: int
     sign: int
-
-
-@dataclass
-class _Page:
-    blocks: list = field(default_factory=list)
-    parts: list = field(default_factory=list)
-    linked: int = 0
+    inside: bool  # an article or the page's main part, or in one
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -67,28 +68,37 @@ def blocks(page: str | None) -> list[Block]:
     src = page or ""
     out, parts, linked, anchor, number, at = [], [], 0, 0, 0, 0
     stack: list[_Open] = []
+    opened = Counter()  # open elements by tag
+    low = 0  # least depth since the last block
+    mute: tuple[str, int] | None = None  # an element that isn't shown, and the depth where it began
 
     def flush():
-        nonlocal linked
+        nonlocal linked, low
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 top = stack[-1] if stack else None
-                out.append(Block(text, top.tag if top else "body", top.sign if top else 0, linked, tuple(o.number for o in stack)))
+                out.append(Block(text, top.tag if top else "body", top.sign if top else 0, linked, len(stack), low, stack[-2].number if len(stack) > 1 else 0))
+                low = len(stack)
             parts.clear()
         linked = 0
 
     def say(text):
         nonlocal linked
-        if text:
+        if text and not mute:
             t = html.unescape(text) if "&" in text else text
             parts.append(t)
             if anchor:
                 linked += len(t.strip())
 
     def pop_to(i):
+        nonlocal low, mute
         flush()
+        opened.subtract(o.tag for o in stack[i:])
         del stack[i:]
+        low = min(low, i)
+        if mute and i < mute[1]:
+            mute = None
 
     size = len(src)
     while at < size:
@@ -110,19 +120,28 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag == "a":
                 anchor = max(0, anchor - 1)
+            elif mute and tag == mute[0]:
+                if len(stack) > mute[1]:
+                    pop_to(mute[1])
+                mute = None
             elif tag in _BLOCK:
+                if opened[tag] <= 0:
+                    flush()
+                    continue
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].tag == tag:
                         anchor = 0
                         pop_to(i)
                         break
-                else:
-                    flush()
             continue
         if tag in _RAW:
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(src, at)
-                at = end.end() if end else size
+            end = re.compile(rf"</{tag}\s*>", re.I).search(src, at)
+            at = end.end() if end else size
+            parts.append(" ")
+            continue
+        if tag in _MUTE:
+            if not mute and not m[3].rstrip().endswith("/"):
+                mute = (tag, len(stack))
             parts.append(" ")
             continue
         if tag == "a":
@@ -131,6 +150,8 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
         if tag not in _BLOCK:
             continue
+        if mute and mute[0] in _BREAKS:
+            mute = None
         flush()
         anchor = 0
         if tag == "hr":
@@ -140,12 +161,12 @@ def blocks(page: str | None) -> list[Block]:
         if tag in _CLOSES:
             same, until = _CLOSES[tag]
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in until:
+                if stack[i].tag in until or not any(opened[t] > 0 for t in same):
                     break
                 if stack[i].tag in same:
                     pop_to(i)
         sign = stack[-1].sign if stack else 0
-        inside = any(o.tag in _POSITIVE_TAGS for o in stack)
+        inside = bool(stack) and stack[-1].inside
         names, hidden = "", False
         if m[3] and tag not in ("html", "body"):
             for name, *values in _ATTR.findall(m[3]):
@@ -164,7 +185,8 @@ def blocks(page: str | None) -> list[Block]:
         elif names and sign == 0 and _POSITIVE_NAMES.search(names):
             sign = 1
         number += 1
-        stack.append(_Open(tag, number, sign))
+        stack.append(_Open(tag, number, sign, inside or tag in _POSITIVE_TAGS))
+        opened[tag] += 1
     flush()
     return out
 
@@ -189,7 +211,7 @@ def features(page: list[Block], semantic: bool = True) -> np.ndarray:
         x[i, 3] = min(sum(map(b.text.count, ".,;!?")) / 5, 2)
         x[i, 4] = float(b.text[-1] in ".!?\"'”»)")
         x[i, 5] = float("©" in b.text)
-        x[i, 6] = min(len(b.path), 12) / 12
+        x[i, 6] = min(b.depth, 12) / 12
         if semantic:
             x[i, 7], x[i, 8] = float(b.sign > 0), float(b.sign < 0)
         x[i, 9 + _kind(b.tag)] = 1.0
@@ -308,19 +330,12 @@ def neighbours(page: list[Block]) -> dict[tuple[int, int], float]:
     latest: dict[int, int] = {}
     for i, b in enumerate(page):
         if i:
-            a = page[i - 1].path
-            common = 0
-            for u, v in zip(a, b.path):
-                if u != v:
-                    break
-                common += 1
-            apart = len(a) + len(b.path) - 2 * common
+            apart = page[i - 1].depth + b.depth - 2 * b.common
             out[i - 1, i] = SMOOTH * 2.0 ** (-max(0, apart - 2) / 2)
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        if parent in latest:
-            j = latest[parent]
+        if b.parent in latest:
+            j = latest[b.parent]
             out[j, i] = out.get((j, i), 0.0) + NEAR
-        latest[parent] = i
+        latest[b.parent] = i
     return out
 
 
@@ -347,13 +362,18 @@ def main_text(page: str | None, weights: np.ndarray = PLAIN) -> str:
 
 
 def train(pages: DataFrame, key: str = "page_id", text: str = "html") -> np.ndarray:
-    """The classifier, from at most ``SAMPLE`` pages, those whose keys have the least hashes."""
+    """The classifier, from at most ``SAMPLE`` pages, those whose keys have the least hashes; of pages that share a key
+    the least. It is trained in one task."""
     src = pages.select(pages[key].alias("k"), pages[text].alias("h"))
     ids = src.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     # SAMPLE ids at most, so they can be broadcast
-    rows = src.join(F.broadcast(ids), "k").select("k", "h").limit(2 * SAMPLE).collect()
-    rows.sort(key=lambda r: (str(r["k"]), r["h"] or ""))
-    return fit([blocks(r["h"]) for r in rows])
+    rows = src.join(F.broadcast(ids), "k").groupBy("k").agg(F.min("h").alias("h"))
+
+    def learn(got):
+        got = sorted(got, key=lambda r: (str(r["k"]), r["h"] or ""))
+        return fit([blocks(r["h"]) for r in got])
+
+    return learn_in_task(rows, learn)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:

@@ -15,6 +15,8 @@ HEX = "[0-9a-f]{32,}"
 #: What the ownership statistics judge beside the base spans.
 GENERIC = "[A-Za-z0-9+/_-]{20,}"
 
+HOT_USES = 500_000  # uses of a value beyond which its rows aren't gathered by value
+
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -62,12 +64,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_uses"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", copied_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", copied_owners: int = 3, copied_repos: int = 12) -> DataFrame:
     """One row per row of ``docs`` with its base spans, and live spans that corpus-wide ownership adds.
 
     Every base span stays. A generic token (``GENERIC``, with 3 digits and a letter, outside the base spans) is added
-    as kind ``live`` if one owner alone holds its value. A value is an example if ``copied_owners`` or more owners
-    hold it; ``n_live`` and ``n_example`` count the row's spans, base and added, on either side.
+    as kind ``live`` if one owner alone holds its value, in fewer than ``copied_repos`` repositories. A value is an
+    example if ``copied_owners`` or more owners, or ``copied_repos`` or more repositories, hold it; ``n_live`` and
+    ``n_example`` count the row's spans, base and added, on either side.
 
     Null texts are empty and have no spans; null owners and repositories count as one of their own; rows that are
     equal are kept and each counts; a null key stays null; columns beside those named are not read. The texts are
@@ -85,14 +88,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     named = light.withColumn("id", F.struct(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("a"), F.col("k").isNull().alias("b"), F.col("th").alias("c"), F.coalesce("owner", F.lit("")).alias("d")))
     hashed = lambda s: F.xxhash64(s["value"])
     each = named.where((F.size("base") > 0) | (F.size("generic") > 0)).select("id", "owner", "repo", F.explode(F.concat("base", "generic")).alias("s")).select("id", "owner", "repo", "s", hashed(F.col("s")).alias("value_hash"))
-    stats = ownership(each.select("value_hash", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repo", F.lit("\0")).alias("repo")))
-    judged = each.dropDuplicates(["id", "s"]).join(stats, "value_hash")
-    live = (F.col("s.kind") == "live") & (F.col("n_owners") == 1)
+    stats = materialise(ownership(each.select("value_hash", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repo", F.lit("\0")).alias("repo"))))
+    once = each.dropDuplicates(["id", "s"])
+    # a value of very many uses meets in no task: such values are at most one in HOT_USES uses, so they are broadcast
+    hot = stats.where(F.col("n_uses") > HOT_USES)
+    judged = once.join(stats.where(F.col("n_uses") <= HOT_USES), "value_hash").unionByName(once.join(F.broadcast(hot), "value_hash"))
+    example = (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos)
+    live = (F.col("s.kind") == "live") & (F.col("n_owners") == 1) & ~example
     kept = (F.col("s.kind") != "live") | live
     per = judged.where(kept).groupBy("id").agg(
         F.collect_list(F.when(live, F.col("s"))).alias("added"),
-        F.sum((F.col("n_owners") < copied_owners).cast("bigint")).alias("n_live"),
-        F.sum((F.col("n_owners") >= copied_owners).cast("bigint")).alias("n_example"),
+        F.sum((~example).cast("bigint")).alias("n_live"),
+        F.sum(example.cast("bigint")).alias("n_example"),
     )
     out = named.join(per, "id", "left")
     none = F.array().cast(SPAN)

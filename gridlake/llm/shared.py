@@ -26,11 +26,13 @@ _tables: dict[int, np.ndarray] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder that the cluster names; a temporary one only in local mode, where none need be named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="gridlake-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -28,6 +28,33 @@ def test_plain_page_without_landmarks():
     assert h.main_text(page) == f"{text.strip()}\n\n{text.strip()}"
 
 
+@pytest.mark.parametrize("tag", ["button", "svg", "object", "math", "video", "select", "canvas", "audio", "template"])
+@pytest.mark.parametrize("closed", [True, False])
+def test_inline_elements_end_with_their_parent(tag, closed):
+    text = "The article goes on here, in a long sentence, with commas, and it ends. " * 3
+    page = f"<article><h1>Head</h1><div><{tag}>" + f"</{tag}>" * closed + f"</div><p>{text}</p></article><article><p>{text}</p></article>"
+    assert h.main_text(page) == f"Head\n\n{text.strip()}\n\n{text.strip()}"
+
+
+def test_text_that_is_shown_is_kept():
+    page = "<article><p>Press <button>go</button> for <math><mi>x</mi></math> and <object>this</object>, or <xmp>that</xmp>.</p></article>"
+    assert h.main_text(page) == "Press go for x and this, or that."
+    page = "<article><p>Seen<select><option>one</select> here<svg><text>no</text></svg>.</p><video><p>no player</p></video><p>End.</p></article>"
+    assert h.main_text(page) == "Seen here .\n\nEnd."
+
+
+def test_deep_pages_take_linear_room():
+    import time
+    import tracemalloc
+
+    for page, n in (("<div>x " * 20_000, 20_000), ("<div>" * 20_000 + "</p>" * 20_000 + "x", 1), ("<div>" * 20_000 + "<li>x" * 5_000, 5_000)):
+        tracemalloc.start()
+        begin = time.time()
+        assert len(h.blocks(page)) == n
+        assert time.time() - begin < 10 and tracemalloc.get_traced_memory()[1] < 60 << 20
+        tracemalloc.stop()
+
+
 def brute(cost, edges):
     best = None
     for side in itertools.product((False, True), repeat=len(cost)):
@@ -55,7 +82,7 @@ def test_cut_is_minimal():
 
 
 def test_neighbours_decide_short_blocks():
-    found = [h.Block(t, "div", 0, 0, (1, 2 + i)) for i, t in enumerate(["A long sentence, which is surely content, says much. " * 3, "Ok", "Another long sentence, which is content, stands here. " * 3])]
+    found = [h.Block(t, "div", 0, 0, 2, 1, 1) for i, t in enumerate(["A long sentence, which is surely content, says much. " * 3, "Ok", "Another long sentence, which is content, stands here. " * 3])]
     assert h.label(found, h.PLAIN) == [True, True, True]
     assert h.label(found[1:2], h.PLAIN) == [False]
 

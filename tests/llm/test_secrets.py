@@ -59,6 +59,35 @@ def test_ownership(spark):
     assert out[None].spans == ""
 
 
+def test_live_spans_against_brute_force(spark):
+    """Owners, repositories and live spans of the whole table, and of values that one owner repeats."""
+    t = table(spark, "documents").select("doc_id", "text", "source")
+    rows = [(r.doc_id, r.text, r.source) for r in t.collect()]
+    value = "Zz1aa2bb3cc4dd5ee6ff7"
+    rows += [(10**6 + i, f"key {value}{i % 3} end", "one") for i in range(40)] + [(10**7 + i, f"key {value}x{i}", "two") for i in range(5)]
+    spans, owners, repos = {}, {}, {}
+    for d, text, owner in rows:
+        own = base(text)
+        found = [(a, e, k, m) for a, _, e, k in own for m in [A.match(text, a)[2] if k == "assign" else text[a:e]]]
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text or ""):
+            v = m[0]
+            if len(re.findall("[0-9]", v)) >= 3 and re.search("[A-Za-z]", v) and not any(m.start() < e and a < m.end() for a, _, e, _ in own):
+                found.append((m.start(), m.end(), "live", v))
+        spans[d] = found
+        for *_, v in found:
+            owners.setdefault(v, set()).add(owner)
+            repos.setdefault(v, set()).add(d)
+    example = lambda v: len(owners[v]) >= 3 or len(repos[v]) >= 12
+    src = spark.createDataFrame([(d, x, o) for d, x, o in rows], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan(src).collect()}
+    for d, found in spans.items():
+        live = sorted((a, e) for a, e, k, v in found if k == "live" and len(owners[v]) == 1 and not example(v))
+        assert sorted((s.start, s.end) for s in got[d].live_spans) == live
+        kept = [v for a, e, k, v in found if k != "live" or (a, e) in live]
+        assert (got[d].n_live, got[d].n_example) == (sum(not example(v) for v in kept), sum(map(example, kept)))
+    assert not got[10**6].live_spans and got[10**7].live_spans
+
+
 def test_redact(spark):
     rows = [(1, "a password=abcdefgh1 z", "en", "a", 22), (2, None, "en", "a", None), (3, "clean", "en", "b", 5)]
     src = docs(spark, rows)
