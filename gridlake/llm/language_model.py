@@ -19,7 +19,7 @@ from gridlake.llm.shared import fold, from_planes, mix, packed, planes, unpacked
 
 ORDER = 3
 STRENGTH = 8.0  # Dirichlet weight of the shorter history
-GROUP_BYTES = 10 << 20
+GROUP_BYTES = 8 << 20
 BUCKET_KEYS = 600_000
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _KIND = np.uint64(3)  # low bits of a key: its order, 0 for the begin state
@@ -61,7 +61,7 @@ def keys(tok: np.ndarray, first: np.ndarray, size: np.ndarray, order: int, bits:
 
 def _group_keys(t: np.ndarray, order: int, bits: int):
     """(sorted unique keys of a group's texts, training counts, training tokens)."""
-    every, counted, tokens = [], [], 0
+    seen, learnt, tokens = [], [], 0
     for rows, buf, offs in t:
         tok, _, first, size = sequences(buf, offs)
         held = np.asarray(rows.column(rows.schema.names.index("held")))
@@ -69,16 +69,16 @@ def _group_keys(t: np.ndarray, order: int, bits: int):
         tokens += int((size[~held] - 1).sum())
         for k, pos in keys(tok, first, size, order, bits):
             mine = learn[pos]
-            u, c = np.unique(k[mine], return_counts=True)
-            counted.append((u, c))
-            every.append(np.unique(k[~mine]))
-    if not every:
+            learnt.append(k[mine])
+            seen.append(np.unique(k[~mine]))
+    if not seen:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    u = np.concatenate([x for x, _ in counted])
-    c = np.concatenate([x for _, x in counted])
-    all_keys, inverse = np.unique(np.concatenate([u, *every]), return_inverse=True)
-    total = np.bincount(inverse[: len(u)], weights=c, minlength=len(all_keys)).astype(np.int64)
-    return all_keys, total, tokens
+    u, c = np.unique(np.concatenate(learnt), return_counts=True)
+    del learnt
+    every = np.union1d(u, np.concatenate(seen))
+    total = np.zeros(len(every), np.int64)
+    total[np.searchsorted(every, u)] = c
+    return every, total, tokens
 
 
 def _text_chunks(table) -> Iterator:
@@ -110,13 +110,13 @@ def _ask(order: int, bits: int, step: int):
 def _answer(table):
     """Per bucket: every asking row gets what the corpus counts beyond its own counts of its keys, in its order."""
     names = [np.cumsum(from_planes(b.as_py(), 8)) for b in table.column("names")]
-    own = np.concatenate([from_planes(b.as_py(), 4) for b in table.column("counts")])
-    u, inverse = np.unique(np.concatenate(names), return_inverse=True)
-    total = np.bincount(inverse, weights=own, minlength=len(u)).astype(np.uint64)  # exact up to 2^53
+    own = [from_planes(b.as_py(), 4) for b in table.column("counts")]
+    u = np.unique(np.concatenate(names))
+    total = np.zeros(len(u), np.uint64)
+    for x, c in zip(names, own):
+        total[np.searchsorted(u, x)] += c
     types = int(((total > 0) & ((u & _KIND) == 1)).sum())
-    ends = np.cumsum([len(x) for x in names])
-    more = total[inverse] - own
-    back = [planes(more[e - len(x) : e], 8) for e, x in zip(ends, names)]
+    back = [planes(total[np.searchsorted(u, x)] - c, 8) for x, c in zip(names, own)]
     n = table.num_rows
     return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "more": pa.array(back, pa.binary()), "tokens": table.column("tokens"), "types": pa.array([types] + [0] * (n - 1), pa.int64())})
 
@@ -134,7 +134,7 @@ class Automaton:
         self.names, self.order, self.strength = names, order, strength
         n = len(names)
         self.counts = np.r_[counts, 0].astype(np.float64)
-        self.kind = np.r_[np.maximum(names & _KIND, 1), 0].astype(np.int64)  # of a state: tokens in its history
+        self.kind = np.r_[np.maximum(names & _KIND, 1), 0].astype(np.int8)  # of a state: tokens in its history
         self.mass = float(tokens + types + 1)
         self.source, self.fail = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
 
@@ -157,8 +157,9 @@ class Automaton:
         for n in range(2, self.order + 1):
             g = np.flatnonzero((self.kind == n) & (c > 0))
             p[g] = (c[g] + m * p[self.fail[g]]) / (c[self.source[g]] + m)
-        self.weight = np.log10(p)
+        self.weight = np.log10(p, out=p)
         self.arc = (c > 0) | (self.kind == 1)
+        del self.source
         self.cost = np.log10(m / (c + m))
         self.target = np.where(c > 0, np.where(self.kind < self.order, np.arange(len(c)), self.fail), -1).astype(np.int32)
 
@@ -172,7 +173,7 @@ class Automaton:
             live = count[t]  # texts that still have a token
             s = state[:live]
             at = start[:live] + t
-            arc = flat[self.kind[s] * width + at]
+            arc = flat[self.kind[s].astype(np.int64) * width + at]
             out = ~self.arc[arc]
             if out.any():
                 s = s.copy()
@@ -180,7 +181,7 @@ class Automaton:
                 while len(lost):  # no arc for this token: pay the failure arc and try the shorter state
                     total[lost] += self.cost[s[lost]]
                     s[lost] = self.fail[s[lost]]
-                    arc[lost] = flat[self.kind[s[lost]] * width + at[lost]]
+                    arc[lost] = flat[self.kind[s[lost]].astype(np.int64) * width + at[lost]]
                     lost = lost[~self.arc[arc[lost]]]
             total[:live] += self.weight[arc]
             state[:live] = self.target[arc]
@@ -199,7 +200,11 @@ def _score(order: int, bits: int, strength: float, key: str, key_type):
         by = np.argsort(np.asarray(right.column("bucket")))
         blobs = right.column("more").to_pylist()
         u, own, _ = _group_keys(_text_chunks(left), order, bits)
-        totals = own + np.concatenate([from_planes(blobs[i], 8) for i in by]).astype(np.int64)
+        totals, at = own, 0
+        for i in by:
+            more = from_planes(blobs[i], 8).view(np.int64)
+            totals[at : at + len(more)] += more
+            at += len(more)
         tokens, types = right.column("all_tokens")[0].as_py(), right.column("all_types")[0].as_py()
         model = Automaton(u, totals, tokens, types, strength, order)
         held, ids, starts, sizes, k, at = [], [], [], [], [], 0

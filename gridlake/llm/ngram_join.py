@@ -573,13 +573,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     each = each.select("gid", "salts", "salt", "times", F.col("m.fps").alias("fp"), F.col("m.ns").alias("n"), F.col("m.hs").alias("h"))
     few = pairs.select("a", "b", F.col("shared").alias("few"))
 
-    def open_lists():
-        """The lists that hold several components."""
+    def open_lists(each):
+        """Of the lists with these members, those that hold several components."""
         named = each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         split = named.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gid")
         return materialise(named.join(split, "gid").groupBy("gid", "salts", "salt", "times").agg(F.collect_list(F.struct("fp", "n", "root", "h")).alias("x")))
 
-    lists = open_lists()
+    lists = open_lists(each)
     # where many hold an n-gram, a few probes from each component join most of them before all pairs are looked at
     for _ in range(PROBE_ROUNDS):
         if not lists.where(F.size("x") > LONG).limit(1).count():
@@ -591,7 +591,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
             break
         links = links.unionByName(more)
         roots = grouped(links, more, roots)
-        lists = open_lists()
+        # lists never open again
+        lists = open_lists(lists.select("gid", "salts", "salt", "times", F.explode("x").alias("m")).select("gid", "salts", "salt", "times", "m.fp", "m.n", "m.h"))
     if lists.limit(1).count():
         other = lists.where("salts > 1").select("gid", F.col("salt").alias("salt2"), F.col("x").alias("y"))
         blocks = lists.where("salts > 1").join(other, "gid").where("salt < salt2").select("x", "y", "times")

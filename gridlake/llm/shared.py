@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 2 << 20  # bytes of text that a kernel handles at once; a longer text is a chunk of its own
-PACK_BYTES = 64 << 20  # bytes of text that a task holds before it sends them off
+PACK_BYTES = 24 << 20  # bytes of text that a task holds before it sends them off
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_BASE, -1, 1 << 64)
