@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import fold, from_planes, mix, packed, planes, unpacked, word_hashes, words
+from gridlake.llm.shared import distinct, fold, from_planes, mix, packed, planes, unpacked, word_hashes, words
 
 ORDER = 3
 STRENGTH = 8.0  # Dirichlet weight of the shorter history
@@ -70,12 +70,12 @@ def _group_keys(t: np.ndarray, order: int, bits: int):
         for k, pos in keys(tok, first, size, order, bits):
             mine = learn[pos]
             learnt.append(k[mine])
-            seen.append(np.unique(k[~mine]))
+            seen.append(distinct(k[~mine])[0])
     if not seen:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    u, c = np.unique(np.concatenate(learnt), return_counts=True)
+    u, c = distinct(np.concatenate(learnt))
     del learnt
-    every = np.union1d(u, np.concatenate(seen))
+    every = distinct(np.concatenate([u, *seen]))[0]
     total = np.zeros(len(every), np.int64)
     total[np.searchsorted(every, u)] = c
     return every, total, tokens
@@ -111,7 +111,7 @@ def _answer(table):
     """Per bucket: every asking row gets what the corpus counts beyond its own counts of its keys, in its order."""
     names = [np.cumsum(from_planes(b.as_py(), 8)) for b in table.column("names")]
     own = [from_planes(b.as_py(), 4) for b in table.column("counts")]
-    u = np.unique(np.concatenate(names))
+    u = distinct(np.concatenate(names))[0]
     total = np.zeros(len(u), np.uint64)
     for x, c in zip(names, own):
         total[np.searchsorted(u, x)] += c

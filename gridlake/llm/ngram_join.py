@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.components import components
-from gridlake.llm.shared import chunks, from_planes, grams, materialise, mix, planes, word_hashes, words
+from gridlake.llm.shared import chunks, distinct, from_planes, grams, materialise, mix, planes, word_hashes, words
 
 WORDS = 5
 HOT = 32  # sets that hold an n-gram up to which it isn't hot
@@ -140,7 +140,7 @@ def _asked(z: bytes, sizes: np.ndarray, f1: np.ndarray, k: int, bits: int):
     for i, buf, offs in _unpack(z, sizes):
         key, _, count = sorted_sets(buf, offs, k)
         got.append(key[np.repeat(fresh[i : i + len(count)], count)] >> np.uint64(64 - bits))
-    return np.unique(np.concatenate(got), return_counts=True)
+    return distinct(np.concatenate(got))
 
 
 def _ask_pass(k: int, bits: int, step: int):

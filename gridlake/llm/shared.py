@@ -261,3 +261,12 @@ def unpacked(table: pa.Table, names: list[str], most: int = CHUNK):
             end = min(max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1), len(sizes))
             yield rows.slice(at, end - at), whole[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
             at = end
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, how often each occurs) by one sort; ``x`` may be sorted in place."""
+    x.sort()
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    at = np.flatnonzero(first)
+    return x[at], np.diff(at, append=len(x))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import _INV, _powers, mix, packed, prefix_hashes, span_hashes, unpacked
+from gridlake.llm.shared import _INV, _powers, distinct, mix, packed, prefix_hashes, span_hashes, unpacked
 
 LENGTH = 50
 GROUP_BYTES = 12 << 20
@@ -127,8 +127,8 @@ def _gather(table, length: int, k: int):
 
 def _repeated(x: np.ndarray) -> np.ndarray:
     """The sorted values that occur twice or more."""
-    y = np.sort(x)
-    return np.unique(y[1:][y[1:] == y[:-1]])
+    u, n = distinct(x.copy())
+    return u[n > 1]
 
 
 def _first_of(*cols: np.ndarray) -> np.ndarray:
@@ -162,7 +162,7 @@ def _join_rows(table, **kinds):
 
 def _ask_anchors(length, k, buckets):
     def run(table):
-        u = np.unique(_gather(table, length, k)[0])
+        u = distinct(_gather(table, length, k)[0])[0]
         return _rows(table.column("g")[0].as_py(), _bucket_of(u, buckets), {"a": u}, buckets)
 
     return run
