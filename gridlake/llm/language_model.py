@@ -21,6 +21,7 @@ ORDER = 3
 STRENGTH = 8.0  # Dirichlet weight of the shorter history
 GROUP_BYTES = 8 << 20
 BUCKET_KEYS = 600_000
+STRETCH = 1000  # tokens of a long text that are traversed beside its others
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _KIND = np.uint64(3)  # low bits of a key: its order, 0 for the begin state
 
@@ -164,20 +165,32 @@ class Automaton:
         self.target = np.where(c > 0, np.where(self.kind < self.order, np.arange(len(c)), self.fail), -1).astype(np.int32)
 
     def traverse(self, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """log10 probability of each text. Texts go from left to right, side by side, each with its state."""
-        by = np.argsort(-size, kind="stable")
-        start, count = first[by], np.searchsorted(-size[by], -np.arange(int(size.max(initial=0))), "left")
-        state = self.target[ids[0, start]] if self.order > 1 else np.full(len(by), -1, np.int32)
-        total, flat, width = np.zeros(len(by)), ids.ravel(), ids.shape[1]
-        for t in range(1, len(count)):
-            live = count[t]  # texts that still have a token
+        """log10 probability of each text. Texts go from left to right, side by side, each with its state.
+
+        A state knows no more than ``order`` - 1 tokens, so a stretch of a long text that begins that many tokens early,
+        at the root, has come to the text's own state where its tokens begin to count."""
+        early = self.order - 1
+        parts = np.maximum(1, -(-(size - 1) // STRETCH))
+        text = np.repeat(np.arange(len(size)), parts)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        ahead = np.where(part > 0, early, 0)
+        start = first[text] + 1 + part * STRETCH - ahead
+        length = np.minimum(size[text] - 1 - part * STRETCH, STRETCH) + ahead
+        by = np.argsort(-length, kind="stable")
+        text, start, length, ahead = text[by], start[by], length[by], ahead[by]
+        begin = self.target[ids[0, first[text]]] if self.order > 1 else np.full(len(text), -1, np.int32)
+        state = np.where(ahead > 0, -1, begin).astype(np.int32)
+        count = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
+        total, flat, width = np.zeros(len(text)), ids.ravel(), ids.shape[1]
+        for t, live in enumerate(count.tolist()):  # stretches that still have a token
+            if t == early:
+                total[ahead > 0] = 0.0
             s = state[:live]
             at = start[:live] + t
             arc = flat[self.kind[s].astype(np.int64) * width + at]
-            out = ~self.arc[arc]
-            if out.any():
+            lost = np.flatnonzero(~self.arc[arc])
+            if len(lost):
                 s = s.copy()
-                lost = np.flatnonzero(out)
                 while len(lost):  # no arc for this token: pay the failure arc and try the shorter state
                     total[lost] += self.cost[s[lost]]
                     s[lost] = self.fail[s[lost]]
@@ -185,9 +198,7 @@ class Automaton:
                     lost = lost[~self.arc[arc[lost]]]
             total[:live] += self.weight[arc]
             state[:live] = self.target[arc]
-        out = np.empty(len(by))
-        out[by] = total
-        return out
+        return np.bincount(text, weights=total, minlength=len(size))
 
 
 def _score(order: int, bits: int, strength: float, key: str, key_type):
