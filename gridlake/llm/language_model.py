@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import distinct, fold, from_planes, mix, packed, planes, unpacked, word_hashes, words
+from gridlake.llm.shared import distinct, fold, mix, packed, squeezed, unpacked, unsqueezed, word_hashes, words
 
 ORDER = 3
 STRENGTH = 8.0  # Dirichlet weight of the shorter history
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 BUCKET_KEYS = 600_000
 STRETCH = 1000  # tokens of a long text that are traversed beside its others
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -83,7 +83,7 @@ def _group_keys(t: np.ndarray, order: int, bits: int):
 
 
 def _text_chunks(table) -> Iterator:
-    yield from unpacked(table, ["k", "held"])
+    yield from unpacked(table, ["k", "held"], 1 << 20)
 
 
 def _ask(order: int, bits: int, step: int):
@@ -99,8 +99,9 @@ def _ask(order: int, bits: int, step: int):
             {
                 "g": pa.array([g] * len(spans), pa.int64()),
                 "bucket": pa.array([int(bucket[x]) for x, _ in spans], pa.int64()),
-                "names": pa.array([planes(np.diff(u[x:y], prepend=np.uint64(0)), 8) for x, y in spans], pa.binary()),
-                "counts": pa.array([planes(c[x:y], 4) for x, y in spans], pa.binary()),
+                "m": pa.array([y - x for x, y in spans], pa.int64()),
+                "names": pa.array([squeezed(np.diff(u[x:y], prepend=np.uint64(0)), 8) for x, y in spans], pa.binary()),
+                "counts": pa.array([squeezed(c[x:y], 4) for x, y in spans], pa.binary()),
                 "tokens": pa.array([tokens] + [0] * (len(spans) - 1), pa.int64()),
             }
         )
@@ -110,16 +111,17 @@ def _ask(order: int, bits: int, step: int):
 
 def _answer(table):
     """Per bucket: every asking row gets what the corpus counts beyond its own counts of its keys, in its order."""
-    names = [np.cumsum(from_planes(b.as_py(), 8)) for b in table.column("names")]
-    own = [from_planes(b.as_py(), 4) for b in table.column("counts")]
+    sizes = table.column("m").to_pylist()
+    names = [np.cumsum(unsqueezed(b.as_py(), m, 8)) for b, m in zip(table.column("names"), sizes)]
+    own = [unsqueezed(b.as_py(), m, 4) for b, m in zip(table.column("counts"), sizes)]
     u = distinct(np.concatenate(names))[0]
     total = np.zeros(len(u), np.uint64)
     for x, c in zip(names, own):
         total[np.searchsorted(u, x)] += c
     types = int(((total > 0) & ((u & _KIND) == 1)).sum())
-    back = [planes(total[np.searchsorted(u, x)] - c, 8) for x, c in zip(names, own)]
+    back = [squeezed(total[np.searchsorted(u, x)] - c, 8) for x, c in zip(names, own)]
     n = table.num_rows
-    return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "more": pa.array(back, pa.binary()), "tokens": table.column("tokens"), "types": pa.array([types] + [0] * (n - 1), pa.int64())})
+    return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "m": table.column("m"), "more": pa.array(back, pa.binary()), "tokens": table.column("tokens"), "types": pa.array([types] + [0] * (n - 1), pa.int64())})
 
 
 class Automaton:
@@ -209,11 +211,11 @@ def _score(order: int, bits: int, strength: float, key: str, key_type):
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
         by = np.argsort(np.asarray(right.column("bucket")))
-        blobs = right.column("more").to_pylist()
+        blobs, lengths = right.column("more"), right.column("m").to_pylist()
         u, own, _ = _group_keys(_text_chunks(left), order, bits)
         totals, at = own, 0
         for i in by:
-            more = from_planes(blobs[i], 8).view(np.int64)
+            more = unsqueezed(blobs[i].as_py(), lengths[i], 8).view(np.int64)
             totals[at : at + len(more)] += more
             at += len(more)
         tokens, types = right.column("all_tokens")[0].as_py(), right.column("all_types")[0].as_py()
@@ -261,10 +263,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     step = -(-(1 << bits) // max(1, -(-size * order // 6 // BUCKET_KEYS)))
     src = src.select(F.pmod(F.xxhash64("k", "t"), F.lit(groups)).alias("g"), "k", "held", "t")
     src = packed(src, {"k": key_type, "held": pa.bool_()})
-    asked = src.groupBy("g").applyInArrow(_ask(order, bits, step), "g bigint, bucket bigint, names binary, counts binary, tokens bigint")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "g bigint, bucket bigint, more binary, tokens bigint, types bigint")
+    asked = src.groupBy("g").applyInArrow(_ask(order, bits, step), "g bigint, bucket bigint, m bigint, names binary, counts binary, tokens bigint")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "g bigint, bucket bigint, m bigint, more binary, tokens bigint, types bigint")
     total = answers.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"))
-    answers = answers.select("g", "bucket", "more", total.select("n").scalar().alias("all_tokens"), total.select("v").scalar().alias("all_types"))
+    answers = answers.select("g", "bucket", "m", "more", total.select("n").scalar().alias("all_tokens"), total.select("v").scalar().alias("all_types"))
     schema = f"{key} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return src.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_score(order, bits, strength, key, key_type), schema)
 

@@ -270,3 +270,12 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.not_equal(x[1:], x[:-1], out=first[1:])
     at = np.flatnonzero(first)
     return x[at], np.diff(at, append=len(x))
+
+
+def squeezed(x: np.ndarray, width: int) -> bytes:
+    """``planes``, compressed."""
+    return pa.compress(planes(x, width), codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes, n: int, width: int) -> np.ndarray:
+    return from_planes(pa.decompress(blob, n * width, codec="zstd", asbytes=True), width)
