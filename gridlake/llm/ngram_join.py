@@ -43,7 +43,7 @@ PART = 8 << 20  # bytes of text in a part
 PER_SALT = 50_000  # classes that one bucket of a hot n-gram may gather
 SMALL = 4  # holders of a prefix n-gram up to which all of them pair
 LONG = 200  # holders of an n-gram beyond which components are probed first
-PROBE_ROUNDS = 3
+PROBE_ROUNDS = 1
 PER_BUCKET = 300_000  # prefix entries of a bucket
 PER_COUNT = 1_500_000  # n-grams that a counting bucket gathers
 HASH_BITS = np.uint64(58)
