@@ -30,16 +30,16 @@ def find_scenes(spark, sf_dir):
     return catalog.found(_scenes(spark, sf_dir), path=7, dates=("1995-01-01", "1997-12-31")).select("id", "path", "row")
 
 
-@query("SELECT count(*) AS n FROM orders")
+@query("SELECT o_orderkey::VARCHAR AS id, (o_orderkey % 60 + 1)::INT AS utm, o_orderstatus AS grid FROM orders")
 def add_scenes(spark, sf_dir):
     s = _scenes(spark, sf_dir)
-    return catalog.added(s.where("utm < 30"), s).agg(F.count(F.lit(1)).alias("n"))
+    return catalog.added(s.where("utm < 30"), s).select("id", "utm", "grid")
 
 
-@query("SELECT count(*) AS n FROM orders WHERE o_orderkey % 60 + 1 <> 5")
+@query("SELECT o_orderkey::VARCHAR AS id, (o_orderkey % 60 + 1)::INT AS utm FROM orders WHERE o_orderkey % 60 + 1 <> 5")
 def remove_scenes(spark, sf_dir):
     s = _scenes(spark, sf_dir)
-    return catalog.removed(s, s.where("utm = 5")).agg(F.count(F.lit(1)).alias("n"))
+    return catalog.removed(s, s.where("utm = 5")).select("id", "utm")
 
 
 @query("SELECT o_orderkey, o_orderkey::VARCHAR AS scene, o_orderstatus AS status FROM orders")

@@ -184,16 +184,22 @@ def mask_by_layer(spark, sf_dir):
     return grid.masked(t.event_grid(spark, sf_dir), t.order_grid(spark, sf_dir).where("class <= 2"), "value").select("i", "j", "value")
 
 
-@query(f"WITH {E1}, s AS (SELECT i, j, value FROM e WHERE i < 10) SELECT i//2 AS i, j//2 AS j, round(avg(value), 6) AS value FROM s GROUP BY 1, 2")
+def _event_extent(a, cell: float = 1.0) -> Extent:
+    """The whole grid of the events: 100 columns, and rows up to the last event."""
+    rows = a.agg(F.max("i")).first()[0] + 1
+    return Extent(0, rows, 100, 0, cell, cell)
+
+
+@query(f"WITH {E1} SELECT i//2 AS i, j//2 AS j, round(avg(value), 6) AS value FROM e GROUP BY 1, 2")
 def resample_mean(spark, sf_dir):
-    a = t.event_grid(spark, sf_dir).where("i < 10")
-    return grid.resample(a, Extent(0, 10, 100, 0), Extent(0, 10, 100, 0, 2, 2), "value", "mean").select("i", "j", _r("value").alias("value"))
+    a = t.event_grid(spark, sf_dir)
+    return grid.resample(a, _event_extent(a), _event_extent(a, 2.0), "value", "mean").select("i", "j", _r("value").alias("value"))
 
 
-@query(f"WITH {E1} SELECT i*2 + a AS i, j*2 + b AS j, value FROM e, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(a, b) WHERE i < 10")
+@query(f"WITH {E1} SELECT i*2 + a AS i, j*2 + b AS j, value FROM e, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(a, b)")
 def resample_nearest(spark, sf_dir):
-    a = t.event_grid(spark, sf_dir).where("i < 10")
-    return grid.resample(a, Extent(0, 10, 100, 0), Extent(0, 10, 100, 0, 0.5, 0.5), "value")
+    a = t.event_grid(spark, sf_dir)
+    return grid.resample(a, _event_extent(a), _event_extent(a, 0.5), "value")
 
 
 @query(f"WITH {E1} SELECT i - 2 AS i, j - 4 AS j, trunc(value / 500 * 255)::INT AS value FROM e WHERE i BETWEEN 2 AND 5 AND j BETWEEN 4 AND 63")
