@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.components import components
-from gridlake.llm.shared import chunks, distinct, from_planes, grams, materialise, mix, planes, word_hashes, words
+from gridlake.llm.shared import chunks, distinct, from_planes, give_back, grams, materialise, mix, planes, word_hashes, words
 
 WORDS = 5
 HOT = 32  # sets that hold an n-gram up to which it isn't hot
@@ -130,6 +130,7 @@ def _unpack(z: bytes, sizes: np.ndarray, most: int = 2 << 20):
         j = min(max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1), len(sizes))
         yield i, whole[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    give_back()
 
 
 def _asked(z: bytes, sizes: np.ndarray, f1: np.ndarray, k: int, bits: int):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -50,7 +51,11 @@ def learn_in_task(rows: DataFrame, learn):
 
     def run(batches):
         got = [r for b in batches for r in b.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(got))], pa.binary())], ["model"])
+        give_back()
+        model = pickle.dumps(learn(got))
+        del got
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     first = rows.repartition(1).mapInArrow(run, "model binary").first()
     return learn([]) if first is None else pickle.loads(first[0])
@@ -61,6 +66,15 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(k))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay for later tasks, beside others on their machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, nulls empty, and the offsets of its rows."""
     if isinstance(col, pa.ChunkedArray):
@@ -85,6 +99,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             j = min(j, b.num_rows)
             yield b.slice(i, j - i), buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             i = j
+    give_back()
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -261,6 +276,7 @@ def unpacked(table: pa.Table, names: list[str], most: int = CHUNK):
             end = min(max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1), len(sizes))
             yield rows.slice(at, end - at), whole[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
             at = end
+    give_back()
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

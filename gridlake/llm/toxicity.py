@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import chunks, fold, learn_in_task, materialise, mix, prefix_hashes, span_hashes, words
+from gridlake.llm.shared import chunks, distinct, fold, learn_in_task, materialise, mix, prefix_hashes, span_hashes, words
 
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 8, 8
@@ -121,13 +121,19 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 32, r
     if not n or share in (0.0, 1.0) or not len(h):
         return empty
     # texts that hold a feature, by label; a pair of row and feature counts once
-    flat_h, flat_r = h.ravel(), np.repeat(rows, h.shape[1])
-    some = flat_h != 0
-    u, inverse = np.unique(flat_h[some], return_inverse=True)
-    pair = np.unique(inverse.astype(np.int64) * n + flat_r[some])
-    f, r = pair // n, pair % n
-    ones = np.bincount(f, weights=y[r], minlength=len(u))
-    both = np.bincount(f, minlength=len(u))
+    once_h, once_r, cut = [], [], np.searchsorted(rows, np.arange(0, n + 256, 256))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):  # a few texts at a time, so that no large array is sorted with its order
+        part_h, part_r = h[a:b].ravel(), np.repeat(rows[a:b], h.shape[1])
+        by = np.lexsort((part_h, part_r))
+        part_h, part_r = part_h[by], part_r[by]
+        first = part_h != 0
+        first[1:] &= (part_h[1:] != part_h[:-1]) | (part_r[1:] != part_r[:-1])
+        once_h.append(part_h[first])
+        once_r.append(part_r[first].astype(np.int32))
+    once_h, once_r = np.concatenate(once_h), np.concatenate(once_r)
+    u, both = distinct(once_h.copy())
+    ones = np.bincount(np.searchsorted(u, once_h), weights=y[once_r], minlength=len(u))
+    del once_h, once_r
     odds = np.log((ones + SHRINK * share) / (both - ones + SHRINK * (1 - share))) - np.log(share / (1 - share))
     weight = np.abs(odds) * np.sqrt(both)
     often = np.flatnonzero(both >= max(LEAST_TEXTS, LEAST_SHARE * n))
