@@ -3,7 +3,7 @@
 A multinomial classifier, trained on a labelled table, gives each document a posterior over domains. Nonnegative
 rates are then fitted so that each domain's expected tokens, the sum over documents of rate * tokens * posterior,
 come to its target: projected-gradient least squares in which a step needs one sum of a few numbers over all
-documents, and a document's rate follows from the steps so far, so that no rate is ever gathered anywhere.
+documents, and a document's rate follows from the steps' sum, so that no rate is ever gathered anywhere.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ SHARE = 0.5
 SLOTS = 1 << 15
 DENSE = 6
 MOST_ROWS = 1500  # training rows of each domain at most
+KEEP = 1e-9  # weight of staying near a rate of 1, as a share of all documents' curvature
 
 
 def domain(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -147,72 +148,74 @@ def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: st
     return src.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, tokens bigint, p array<double>")
 
 
-def _rate(steps: list[list[float]], k: int) -> Column:
-    """A document's rate after the steps: from 1, each step takes its posterior's product with the step, and 0 is the floor."""
-    if not steps:
-        return F.lit(1.0)
-    flat = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    return F.aggregate(flat, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col("p")[i] * s[i] for i in range(1, k)), F.col("p")[0] * s[0])))
+def _rate(pull: list[float]) -> Column:
+    """A document's rate: 1 less its posterior's product with the summed steps, and 0 is the floor."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col("p")[i] * x for i, x in enumerate(pull)), F.lit(0.0)))
 
 
 def rates(weighed: DataFrame, targets: list[float], most: int = 60, close: float = 1e-4) -> tuple[Column, list[float]]:
     """(rate as a column of tokens and p, the expected tokens reached) for target tokens of each domain.
 
-    Minimises the squared distance of expected tokens from targets over rates of 0 or more, from rates of 1. Rates move
-    against the gradient, p . gap, and stop at 0. A step's metric is the inverse curvature over documents whose rate
-    isn't at 0; one sum over the documents tries it at several lengths, and the plain gradient, which at the length of
-    the greatest curvature always helps, and the best is taken. Stops when every domain is within ``close`` of the
-    total, when no rates of 0 or more can come nearer by more than that (a bound by the gradient, not by what a step
-    gains), or after ``most`` sums over the documents."""
+    Minimises the squared distance of expected tokens from targets over rates of 0 or more, and of the rates that come
+    as near takes those nearest to 1, by a term of ``KEEP``. The gradient of a document's rate is p . gap, so all steps
+    together are p . pull with one number for each domain, and a rate is their sum's projection, max(0, 1 - p . pull).
+    Steps are summed before the projection, so a rate at 0 can leave it, and the function whose gradient they follow,
+    sum(tokens * rate^2) / 2 + pull . targets, is convex. Its curvature is summed over the documents whose rate isn't
+    0. One sum over the documents tries a step at several lengths, by that curvature and by one that keeps a share of
+    all documents', and takes the one of the least value. Stops when every domain is within ``close`` of the total,
+    when no rates of 0 or more can come nearer by more than that (a bound by the gradient, not by what a step gains),
+    or after ``most`` sums over the documents."""
     k = len(targets)
     goal = np.array(targets, float)
     enough = close * max(goal.sum(), 1.0)
 
-    def sums(steps, tries, gap):
-        """For each try the expected tokens and the curvature after it; and the least product of a posterior with the gap."""
+    def sums(tries, gap):
+        """For each try the expected tokens, curvature and squares; and the least product of a posterior with the gap."""
 
         def run(batches):
-            total, least = np.zeros((len(tries), k + k * k)), 0.0
+            total, least = np.zeros((len(tries), k + k * k + 1)), 0.0
             for b in batches:
                 n = b.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
                 p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                r = np.ones(len(n))
-                for s in steps:
-                    r = np.maximum(0, r - p @ s)
                 least = min(least, (p @ gap)[n > 0].min(initial=0.0))
-                for x, s in zip(total, tries):
-                    q = np.maximum(0, r - p @ s)
-                    x[:k] += (q * n) @ p
-                    x[k:] += ((np.where(q > 0, n, 0)[:, None] * p).T @ p).ravel()
+                for x, pull in zip(total, tries):
+                    r = np.maximum(0, 1 - p @ pull)
+                    x[:k] += (r * n) @ p
+                    x[k:-1] += ((np.where(r > 0, n, 0)[:, None] * p).T @ p).ravel()
+                    x[-1] += (r * r) @ n
             yield pa.RecordBatch.from_arrays([pa.array([least]), pa.array([total.ravel().tolist()])], ["least", "total"])
 
         got = weighed.select("tokens", "p").mapInArrow(run, "least double, total array<double>").collect()  # a row a task
-        each = np.sum([r["total"] for r in got], axis=0).reshape(len(tries), k + k * k) if got else np.zeros((len(tries), k + k * k))
-        return [(x[:k], x[k:].reshape(k, k)) for x in each], min([0.0, *(r["least"] for r in got)])
+        each = np.sum([r["total"] for r in got], axis=0).reshape(len(tries), -1) if got else np.zeros((len(tries), k + k * k + 1))
+        return [(x[:k], x[k:-1].reshape(k, k), x[-1]) for x in each], min([0.0, *(r["least"] for r in got)])
 
-    steps: list[list[float]] = []
-    ((now, curve),), _ = sums(steps, [np.zeros(k)], np.zeros(k))
+    pull = np.zeros(k)
+    ((now, curve, squares),), _ = sums([pull], np.zeros(k))
     if not curve.any():
         return F.lit(1.0), [0.0] * k
-    whole, steepest = curve, np.linalg.eigvalsh(curve)[-1]
+    whole, keep = curve, KEEP * np.trace(curve)
+
+    def value(x, sq):
+        return sq / 2 + x @ goal + keep / 2 * (x @ x)
+
     for _ in range(most):
         gap = now - goal
         if np.abs(gap).max() < enough:
             break
-        newton = np.linalg.solve(curve + (1e-9 * np.trace(curve) + 1e-12 * np.trace(whole)) * np.eye(k), gap)
-        own = max(np.linalg.eigvalsh(curve)[-1], 1e-9 * steepest)
-        tries = [newton * x for x in (1, 1 / 2, 1 / 4, 1 / 16, 1 / 128)] + [gap / steepest] + [gap / own * x for x in (1, 8, 64)]
-        after, least = sums(steps, tries, gap)
+        slope = gap - keep * pull
+        newton = np.linalg.solve(curve + keep * np.eye(k), slope)
+        wide = np.linalg.solve(curve + whole / 100 + keep * np.eye(k), slope)
+        tries = [pull + newton * 2.0**-x for x in (-1, 0, 1, 2, 4, 6, 9, 12)] + [pull + wide * 2.0**-x for x in (0, 2, 4)]
+        after, least = sums(tries, gap)
         # half the squared distance exceeds the best by no more than this: the best's total is bounded by today's gap
         over = gap @ now - min(least, 0.0) * (goal.sum() + np.sqrt(k) * np.linalg.norm(gap))
         if over <= enough * enough / 2:
             break
-        best = min(range(len(tries)), key=lambda n: np.square(after[n][0] - goal).sum())
-        if np.square(after[best][0] - goal).sum() >= np.square(gap).sum():  # beyond the sums' precision
+        best = min(range(len(tries)), key=lambda n: value(tries[n], after[n][2]))
+        if value(tries[best], after[best][2]) >= value(pull, squares):  # beyond the sums' precision
             break
-        steps.append([float(x) for x in tries[best]])
-        now, curve = after[best]
-    return _rate(steps, k), [float(x) for x in now]
+        pull, (now, curve, squares) = tries[best], after[best]
+    return _rate([float(x) for x in pull]), [float(x) for x in now]
 
 
 def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", targets: dict = TARGETS, share: float = SHARE) -> DataFrame:

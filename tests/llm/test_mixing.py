@@ -64,6 +64,26 @@ def test_soft_posteriors_reach_the_targets(spark):
     assert r.min() >= 0 and (r * n) @ p == pytest.approx(np.array(reached))
 
 
+def test_rates_are_the_nearest_to_one(spark):
+    """Of all rates that meet the targets those nearest to 1: none along the targets' null space is nearer."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([2, 1, 1], 200)
+    n = rng.integers(1, 50, 200)
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "tokens long, p array<double>")
+    goal = np.array([0.60, 0.30, 0.10]) * 0.7 * n.sum()
+    rate, reached = mixing.rates(df, [float(x) for x in goal])
+    r = np.array([x[0] for x in df.select(rate).collect()])
+    assert np.abs(np.array(reached) - goal).max() < 1e-4 * goal.sum()
+    free = np.flatnonzero(r > 1e-3)
+    a = (n[:, None] * p)[free]
+    for _ in range(20):
+        d = rng.normal(size=len(free))
+        d -= a @ np.linalg.solve(a.T @ a, a.T @ d)
+        d *= 1e-4 * r[free].min() / np.abs(d).max()
+        near, was = (n[free] * np.square(r[free] + d - 1)).sum(), (n[free] * np.square(r[free] - 1)).sum()
+        assert near >= was - 1e-9 * was
+
+
 def test_targets_out_of_reach_end_at_the_optimum(spark):
     p = np.array([0.5, 0.3, 0.2])
     df = spark.createDataFrame([(n, p.tolist()) for n in range(1, 40)], "tokens long, p array<double>")
