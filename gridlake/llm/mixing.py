@@ -23,8 +23,9 @@ DOMAINS = ("good", "low", "toxic")
 #: Share of the mixture's tokens that each domain should have, and the mixture's tokens as a share of all.
 TARGETS = {"good": 0.88, "low": 0.10, "toxic": 0.02}
 SHARE = 0.5
-SLOTS = 1 << 15
+SLOTS = 1 << 18
 DENSE = 6
+MARKED = 4  # standard errors from which a word's log-odds count
 MOST_ROWS = 1500  # training rows of each domain at most
 KEEP = 1e-9  # weight of staying near a rate of 1, as a share of all documents' curvature
 
@@ -49,19 +50,40 @@ def features(buf: np.ndarray, offs: np.ndarray):
     upper = (buf >= 65) & (buf <= 90)
     sign = (buf > 32) & (buf < 128) & ~((buf >= 48) & (buf <= 57)) & ~upper & ~((buf >= 97) & (buf <= 122)) & (buf != 44) & (buf != 46)
     dense = np.stack([np.bincount(r, weights=again, minlength=n) / some, inside(upper), inside(sign), inside((buf >= 48) & (buf <= 57)), np.log1p(count) / 10, (size / np.maximum(1, some)) / 10], 1)
-    return (h >> np.uint64(49)).astype(np.int64), r, dense.astype(np.float32), count.astype(np.int64)
+    return (h >> np.uint64(46)).astype(np.int64), r, dense.astype(np.float32), count.astype(np.int64)
 
 
 class Classifier:
-    """Softmax over mean word weights and dense features."""
+    """Softmax over mean word weights, dense features and, for each domain, the summed log-odds of its marked words.
+
+    A few marked words decide about a long text, which a mean over all its words drowns."""
 
     def __init__(self, k: int):
-        self.w, self.d, self.b = np.zeros((SLOTS, k), np.float32), np.zeros((DENSE, k), np.float32), np.zeros(k, np.float32)
-        self.mean, self.std = np.zeros(DENSE, np.float32), np.ones(DENSE, np.float32)
+        self.w, self.d, self.b = np.zeros((SLOTS, k), np.float32), np.zeros((DENSE + k, k), np.float32), np.zeros(k, np.float32)
+        self.odds = np.zeros((SLOTS, k), np.float32)
+        self.mean, self.std = np.zeros(DENSE + k, np.float32), np.ones(DENSE + k, np.float32)
+
+    def mark(self, slots: np.ndarray, r: np.ndarray, y: np.ndarray) -> None:
+        """Log-odds of slots by the texts that hold them; slots within ``MARKED`` standard errors of 0 aren't marked."""
+        once = np.unique(r.astype(np.int64) * SLOTS + slots)
+        k = self.odds.shape[1]
+        held = np.bincount(once % SLOTS * k + y[once // SLOTS], minlength=SLOTS * k).reshape(SLOTS, k) + 0.5
+        texts = np.bincount(y, minlength=k) + 1.0
+        rest, others = held.sum(1, keepdims=True) - held, texts.sum() - texts
+        odds = np.log(held / texts) - np.log(rest / others)
+        error = np.sqrt(1 / held - 1 / texts + 1 / rest - 1 / others)
+        self.odds = np.where(np.abs(odds) > MARKED * error, odds, 0).astype(np.float32)
+
+    def inputs(self, slots: np.ndarray, r: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """The dense features and each domain's sum over a text's different marked words."""
+        some = np.flatnonzero(self.odds.any(1)[slots])
+        once = np.unique(r[some].astype(np.int64) * SLOTS + slots[some])
+        sums = [np.bincount(once // SLOTS, weights=self.odds[once % SLOTS, c], minlength=len(dense)) for c in range(self.odds.shape[1])]
+        return np.c_[dense, np.stack(sums, 1)].astype(np.float32)
 
     def posteriors(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slots, r, dense, count = features(buf, offs)
-        z = ((dense - self.mean) / self.std) @ self.d + self.b
+        z = ((self.inputs(slots, r, dense) - self.mean) / self.std) @ self.d + self.b
         for c in range(z.shape[1]):
             z[:, c] += np.bincount(r, weights=self.w[slots, c], minlength=len(z)) / np.sqrt(np.maximum(count, 1))
         z = np.exp((z - z.max(1, keepdims=True)).astype(np.float64))
@@ -77,9 +99,11 @@ def fit(texts: list[str], y: list[int], k: int, prior: np.ndarray, epochs: int =
     raw = [t.encode() for t in texts]
     offs = np.r_[0, np.cumsum([len(b) for b in raw])].astype(np.int64)
     slots, r, dense, count = features(np.frombuffer(b"".join(raw), np.uint8), offs)
-    m.mean, m.std = dense.mean(0), dense.std(0) + 1e-3
-    x = (dense - m.mean) / m.std
     y = np.array(y)
+    m.mark(slots, r, y)
+    x = m.inputs(slots, r, dense)
+    m.mean, m.std = x.mean(0), x.std(0) + 1e-3
+    x = (x - m.mean) / m.std
     have = np.bincount(y, minlength=k) / len(y)
     weight = (prior / np.maximum(have, 1e-9))[y]
     begin = np.searchsorted(r, np.arange(len(y) + 1))

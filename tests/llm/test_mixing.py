@@ -21,6 +21,24 @@ def labels(spark, rows):
     return spark.createDataFrame([(i, int(y != 1), int(y == 2)) for i, _, y in rows], "doc_id long, quality int, toxic int")
 
 
+def test_few_marked_words_decide_a_long_text():
+    """Two words of a domain in 400 others; posteriors stay as sure as the shares among texts without them."""
+    rnd = random.Random(8)
+    texts, y = [], []
+    for i in range(1200):
+        c = i % 3
+        text = [f"w{rnd.randrange(4000)}" for _ in range(400)]
+        for _ in range(2 if c else 0):
+            text[rnd.randrange(400)] = f"{'xlb'[c]}{rnd.randrange(12)}"
+        texts.append(" ".join(text))
+        y.append(c)
+    m = mixing.fit(texts[:900], y[:900], 3, np.ones(3) / 3)
+    raw = [t.encode() for t in texts[900:]]
+    p, _ = m.posteriors(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(b) for b in raw])])
+    assert np.mean(p.argmax(1) == y[900:]) > 0.95
+    assert p.mean(0) == pytest.approx(np.ones(3) / 3, abs=0.05)
+
+
 def test_targets_are_met(spark):
     rows = made()
     out = mixing.mix(docs(spark, [r[:2] for r in rows]), labels(spark, rows)).collect()
