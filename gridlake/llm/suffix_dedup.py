@@ -6,10 +6,10 @@ groups to buckets of anchors:
 
 1. which anchors do two groups hold? The others are settled;
 2. of those, which blocks (an anchor with all the strings that it represents) does a smaller document hold whole?
-3. where an anchor has several different blocks, their bytes go to a bucket, whose strings are put in order by a
-   mergesort that compares suffixes by prefix hashes: a binary search over lengths finds the common extension of
-   two suffixes, and the byte behind it decides. Neighbours whose common extension reaches ``length`` are compared
-   byte by byte.
+3. where an anchor has several different blocks that agree in one of ``Blocks.kin``, their bytes go to a bucket,
+   whose strings, without those whose hash no other has, are put in order by a mergesort that compares suffixes by
+   prefix hashes: a binary search over lengths finds the common extension of two suffixes, and the byte behind it
+   decides. Neighbours whose common extension reaches ``length`` are compared byte by byte.
 
 A block that another document holds whole has nothing to sort: it is removed by equality with the other, which is
 verified by ``Blocks.digests``, a second 64-bit hash of its bytes of another kind than the first. So only strings that
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import _INV, _powers, distinct, mix, packed, prefix_hashes, span_hashes, unpacked
+from gridlake.llm.shared import _INV, CHUNK, _powers, distinct, mix, packed, prefix_hashes, span_hashes, unpacked
 
 LENGTH = 50
 GROUP_BYTES = 12 << 20
@@ -53,15 +53,14 @@ def leftmost_min(h: np.ndarray, w: int, step: int = 1 << 14) -> np.ndarray:
     n = len(h) - w + 1
     out = np.empty(n, np.int32)
     for i in range(0, n, step):
-        val = (h[i : min(i + step, n) + w - 1] >> np.uint64(32)).astype(np.uint32)
-        at, size = np.arange(i, i + len(val), dtype=np.int32), 1
+        val = h[i : min(i + step, n) + w - 1] & np.uint64(0xFFFFFFFF00000000)
+        val |= np.arange(i, i + len(val), dtype=np.uint64)  # of equal halves the first is less
+        size = 1
         while size < w:
             d = min(size, w - size)
-            right = val[d:] < val[:-d]
-            at = at[:-d].copy() if not right.any() else np.where(right, at[d:], at[:-d])
             val = np.minimum(val[:-d], val[d:])
             size += d
-        out[i : i + len(at)] = at
+        out[i : i + len(val)] = val.astype(np.uint32)
     return out
 
 
@@ -80,20 +79,18 @@ class Blocks:
         p = prefix_hashes(buf)
         grams = gram_hashes(p, len(buf) - k + 1, k)
         at = leftmost_min(grams, length - k + 1)
-        inside = np.ones(n, bool)
-        for cut in offs[1:-1].tolist():  # strings don't cross rows
-            inside[max(0, cut - length + 1) : cut] = False
-        s = np.flatnonzero(inside)
-        if not len(s):
+        new = np.ones(n, bool)
+        np.not_equal(at[1:], at[:-1], out=new[1:])
+        cuts = offs[1:-1]
+        new[cuts[cuts < n]] = True
+        for cut in cuts.tolist():  # strings don't cross rows
+            new[max(0, cut - length + 1) : cut] = False
+        self.lo = np.flatnonzero(new)
+        if not len(self.lo):
             return
-        a = at[s]
-        new = np.empty(len(s), bool)
-        new[0] = True
-        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1)
-        first = np.flatnonzero(new)
-        self.lo, self.hi = s[first], s[np.r_[first[1:], len(s)] - 1]
-        self.p = a[first].astype(np.int64)
         self.row = np.searchsorted(offs, self.lo, "right") - 1
+        self.hi = np.minimum(np.append(self.lo[1:], n) - 1, offs[self.row + 1] - length)
+        self.p = at[self.lo].astype(np.int64)
         self.a = mix(grams[self.p])
         h = span_hashes(p, self.lo, self.hi + length)
         h += (self.p - self.lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
@@ -111,10 +108,43 @@ class Blocks:
             mix(acc)
         return acc
 
+    def kin(self, i: np.ndarray, k: int) -> np.ndarray:
+        """Three hashes of 10 bits for blocks i: of the anchor with two thirds of a string's other bytes, all before it,
+        half of them, none. Blocks that share a string of one anchor agree in the same one of them at least."""
+        p, lo, end = self.p[i], self.lo[i], self.hi[i] + self.length
+        rest = self.length - k
+        wide, out = 2 * rest // 3, np.zeros(len(i), np.uint32)
+        for before in (wide, rest // 3, 0):
+            s, e = p - before, p + k + wide - before
+            ok = (s >= lo) & (e <= end)
+            h = np.where(ok, span_hashes(self.prefix, np.maximum(s, lo), np.minimum(e, end)), self.h[i] + np.uint64(before + 1))
+            out = out << np.uint32(10) | (mix(h) >> np.uint64(54)).astype(np.uint32)
+        return out
+
+
+def _texts(table, most: int = CHUNK):
+    """(rows, bytes, offsets) of a group's texts; small pieces, as large tables have them, are put together."""
+    held, size = [], 0
+    for piece in unpacked(table, ["k"]):
+        if held and size + len(piece[1]) > most:
+            yield _one(held)
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[1])
+    if held:
+        yield _one(held)
+
+
+def _one(held):
+    if len(held) == 1:
+        return held[0]
+    rows = pa.RecordBatch.from_arrays([pa.concat_arrays([r.column(0) for r, _, _ in held])], ["k"])
+    return rows, np.concatenate([b for _, b, _ in held]), np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, _, o in held]))]
+
 
 def _table_blocks(table, length: int, k: int):
     """(doc of each row, Blocks, offsets) by chunk. Null keys are after all others."""
-    for rows, buf, offs in unpacked(table, ["k"]):
+    for rows, buf, offs in _texts(table):
         doc = rows.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
         yield rows, doc, Blocks(buf, offs, length, k), offs
 
@@ -140,43 +170,80 @@ def _first_of(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(g, bucket, cols, buckets: int, kind: str = ""):
-    """One row for each bucket; ``cols``: name -> array, or a list of bytes, in any order."""
+def _binary(x: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """One binary value for each x[cut[i]:cut[i + 1]]."""
+    ends = (cut * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _cuts(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.append(np.flatnonzero(_first_of(sorted_)), len(sorted_))
+
+
+def _rows(g, bucket, cols):
+    """One row for each bucket; ``cols``: name -> array, in any order."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    cut = np.r_[0, np.flatnonzero(np.diff(b)) + 1, len(b)] if len(b) else np.zeros(1, np.int64)
-    out = {"g": pa.array([g] * (len(cut) - 1), pa.int64()), "bucket": pa.array(b[cut[:-1]] if len(b) else [], pa.int32())}
-    for name, x in cols.items():
-        y = x[order]
-        out[name] = pa.array([y[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())
-    return pa.table(out)
+    cut = _cuts(b)
+    out = {"g": pa.array(np.full(len(cut) - 1, g, np.int64)), "bucket": pa.array(b[cut[:-1]].astype(np.int32))}
+    return pa.table(out | {name: _binary(x[order], cut) for name, x in cols.items()})
 
 
 def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(key.copy()) % np.uint64(buckets)).astype(np.int64)
 
 
+def _ends(col) -> list[np.ndarray]:
+    """Of each chunk of a binary column, where its rows begin and end in its data."""
+    return [np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, c.offset * 4).astype(np.int64) for c in col.cast(pa.binary()).chunks if len(c)]
+
+
+def _sizes(col) -> np.ndarray:
+    """Bytes in each row of a binary column."""
+    return np.concatenate([np.diff(e) for e in _ends(col)] or [np.zeros(0, np.int64)])
+
+
 def _join_rows(table, **kinds):
-    return [np.concatenate([np.frombuffer(b.as_py(), kinds[c]) for b in table.column(c)] or [np.zeros(0, kinds[c])]) for c in kinds]
+    """All values of binary columns, one row after the other."""
+    out = []
+    for name, kind in kinds.items():
+        col = table.column(name).cast(pa.binary())
+        full = [c for c in col.chunks if len(c)]
+        parts = [np.frombuffer(c.buffers()[2], np.uint8, int(e[-1] - e[0]), int(e[0])) for c, e in zip(full, _ends(col)) if e[-1] > e[0]]
+        out.append(np.concatenate(parts).view(kind) if parts else np.zeros(0, kind))
+    return out
+
+
+def _marks(u: np.ndarray) -> np.ndarray:
+    """A table by upper bits that tells most keys which aren't in u."""
+    out = np.zeros(1 << max(10, min(24, len(u).bit_length() + 3)), bool)
+    out[u >> np.uint64(65 - len(out).bit_length())] = True
+    return out
+
+
+def _marked(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return marks[key >> np.uint64(65 - len(marks).bit_length())]
 
 
 def _ask_anchors(length, k, buckets):
     def run(table):
         u = distinct(_gather(table, length, k)[0])[0]
-        return _rows(table.column("g")[0].as_py(), _bucket_of(u, buckets), {"a": u}, buckets)
+        return _rows(table.column("g")[0].as_py(), _bucket_of(u, buckets), {"a": u})
 
     return run
 
 
 def _answer_anchors(table):
     """How many groups hold each anchor, for those that two or more do."""
-    names = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("a")]
-    u, inverse, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
-    ends, out = np.cumsum([len(x) for x in names]), []
-    for x, e in zip(names, ends):
-        c = count[inverse[e - len(x) : e]]
-        out.append((x[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
-    return pa.table({"g": table.column("g"), "a": pa.array([x for x, _ in out], pa.binary()), "n": pa.array([y for _, y in out], pa.binary())})
+    (names,) = _join_rows(table, a=np.uint64)
+    order = np.argsort(names, kind="stable")
+    cut = _cuts(names[order])
+    count = np.empty(len(names), np.uint32)
+    count[order] = np.repeat(np.diff(cut), np.diff(cut))
+    keep = count > 1
+    ends = np.r_[0, np.cumsum(keep)][np.r_[0, np.cumsum(_sizes(table.column("a")) // 8)]]
+    return pa.table({"g": table.column("g"), "a": _binary(names[keep], ends), "n": _binary(count[keep], ends)})
 
 
 def _lookup(u: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,40 +257,43 @@ def _lookup(u: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _ask_blocks(length, k, buckets):
     def run(left, right):
         if not left.num_rows:
-            return _rows(0, np.zeros(0, np.int64), {c: np.zeros(0, np.uint64) for c in ("a", "h", "h2", "doc", "salts")}, buckets)
+            return _rows(0, np.zeros(0, np.int64), {c: np.zeros(0, np.uint64) for c in ("a", "h", "h2", "doc", "salts", "kin")})
         g = left.column("g")[0].as_py()
         held, n = _join_rows(right, a=np.uint64, n=np.uint32)
         order = np.argsort(held)
         held, n = held[order], n[order]
         every = []
         for _, doc, b, _ in _table_blocks(left, length, k):
+            kin = b.kin(np.arange(len(b.a)), k)
             b.prefix = None  # as large as all else together
-            every.append((doc, b))
-        own = _repeated(np.concatenate([b.a for _, b in every] or [np.zeros(0, np.uint64)]))
+            every.append((doc, b, kin))
+        own = _repeated(np.concatenate([b.a for _, b, _ in every] or [np.zeros(0, np.uint64)]))
+        marks = _marks(held) if len(held) else np.zeros(1 << 10, bool)
+        mine = _marks(own)
         got = []
-        for doc, b in every:
-            at, found = _lookup(held, b.a)
-            take = np.flatnonzero(found | _lookup(own, b.a)[1])
-            at, found = at[take], found[take]
+        for doc, b, kin in every:
+            take = np.flatnonzero(_marked(marks, b.a) | _marked(mine, b.a))
+            at, found = _lookup(held, b.a[take])
+            keep = found | _lookup(own, b.a[take])[1]
+            take, at, found = take[keep], at[keep], found[keep]
             salts = np.where(found, -(-(n[at] if len(n) else np.ones(len(at), np.uint32)).astype(np.int64) // PER_SALT), 1).astype(np.uint64)
-            got.append((b.a[take], b.h[take], b.digests(take), doc[b.row[take]], salts))
-        a, h, h2, doc, salts = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, np.uint64)] * 5
+            got.append((b.a[take], b.h[take], b.digests(take), doc[b.row[take]], salts, kin[take]))
+        a, h, h2, doc, salts, kin = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, np.uint64)] * 6
         order = np.lexsort((doc, h2, h))
         first = _first_of(h[order], h2[order])
         docs, place = doc[order], np.cumsum(first) - 1
         twice = np.bincount(place, docs > docs[first][place], minlength=int(first.sum())) > 0  # in documents of this group
         order = order[first]
-        a, h, h2, doc, salts = a[order], h[order], h2[order], doc[order], salts[order]
+        a, h, h2, doc, salts, kin = a[order], h[order], h2[order], doc[order], salts[order], kin[order]
         bucket = _bucket_of(a + h % np.maximum(salts, np.uint64(1)), buckets)
-        return _rows(g, bucket, {"a": a, "h": h, "h2": h2, "doc": doc, "salts": salts | (twice.astype(np.uint64) << _TWICE)}, buckets)
+        return _rows(g, bucket, {"a": a.astype(np.uint32), "h": h, "h2": h2, "doc": doc, "salts": salts | (twice.astype(np.uint64) << _TWICE), "kin": kin.astype(np.uint32)})
 
     return run
 
 
 def _answer_blocks(table):
-    """For each asked block: the least document that holds it, and whether its anchor has other blocks too."""
-    a, h, h2, doc, salts = _join_rows(table, a=np.uint64, h=np.uint64, h2=np.uint64, doc=np.int64, salts=np.uint64)
-    sizes = [len(b.as_py()) // 8 for b in table.column("h")]
+    """For each asked block: the least document that holds it, and whether other blocks may share a string with it."""
+    a, h, h2, doc, salts, kin = _join_rows(table, a=np.uint32, h=np.uint64, h2=np.uint64, doc=np.int64, salts=np.uint64, kin=np.uint32)
     twice, salts = salts >> _TWICE > 0, salts & ((np.uint64(1) << _TWICE) - np.uint64(1))
     order = np.lexsort((h2, h))
     first = _first_of(h[order], h2[order])
@@ -231,32 +301,39 @@ def _answer_blocks(table):
     block[order] = np.cumsum(first) - 1
     least = np.full(int(first.sum()), _LAST)
     np.minimum.at(least, block, doc)
-    anchors = np.sort(a[order][first])  # one for each different block
-    many = (np.searchsorted(anchors, a, "right") - np.searchsorted(anchors, a) > 1) | (salts > 1)
+    one = order[first]  # of each different block
+    other = np.zeros(len(one), bool)
+    for i in range(3):  # equal anchors and hashes beside them; half an anchor's hash tells enough
+        name = a[one].astype(np.uint64) << np.uint64(10) | (kin[one] >> np.uint32(10 * i) & np.uint32(1023)).astype(np.uint64)
+        by = np.argsort(name)
+        cut = _cuts(name[by])
+        other[by] |= np.repeat(np.diff(cut) > 1, np.diff(cut))
+    many = other[block] | (salts > 1)
     mine = least[block]
     send = many | twice | (mine < doc)
-    ends, out = np.cumsum(sizes), []
-    for size, e in zip(sizes, ends):
-        i = np.arange(e - size, e)[send[e - size : e]]
-        out.append((h[i].tobytes(), h2[i].tobytes(), mine[i].tobytes(), np.where(many[i], salts[i], 0).astype(np.uint64).tobytes()))
-    return pa.table({"g": table.column("g"), "kind": pa.array([0] * len(out), pa.int32())} | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("h", "h2", "least", "more"))})
+    ends = np.r_[0, np.cumsum(send)][np.r_[0, np.cumsum(_sizes(table.column("h")) // 8)]]
+    cols = {"h": h, "h2": h2, "least": mine, "more": np.where(many, salts, 0).astype(np.uint64)}
+    return pa.table({"g": table.column("g"), "kind": pa.array(np.zeros(len(ends) - 1, np.int32))} | {c: _binary(x[send], ends) for c, x in cols.items()})
 
 
-def _known(right, kind: int):
-    """(h, h2, least, more) of one kind of answer, sorted by h."""
+def _known(right, kind: int, only_open: bool = False):
+    """(h, h2, least, more) of one kind of answer, sorted by h, and marks of h."""
     part = right.filter(pa.array(np.asarray(right.column("kind")) == kind)) if right.num_rows else right
     cols = _join_rows(part, h=np.uint64, h2=np.uint64, least=np.int64, more=np.uint64)
+    if only_open:
+        cols = [c[cols[3] > 0] for c in cols]
     order = np.argsort(cols[0], kind="stable")
-    return [c[order] for c in cols]
+    return [*(c[order] for c in cols), _marks(cols[0])]
 
 
 def _match(known, b, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows of ``known``, found) for blocks i of a chunk, by both hashes."""
     h, h2 = known[0], known[1]
-    at, found = _lookup(h, b.h[i])
-    go = np.flatnonzero(found)
+    at, found = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+    go = np.flatnonzero(_marked(known[4], b.h[i]))
+    at[go], found[go] = _lookup(h, b.h[i[go]])
+    go = go[found[go]]
     mine = b.digests(i[go])
-    at = at.copy()
     while len(go):  # past blocks whose first hash collides
         other = h2[at[go]] != mine
         go, mine = go[other], mine[other]
@@ -290,59 +367,64 @@ def _ask_bytes(length, k, buckets):
     """Each open block's bytes, once in a group; strings of salted anchors one by one."""
 
     def run(left, right):
-        keys, meta, data = [], [], []
         g = left.column("g")[0].as_py() if left.num_rows else 0
-        known, seen = _known(right, 0), set()
+        known, got, data = _known(right, 0, True), [], []
         for _, doc, b, _ in _table_blocks(left, length, k):
             i, salts = _open_blocks(doc[b.row], b, known, _match(known, b, np.arange(len(b.h))))
-            raw, second = b.buf, b.digests(i)
-            for x, s, name2 in zip(i.tolist(), salts.tolist(), second.tolist()):
-                if s == 1 and (name := int(b.h[x]), name2) not in seen:
-                    seen.add((name, name2))
-                    keys.append(int(b.a[x]))
-                    meta.append((name, int(doc[b.row[x]]), int(b.p[x] - b.lo[x]), int(b.hi[x] - b.lo[x] + 1), name2))
-                    data.append(raw[b.lo[x] : b.hi[x] + length].tobytes())
-            _, start, names = _each_string(b, i[salts > 1], length)
-            block = _
-            for s, name, x in zip(start.tolist(), names.tolist(), block.tolist()):
-                d = int(doc[b.row[x]])
-                if (name, d) not in seen:
-                    seen.add((name, d))
-                    keys.append(name)
-                    meta.append((name, d, -1, 1, 0))
-                    data.append(raw[s : s + length].tobytes())
-        bucket = _bucket_of(np.array(keys, np.uint64), buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)] if len(order) else np.zeros(1, np.int64)
-        parts = [order[x:y].tolist() for x, y in zip(cut[:-1], cut[1:])]
-        col = lambda src, t: pa.array([np.array([src[j] for j in p], t).tobytes() for p in parts], pa.binary())
-        return pa.table(
-            {
-                "g": pa.array([g] * len(parts), pa.int64()),
-                "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
-                "a": col(keys, np.uint64),
-                "h": col([m[0] for m in meta], np.uint64),
-                "h2": col([m[4] for m in meta], np.uint64),
-                "doc": col([m[1] for m in meta], np.int64),
-                "shift": col([m[2] for m in meta], np.int64),
-                "n": col([m[3] for m in meta], np.int64),
-                "data": pa.array([b"".join(data[j] for j in p) for p in parts], pa.binary()),
-            }
-        )
+            plain = i[salts == 1]
+            block, start, names = _each_string(b, i[salts > 1], length)
+            zero = np.zeros(len(start), np.uint64)
+            cols = [
+                (b.a[plain], names),
+                (b.h[plain], names),
+                (b.digests(plain), zero),
+                (doc[b.row[plain]], doc[b.row[block]]),
+                (b.p[plain] - b.lo[plain], zero.astype(np.int64) - 1),
+                (b.hi[plain] - b.lo[plain] + 1, zero.astype(np.int64) + 1),
+            ]
+            cols = [np.concatenate(x) for x in cols]
+            own = np.sort(_once(cols))
+            cols = [x[own] for x in cols]
+            got.append(cols)
+            data.append(b.buf[_ranges(np.r_[b.lo[plain], start][own], cols[5] + length - 1)])
+        a, h, h2, doc, shift, n = cols = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+        data = np.concatenate(data) if data else np.zeros(0, np.uint8)
+        size = n + length - 1
+        own = _once(cols)
+        own = own[np.argsort(_bucket_of(a[own], buckets), kind="stable")]
+        bucket = _bucket_of(a[own], buckets)
+        cut = _cuts(bucket)
+        out = {"g": pa.array(np.full(len(cut) - 1, g, np.int64)), "bucket": pa.array(bucket[cut[:-1]].astype(np.int32))}
+        out |= {c: _binary(x[own], cut) for c, x in zip(("a", "h", "h2", "doc", "shift", "n"), cols)}
+        out["data"] = _binary(data[_ranges((np.cumsum(size) - size)[own], size[own])], np.r_[0, np.cumsum(size[own])][cut])
+        return pa.table(out)
 
     return run
 
 
+def _once(cols) -> np.ndarray:
+    """One index of each different (h, h2, doc, single string or not)."""
+    _, h, h2, doc, shift, _ = cols
+    order = np.lexsort((doc, shift < 0, h2, h))
+    return order[_first_of(h[order], h2[order], shift[order] < 0, doc[order])]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, and so on."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 def common_extension(p: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """Length up to ``most`` of the longest common prefix of the suffixes at x and y, by binary search on hashes."""
-    lo, hi = np.zeros(len(x), np.int64), np.full(len(x), most, np.int64)
-    while True:
-        go = lo < hi
-        if not go.any():
-            return lo
+    out = np.full(len(x), most, np.int64)
+    go = np.flatnonzero(span_hashes(p, x, x + most) != span_hashes(p, y, y + most))
+    x, y, lo, hi = x[go], y[go], np.zeros(len(go), np.int64), np.full(len(go), most - 1, np.int64)
+    for _ in range(int(most - 1).bit_length()):
         mid = (lo + hi + 1) >> 1
         same = span_hashes(p, x, x + mid) == span_hashes(p, y, y + mid)
-        lo, hi = np.where(go & same, mid, lo), np.where(go & ~same, mid - 1, hi)
+        lo, hi = np.where(same, mid, lo), np.where(same, hi, np.maximum(mid - 1, lo))
+    out[go] = lo
+    return out
 
 
 def suffix_order(buf: np.ndarray, p: np.ndarray, at: np.ndarray, segment: np.ndarray, most: int) -> np.ndarray:
@@ -430,29 +512,32 @@ def least_holder(buf: np.ndarray, at: np.ndarray, segment: np.ndarray, doc: np.n
 def _answer_bytes(length):
     def run(table):
         a, h, h2, doc, shift, n = _join_rows(table, a=np.uint64, h=np.uint64, h2=np.uint64, doc=np.int64, shift=np.int64, n=np.int64)
-        buf = np.concatenate([np.frombuffer(b.as_py(), np.uint8) for b in table.column("data")])
-        sizes = [len(b.as_py()) // 8 for b in table.column("h")]
+        (buf,) = _join_rows(table, data=np.uint8)
         begin = np.cumsum(n + length - 1) - (n + length - 1)
         block = np.repeat(np.arange(len(n)), n)
-        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        first = np.cumsum(n) - n
+        j = np.arange(int(n.sum())) - first[block]
         at = begin[block] + j
+        best = doc[block]
+        # a string whose hash no other has is equal to none
+        name = mix(span_hashes(prefix_hashes(buf), at, at + length))
+        order = np.argsort(name)
+        cut = _cuts(name[order])
+        i = np.sort(order[np.repeat(np.diff(cut) > 1, np.diff(cut))])
         # only strings with the same anchor at the same offset can be equal
-        segment = mix(a[block] + np.where(shift[block] < 0, 0, shift[block] - j + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        segment = mix(a[block[i]] + np.where(shift[block[i]] < 0, 0, shift[block[i]] - j[i] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(segment, kind="stable")
-        best = np.empty(len(at), np.int64)
-        best[order] = least_holder(buf, at[order], segment[order], doc[block][order], length)
-        earlier = best < doc[block]
+        i, segment = i[order], segment[order]
+        best[i] = least_holder(buf, at[i], segment, doc[block[i]], length)
+        earlier = i[best[i] < doc[block[i]]]
         bits = np.zeros(len(n), np.uint64)
-        np.bitwise_or.at(bits, block, earlier.astype(np.uint64) << j.astype(np.uint64))
+        np.bitwise_or.at(bits, block[earlier], np.uint64(1) << j[earlier].astype(np.uint64))
         single = shift < 0
-        first = np.cumsum(n) - n
-        least = np.where(single, best[np.minimum(first, max(0, len(best) - 1))] if len(best) else 0, doc)
-        out, ends = [], np.cumsum(sizes)
-        for size, e in zip(sizes, ends):
-            i = np.arange(e - size, e)
-            i = i[(bits[i] > 0) | single[i]]
-            out.append((h[i].tobytes(), h2[i].tobytes(), least[i].tobytes(), bits[i].tobytes()))
-        return pa.table({"g": table.column("g"), "kind": pa.array([1] * len(out), pa.int32())} | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("h", "h2", "least", "more"))})
+        least = np.where(single, best[first], doc)
+        send = (bits > 0) | single
+        ends = np.r_[0, np.cumsum(send)][np.r_[0, np.cumsum(_sizes(table.column("h")) // 8)]]
+        cols = {"h": h, "h2": h2, "least": least, "more": bits}
+        return pa.table({"g": table.column("g"), "kind": pa.array(np.ones(len(ends) - 1, np.int32))} | {c: _binary(x[send], ends) for c, x in cols.items()})
 
     return run
 
@@ -476,24 +561,23 @@ def _remove(length, k, key, key_type):
                 mine = d[b.row]
                 at, found = match = _match(whole, b, np.arange(len(b.h)))
                 done = found & (whole[2][at] < mine) if len(whole[0]) else found
-                lo, hi = [b.lo[done]], [b.hi[done] + length]
+                step[b.lo[done]] += 1  # no two blocks begin or end together
+                step[b.hi[done] + length] -= 1
+                lo = []
                 i, salts = _open_blocks(mine, b, whole, match)
                 plain = i[salts == 1]
                 at, found = _match(part, b, plain)
                 if found.any():
-                    bits = part[3][at[found]]
-                    for j in range(length - k + 1):
-                        s = b.lo[plain[found]][(bits >> np.uint64(j)) & np.uint64(1) > 0] + j
-                        lo.append(s)
-                        hi.append(s + length)
+                    block, j = np.nonzero(part[3][at[found]][:, None] >> np.arange(length - k + 1, dtype=np.uint64) & np.uint64(1))
+                    lo.append(b.lo[plain[found]][block] + j)
                 block, start, names_ = _each_string(b, i[salts > 1], length)
                 at, found = _lookup(strings, names_)
                 if found.any():
                     hit = found & (least[at] < mine[block])
                     lo.append(start[hit])
-                    hi.append(start[hit] + length)
-                np.add.at(step, np.concatenate(lo), 1)
-                np.add.at(step, np.concatenate(hi), -1)
+                if lo:
+                    np.add.at(step, np.concatenate(lo), 1)
+                    np.add.at(step, np.concatenate(lo) + length, -1)
             gone = np.cumsum(step[:n]) > 0
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
@@ -529,7 +613,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     texts = packed(src, {"k": pa.int64()}).groupBy("g")
     anchors = texts.applyInArrow(_ask_anchors(length, k, buckets), "g bigint, bucket int, a binary")
     anchors = anchors.groupBy("bucket").applyInArrow(_answer_anchors, "g bigint, a binary, n binary")
-    blocks = texts.cogroup(anchors.groupBy("g")).applyInArrow(_ask_blocks(length, k, buckets), "g bigint, bucket int, a binary, h binary, h2 binary, doc binary, salts binary")
+    blocks = texts.cogroup(anchors.groupBy("g")).applyInArrow(_ask_blocks(length, k, buckets), "g bigint, bucket int, a binary, h binary, h2 binary, doc binary, salts binary, kin binary")
     answer = "g bigint, kind int, h binary, h2 binary, least binary, more binary"
     blocks = blocks.groupBy("bucket").applyInArrow(_answer_blocks, answer)
     pieces = texts.cogroup(blocks.groupBy("g")).applyInArrow(_ask_bytes(length, k, buckets), "g bigint, bucket int, a binary, h binary, h2 binary, doc binary, shift binary, n binary, data binary")

@@ -140,3 +140,54 @@ def test_sql(spark):
     got = sorted((tuple(r) for r in con.execute(suffix_dedup.SQL).fetchall()), key=str)
     rows = [(r.doc_id, r.text) for r in table(spark, "documents").select("doc_id", "text").collect()]
     assert got == brute(rows)
+
+
+def split_texts(rows, g, pieces):
+    """A group's texts as they come in a large table: in many small pieces."""
+    out = []
+    for i in range(pieces):
+        part = rows[i::pieces]
+        batch = pa.RecordBatch.from_pydict({"g": [g] * len(part), "k": [d for d, _ in part], "t": [t for _, t in part]})
+        out += shared.pack_pass({"k": pa.int64()})(iter([batch]))
+    return pa.Table.from_batches(out)
+
+
+def test_small_pieces_are_put_together():
+    rows = made(5)
+    whole, split = split_texts(rows, 0, 1), split_texts(rows, 0, 20)
+    assert split.num_rows == 20
+    (one,) = suffix_dedup._table_blocks(whole, 50, 20)
+    (many,) = suffix_dedup._table_blocks(split, 50, 20)
+    assert sorted(one[2].h.tolist()) == sorted(many[2].h.tolist())
+    assert sorted(one[1].tolist()) == sorted(many[1].tolist())
+
+
+def test_equal_anchors_without_an_equal_string_send_no_bytes():
+    """In large tables anchors coincide; blocks that share no string of ``length`` bytes needn't be compared."""
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    shared_words = [word(34) for _ in range(50)]
+    texts = [split_texts([(d, "".join(word(60) + w for w in shared_words) + word(60)) for d in (2 * g, 2 * g + 1)], g, 1) for g in range(3)]
+    asked = pa.concat_tables([suffix_dedup._ask_anchors(50, 20, 1)(t) for t in texts])
+    anchors = suffix_dedup._answer_anchors(asked)
+    of = lambda t, g: t.filter(pc.equal(t.column("g"), g))
+    blocks = pa.concat_tables([suffix_dedup._ask_blocks(50, 20, 1)(t, of(anchors, g)) for g, t in enumerate(texts)])
+    assert sum(len(x.as_py()) for x in blocks.column("h")) > 0
+    whole = suffix_dedup._answer_blocks(blocks)
+    pieces = [suffix_dedup._ask_bytes(50, 20, 1)(t, of(whole, g)) for g, t in enumerate(texts)]
+    assert sum(len(x.as_py()) for t in pieces for x in t.column("h")) <= 8 * 10  # of some hundred; hashes of 10 bits can agree
+
+
+def test_strings_that_occur_once_are_not_sorted(monkeypatch):
+    sizes, real = [], suffix_dedup.suffix_order
+
+    def order(buf, p, at, segment, most):
+        names = [buf[i : i + most].tobytes() for i in at.tolist()]
+        assert all(names.count(x) > 1 for x in set(names))
+        sizes.append(len(at))
+        return real(buf, p, at, segment, most)
+
+    monkeypatch.setattr(suffix_dedup, "suffix_order", order)
+    rows = made(8)
+    assert in_process(rows) == brute(rows)
+    assert sum(sizes) > 0
