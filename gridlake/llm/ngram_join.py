@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.components import components
+from gridlake.llm.components import IN_TASK, components
 from gridlake.llm.shared import chunks, distinct, from_planes, give_back, grams, materialise, mix, planes, word_hashes, words
 
 WORDS = 5
@@ -525,10 +525,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     ordered = [F.when(low, F.col(v)).otherwise(F.col(w)).alias(c) for c, v, w in (("a", "p", "q"), ("b", "q", "p"), ("na", "np", "nq"), ("nb", "nq", "np"))]
     between = between.select(*ordered, F.lit(0).cast("bigint").alias("shared"))
     pairs = live.where("a is not null").select("a", "b", "na", "nb", "shared").unionByName(between).groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    pairs = materialise(pairs)  # three jobs read them
     # a link shares so many prefix n-grams: those that few hold are counted, of the others the smaller number is a bound,
     # and so is that of the hot n-grams in a node's prefix
     often = live.where("member is not null").select("member", "often").unionByName(members.select(F.col("id").alias("member"), F.col("hot").alias("often")))
-    often = often.groupBy("member").agg(F.sum("often").alias("often"))
+    often = materialise(often.groupBy("member").agg(F.sum("often").alias("often")))
     rest = F.greatest(*(F.ceil(F.col(c) * num / 100) - 1 for c in ("na", "nb")))
     least = F.greatest(F.ceil((F.col("na") + F.col("nb")) * num / F.lit(100 + num)) - rest, F.lit(1))
     most = F.col("shared") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
@@ -560,11 +561,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
         edges = members.join(linked, "cid", "left_semi").select(F.col("id").alias("a"), F.col("cid").alias("b"))
         edges = edges.unionByName(links if more is None else more)
         if roots is None:
-            return components(edges)
+            return components(edges, in_task=IN_TASK)
         for side in ("a", "b"):
             edges = edges.join(roots.toDF(side, f"r{side}"), side, "left")
         edges = edges.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
-        up = components(edges)
+        up = components(edges, in_task=IN_TASK)
         moved = roots.join(up.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         return materialise(moved.unionByName(up.join(roots, "node", "left_anti")))
 

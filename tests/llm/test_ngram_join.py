@@ -159,6 +159,42 @@ def test_components(spark, kind, monkeypatch):
     assert {n: r["root"] for n, r in got.items()} == {n: find(n) for n in up}
 
 
+@pytest.mark.parametrize("in_task, jobs", [(5000, 8), (60, None)])
+def test_components_in_task(spark, in_task, jobs):
+    rnd = random.Random(4)
+    e = [(i, i + 1) for i in range(-300, 400)] + [(2000, 1000 + i) for i in range(200)] + [(3000 + rnd.randrange(400), 3000 + rnd.randrange(400)) for _ in range(300)]
+    e += [(9000, 9000), (None, 9001), (9002, None), *e[:50]]
+    rnd.shuffle(e)
+    up = {n: n for x in e if None not in x for n in x}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in e:
+        if a is not None and b is not None:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    edges = spark.createDataFrame(e, "a long, b long")
+    spark.sparkContext.setJobGroup(f"components {in_task}", "")
+    got = components(edges, in_task=in_task).collect()
+    ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {in_task}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.node, r.root) for r in got) == sorted((n, find(n)) for n in up)
+    assert jobs is None or ran <= jobs  # the driver plans no rounds
+
+
+def test_few_jobs(spark):
+    """The driver's memory grows with the jobs of a join."""
+    src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    spark.sparkContext.setJobGroup("few jobs", "")
+    ngram_join.join(src).write.format("noop").mode("overwrite").save()
+    ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < ran <= 60
+
+
 def test_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
