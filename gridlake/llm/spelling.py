@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 from gridlake.llm.shared import chunks, materialise
 
 BITS = 63  # of a mask: 26 for a to z, 37 shared by the 64 letters from U+00C0
-BUCKET = 256  # words of a bucket from which it is split by three more bands
 TABLED = 64  # bytes, or letters, of a word up to which checksums are combined by tables and letters compared by distance
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -116,12 +114,8 @@ def counted(docs: DataFrame, size: int = 6, least: int = 5, slip: int = 0) -> Da
     return src.mapInArrow(_count_pass(size, slip), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def bands(fixed: int) -> list[int]:
-    """Bit sets of ``fixed`` with each third of the other bits: two bits that differ leave one of the thirds equal."""
-    free = [b for b in range(BITS) if not fixed >> b & 1]
-    return [fixed | sum(1 << b for b in free[k::3]) for k in range(3)] if free else []
-
-
+#: Every third bit: two bits that differ leave one of these sets equal.
+BANDS = [sum(1 << b for b in range(k, BITS, 3)) for k in range(3)]
 #: Each letter flips its bit, so that the mask has the letters that occur an odd number of times.
 _PARITY = "aggregate(filter(split(word, ''), c -> c <> ''), 0L, (m, c) -> m ^ shiftleft(1L, if(ascii(c) < 128, ascii(c) - 97, 26 + (ascii(c) - 192) % 37)))"
 #: Whether long words are the same but for the letter after their common start, which halving steps find.
@@ -129,37 +123,25 @@ _START = "aggregate(sequence(30, 0), 0, (p, k) -> if(p + shiftleft(1, k) <= leas
 _SAME_REST = f"substring(x.word, {_START} + if(x.size >= y.size, 2, 1)) = substring(y.word, {_START} + if(y.size >= x.size, 2, 1))"
 
 
-def _dealt(words: DataFrame, sets: list[int]) -> DataFrame:
-    """Each word once for each third that its bucket's bit set, one of ``sets``, can be extended by."""
-    thirds = F.create_map(*(c for u in sets for c in (F.lit(u).cast("bigint"), F.array(*(F.lit(v).cast("bigint") for v in bands(u))))))
-    out = words.withColumn("bits", F.explode(F.element_at(thirds, F.col("bits"))))
-    return out.select("bits", F.col("parity").bitwiseAND(F.col("bits")).alias("value"), "parity", "size", "word", "n")
-
-
-def near_pairs(words: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n) of each two of ``words`` (word, n) that one inserted, deleted or replaced letter parts, a < b.
 
     An edit flips at most two bits of the mask, so of three bands of bits one is equal: words meet in the buckets of
-    equal bands. A bucket of more than ``bucket`` words is split again by three bands of its other bits, by the same
-    rule, down to eight bits, so common letters make no large bucket; words that are still together then, with masks
-    nearly the same, are joined like others, and adaptive execution splits such a join. Within a bucket, lengths and
-    masks are compared first, then letters. Pairs found in several buckets count once."""
-    todo = materialise(words.select(F.lit(0).cast("bigint").alias("bits"), "word", "n", F.char_length("word").alias("size"), F.expr(_PARITY).alias("parity")))
-    sets, ready = [0], []
-    while True:
-        dealt = materialise(_dealt(todo, sets))
-        sets = sorted({c for u in sets for c in bands(u)})
-        large = materialise(dealt.groupBy("bits", "value").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > bucket).select("bits", "value"))
-        if sets[0].bit_count() >= BITS - 8 or not large.limit(1).count():
-            ready.append(dealt)
-            break
-        ready.append(dealt.join(large, ["bits", "value"], "left_anti"))
-        todo = dealt.join(large, ["bits", "value"], "left_semi")
-    held = reduce(DataFrame.unionByName, ready)
+    equal bands. Buckets hold words of one length and of one more, the length filter, and are divided by half words:
+    with h half the lesser length, an edit leaves the first h letters or the other half's number of last letters as
+    they are. So each word stands in twelve buckets, those of few letters and common bands are no larger for it, and
+    adaptive execution splits what is still large. Masks are compared within a bucket, then letters; pairs found in
+    several buckets count once."""
+    w = words.select("word", "n", F.char_length("word").alias("size"), F.expr(_PARITY).alias("parity"))
+    w = w.withColumn("least", F.explode(F.array(F.col("size"), F.col("size") - 1)))
+    half = F.floor(F.col("least") / 2).cast("int")
+    sides = [F.substring("word", F.lit(1), half), F.substring("word", F.col("size") - F.col("least") + half + 1, F.col("least") - half)]
+    keys = [F.xxhash64(F.lit(k), F.col("parity").bitwiseAND(F.lit(band)), "least", F.lit(side), part) for k, band in enumerate(BANDS) for side, part in enumerate(sides)]
+    held = w.select(F.explode(F.array(*keys)).alias("bucket"), "word", "n", "size", "parity")
     x, y = held.alias("x"), held.alias("y")
     edit = f"CASE WHEN greatest(x.size, y.size) <= {TABLED} THEN levenshtein(x.word, y.word, 1) = 1 ELSE {_SAME_REST} END"
     near = f"bit_count(x.parity ^ y.parity) <= 2 - abs(x.size - y.size) AND abs(x.size - y.size) <= 1 AND x.word < y.word AND {edit}"
-    met = x.join(y, F.expr(f"x.bits = y.bits AND x.value = y.value AND {near}"))
+    met = x.join(y, F.expr(f"x.bucket = y.bucket AND {near}"))
     return met.select(F.col("x.word").alias("a"), F.col("x.n").alias("a_n"), F.col("y.word").alias("b"), F.col("y.n").alias("b_n")).distinct()
 
 
@@ -175,13 +157,13 @@ def roots(forms: DataFrame) -> DataFrame:
             return at
 
 
-def variants(words: DataFrame, times: int = 5, bucket: int = BUCKET) -> DataFrame:
+def variants(words: DataFrame, times: int = 5) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of each of ``words`` (word, n), which must be distinct.
 
     ``form`` is the near word of largest n, of equal ones the least in code-point order, if it is ``times`` as frequent
     or more, else null; ``root`` is where forms lead in the end, the word itself without a form. No words, no rows."""
     words = materialise(words.select("word", "n"))
-    pairs = materialise(near_pairs(words, bucket))
+    pairs = materialise(near_pairs(words))
     both = pairs.select(F.col("a").alias("of"), F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("near")).alias("x")).unionByName(pairs.select(F.col("b").alias("of"), F.struct((-F.col("a_n")).alias("less"), F.col("a").alias("near")).alias("x")))
     best = both.groupBy("of").agg(F.count(F.lit(1)).alias("n_near"), F.min("x").alias("x"))
     taken = -F.col("x.less") >= times * F.col("n")
