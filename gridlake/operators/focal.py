@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlake.operators.blocks import block_function
+from gridlake.sources.scratch import written
+
 SEPARABLE = ("sum", "mean", "min", "max", "percent", "std")
 GATHERED = ("median", "majority", "duda", "fill-basins", "fill-peaks", "remove-min", "seg-dist")
 TILED = ("edge-direction", "line-enhance", "suppression", "inhibition", "continuity", "distance", "fill", "circles")
@@ -176,6 +179,15 @@ def relaxed(p: np.ndarray, compatibility: np.ndarray, size: int, iterations: int
     return p
 
 
+def relaxed_grid(pixels: DataFrame, bands: list[str], compatibility: np.ndarray, size: int = 3, iterations: int = 1, tile: int = TILE) -> DataFrame:
+    """(i, j, ``bands``) of label relaxation: each round is a pass over tiles, whose halos it gets from the round before,
+    so the result is that of the whole array at any ``tile``. Rounds are written tables. Cells outside count as 0."""
+    one = lambda x, at: list(relaxed(np.stack([x[b] for b in bands]), np.asarray(compatibility, float), size))
+    for _ in range(iterations):
+        pixels = written(block_function({b: (pixels, b) for b in bands}, one, bands, tile, size // 2, 0.0))
+    return pixels.select("i", "j", *bands)
+
+
 def tiled(pixels: DataFrame, value: str, name: str, size: int, tile: int = TILE, **how) -> DataFrame:
     """(i, j, out) of a kernel: cells go to their tile and to those whose halo they are in; a tile is one task's array
     of its own and its halo's cells, whatever the scene. The halo is half a window, or a whole one for circles, whose ring is judged at a
@@ -195,10 +207,12 @@ def tiled(pixels: DataFrame, value: str, name: str, size: int, tile: int = TILE,
     return sent.groupBy("ti", "tj").applyInPandas(run, "i bigint, j bigint, out double")
 
 
-def moving_window(pixels: DataFrame, value: str, statistic: str, size: int = 3, ignore: float | None = None, border: str = "zero", out: str | None = None, **how) -> DataFrame:
-    """(i, j, out) for every cell of a grid."""
+def moving_window(pixels: DataFrame, value: str | list[str], statistic: str, size: int = 3, ignore: float | None = None, border: str = "zero", out: str | None = None, **how) -> DataFrame:
+    """(i, j, out) for every cell of a grid. ``plr`` takes class probabilities, a list of columns, and returns those."""
     if size % 2 == 0 or size < 3:
         raise ValueError("the window's size must be odd and 3 or more")
+    if statistic == "plr":
+        return relaxed_grid(pixels, value, size=size, **how)
     if statistic in SEPARABLE:
         made = _separable(pixels, value, size, statistic, ignore)
     elif statistic in GATHERED:

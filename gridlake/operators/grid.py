@@ -89,6 +89,38 @@ def resample(pixels: DataFrame, source: Extent, target: Extent, value: str, how:
     return cells.join(pixels.select("i", "j", value), ["i", "j"]).select(F.col("ti").alias("i"), F.col("tj").alias("j"), value)
 
 
+def _taps(f: Column, how: str) -> list[tuple[int, Column]]:
+    """(step, weight) of the cells that an inner position takes part of, ``f`` past the first one's centre."""
+    if how == "bilinear":
+        return [(0, 1 - f), (1, f)]
+    near = lambda d: (1.5 * d - 2.5) * d * d + 1  # noqa: E731  cubic convolution with a = -0.5
+    far = lambda d: ((-0.5 * d + 2.5) * d - 4) * d + 2
+    return [(-1, far(f + 1)), (0, near(f)), (1, near(1 - f)), (2, far(2 - f))]
+
+
+def warp(pixels: DataFrame, source: Extent, target: Extent, value: str, how: str = "bilinear", no_data: float | None = None) -> DataFrame:
+    """(i, j, value) on another grid of the same reference system, weighted over the 4 (``bilinear``) or 16 (``cubic``)
+    source cells around each target cell's centre.
+
+    Cells that are missing, null or ``no_data`` take no part and the other weights are scaled to add up to 1; a target
+    cell is left out where its centre is outside the source, or what is left weighs nothing or less. Target cells send
+    their taps to source cells, an equi-join, and add up what they get; both sides are dealt out by cell."""
+    if how not in ("bilinear", "cubic"):
+        raise ValueError(f"no kernel {how!r}")
+    rows, columns = target.shape
+    cells = pixels.sparkSession.range(rows * columns).select(F.floor(F.col("id") / columns).alias("ti"), (F.col("id") % columns).alias("tj"))
+    x, y = target.x(F.col("tj")), target.y(F.col("ti"))
+    u, v = (x - source.left) / source.width - 0.5, (F.lit(source.top) - y) / source.height - 0.5
+    cells = cells.where(source.holds(x, y)).select("ti", "tj", F.floor(u).alias("j"), F.floor(v).alias("i"), (u - F.floor(u)).alias("fu"), (v - F.floor(v)).alias("fv"))
+    sent = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (wa * wb).alias("w")) for a, wa in _taps(F.col("fv"), how) for b, wb in _taps(F.col("fu"), how)))
+    sent = cells.select("ti", "tj", "i", "j", F.explode(sent).alias("t")).where("t.w <> 0").select("ti", "tj", (F.col("i") + F.col("t.a")).alias("i"), (F.col("j") + F.col("t.b")).alias("j"), F.col("t.w").alias("w"))
+    good = F.col(value).isNotNull() if no_data is None else F.col(value) != no_data
+    got = sent.join(pixels.where(good).select("i", "j", F.col(value).cast("double").alias("v")), ["i", "j"])
+    total = F.sum("w")
+    got = got.groupBy("ti", "tj").agg(F.sum(F.col("w") * F.col("v")).alias("s"), total.alias("w")).where("w > 1e-9")
+    return got.select(F.col("ti").alias("i"), F.col("tj").alias("j"), (F.col("s") / F.col("w")).alias(value))
+
+
 def translate(pixels: DataFrame, value: str, i: int, j: int, rows: int, columns: int, scale: tuple[float, float, float, float] | None = None, kind: str = "double") -> DataFrame:
     """A window, numbered from 0, with values mapped from one range to another and cast."""
     v = F.col(value).cast("double")

@@ -9,8 +9,9 @@ from gridlake.model import Extent
 
 
 def order(key: str, seed: int = 1) -> Column:
-    """A pseudo-random order that depends on the key alone, not on partitions."""
-    return F.xxhash64(F.lit(seed), F.col(key))
+    """A pseudo-random order that depends on the key alone, not on partitions: 60 bits of MD5 of ``seed:key``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def sample_points(points: DataFrame, pixels: DataFrame, extent: Extent, bands: list[str], x: str = "x", y: str = "y", neighbours: bool = False) -> DataFrame:
@@ -41,17 +42,23 @@ def cell_points(pixels: DataFrame, extent: Extent, value: str, no_data: float =
 def split(df: DataFrame, key: str, label: str | None = None, share: float | None = 0.5, count: int | dict | None = None, seed: int = 1) -> DataFrame:
     """``df`` with ``part``: train or test. Exact numbers, of all rows or of each label: a share, rounded down, or a count.
 
-    A count over a label's size takes the whole label for training."""
-    by = Window.partitionBy(label) if label else Window.partitionBy(F.lit(1))
-    rank = F.row_number().over(by.orderBy(order(key, seed), key))
-    size = F.count(F.lit(1)).over(by)
+    A count over a label's size takes the whole label for training. The order is dealt into 4096 ranges a label, whose
+    sizes say how many rows come before each, so rows are only ranked within a range and no label is sorted whole."""
+    r = order(key, seed)
+    rows = df.withColumns({"__label": F.col(label) if label else F.lit(0), "__range": F.shiftright(r, 48)})
+    sizes = rows.groupBy("__label", "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy("__label").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.sum("__rows").over(Window.partitionBy("__label"))
     if isinstance(count, dict):
         n = F.lit(0)
         for c, k in count.items():
-            n = F.when(F.col(label) == c, k).otherwise(n)
+            n = F.when(F.col("__label") == c, k).otherwise(n)
     else:
         n = F.lit(count) if count is not None else F.floor(size * share)
-    return df.withColumn("part", F.when(rank <= n, "train").otherwise("test"))
+    sizes = sizes.select(F.col("__label").alias("__l"), F.col("__range").alias("__r"), (n - F.coalesce(F.sum("__rows").over(before), F.lit(0))).alias("__left"))
+    rank = F.row_number().over(Window.partitionBy("__label", "__range").orderBy(r, key))
+    out = rows.withColumn("__rank", rank).join(sizes, F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__range") == F.col("__r")))
+    return out.select(*(df[c] for c in df.columns if c != "part"), F.when(F.col("__rank") <= F.col("__left"), "train").otherwise("test").alias("part"))
 
 
 def strata(x: Column, y: Column, left: float, top: float, spacing: float) -> Column:
@@ -78,31 +85,52 @@ def class_weights(df: DataFrame, label: str, how: str = "percent") -> DataFrame:
     return c.join(other, "__a").select(label, "n", F.col("inverse").alias("weight"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, radius: float, x: str = "x", y: str = "y", rounds: int = 12) -> DataFrame:
-    """(key, target key, distance) of the nearest target; of several the least key.
-
-    Targets are hashed to square cells: a point first looks in its cell and the eight around it, and those that found
-    none within the cell's size look again in cells twice as large, so no pair is made of all points and targets."""
-    p = points.select(F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    t = targets.select(F.col(target_key).alias("__t"), F.col(x).alias("__tx"), F.col(y).alias("__ty"))
-    done, size = None, radius
-    for last in [False] * (rounds - 1) + [True]:
-        cells = F.explode(F.array(*(F.struct((F.floor(F.col("__x") / size) + a).alias("a"), (F.floor(F.col("__y") / size) + b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-        near = p.withColumn("c", cells).select("__k", "__x", "__y", "c.a", "c.b").join(t.withColumns({"a": F.floor(F.col("__tx") / size), "b": F.floor(F.col("__ty") / size)}), ["a", "b"])
-        d = F.sqrt(F.pow(F.col("__x") - F.col("__tx"), F.lit(2.0)) + F.pow(F.col("__y") - F.col("__ty"), F.lit(2.0)))
-        best = near.groupBy("__k").agg(F.min(F.struct(d.alias("d"), F.col("__t").alias("t"))).alias("m")).select("__k", "m.d", "m.t")
-        best = best if last else best.where(F.col("d") <= size)
-        done = best if done is None else done.unionByName(best)
-        if last or not (rest := p.join(best.select("__k"), "__k", "left_anti").limit(1).count()):
-            break
-        p, size = p.join(best.select("__k"), "__k", "left_anti"), size * 2
-    return done.select(F.col("__k").alias(key), F.col("t").alias(target_key), F.col("d").alias("distance"))
+def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
+    """(key, target key, distance) of the nearest target of each point, however far; of several the least key.
+
+    Targets are hashed to square cells of size ``radius``, those to cells four times as large, and so on up to one that
+    holds all. Each point descends: of the cells below its own it keeps those whose nearest edge is no farther than the
+    farthest corner of some cell, which holds a target. So it meets only targets of a few cells, no pair is made of all
+    points and targets, and nothing ends the search before the nearest is found. Points and targets without
+    coordinates are left out; without targets there are no rows."""
+    p = points.select(F.col(key).alias("__k"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__x is not null and __y is not null")
+    t = targets.select(F.col(target_key).alias("__t"), F.col(x).cast("double").alias("__tx"), F.col(y).cast("double").alias("__ty")).where("__tx is not null and __ty is not null")
+    edge = t.agg(F.min("__tx").alias("x"), F.min("__ty").alias("y"), F.max("__tx").alias("xx"), F.max("__ty").alias("yy")).first()
+    if edge.x is None:
+        return p.join(t, F.lit(False)).select(F.col("__k").alias(key), F.col("__t").alias(target_key), F.lit(0.0).alias("distance"))
+    t = t.withColumns({"a": F.floor((F.col("__tx") - edge.x) / radius), "b": F.floor((F.col("__ty") - edge.y) / radius)})
+    last, top = max(int((edge.xx - edge.x) // radius), int((edge.yy - edge.y) // radius)), 0
+    while last >> (2 * top):
+        top += 1
+    at = p.withColumn("c", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))))
+    for level in range(top - 1, -1, -1):
+        size = radius * 4**level
+        up = lambda c, by: F.shiftright(c, 2 * by)
+        below = t.select(up("a", level).alias("a"), up("b", level).alias("b")).distinct()
+        below = below.groupBy(up("a", 1).alias("pa"), up("b", 1).alias("pb")).agg(F.collect_list(F.struct("a", "b")).alias("below"))
+        at = at.select("__k", "__x", "__y", F.explode("c").alias("c")).join(below, (F.col("c.a") == F.col("pa")) & (F.col("c.b") == F.col("pb")))
+        at = at.groupBy("__k", "__x", "__y").agg(F.flatten(F.collect_list("below")).alias("c"))
+
+        def bounds(c, size=size):
+            out = []
+            for v, start, cell in (("__x", edge.x, c["a"]), ("__y", edge.y, c["b"])):
+                low = F.lit(start) + cell * size - F.col(v)
+                high = low + size
+                out.append((F.greatest(low, -high, F.lit(0.0)), F.greatest(F.abs(low), F.abs(high))))
+            return [F.sqrt(out[0][n] * out[0][n] + out[1][n] * out[1][n]) for n in (0, 1)]
+
+        at = at.withColumn("__far", F.array_min(F.transform("c", lambda c: bounds(c)[1])))
+        at = at.select("__k", "__x", "__y", F.filter("c", lambda c: bounds(c)[0] <= F.col("__far") * (1 + 1e-9) + 1e-9 * radius).alias("c"))
+    near = at.select("__k", "__x", "__y", F.explode("c").alias("c")).join(t, (F.col("c.a") == F.col("a")) & (F.col("c.b") == F.col("b")))
+    d = F.sqrt(F.pow(F.col("__x") - F.col("__tx"), F.lit(2.0)) + F.pow(F.col("__y") - F.col("__ty"), F.lit(2.0)))
+    best = near.groupBy("__k").agg(F.min(F.struct(d.alias("d"), F.col("__t").alias("t"))).alias("m"))
+    return best.select(F.col("__k").alias(key), F.col("m.t").alias(target_key), F.col("m.d").alias("distance"))
 
 
 def distance_weights(near: DataFrame) -> DataFrame:
     """Weights of 1 less the distance's share of the largest distance."""
-    m = F.max("distance").over(Window.partitionBy(F.lit(1)))
-    return near.withColumn("weight", F.when(m > 0, 1 - F.col("distance") / F.when(m > 0, m)).otherwise(1.0))
+    most = near.agg(F.max("distance")).first()[0] or 0.0
+    return near.withColumn("weight", 1 - F.col("distance") / most if most > 0 else F.lit(1.0))
 
 
 def robust_scaled(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:

@@ -444,9 +444,9 @@ def regression_errors(spark, sf_dir):
     return out.select("n", _r("mae").alias("mae"), _r("mse", 4).alias("mse"), _r("medae").alias("medae"), _r("rmse", 5).alias("rmse"), _r("r2").alias("r2"))
 
 
-@query("SELECT 641::BIGINT AS samples")
+@query("WITH a AS (SELECT o_orderpriority, sum(o_totalprice) AS area, avg((o_orderstatus = 'F')::INT) AS users FROM orders GROUP BY 1) SELECT round(pow(sum(area / (SELECT sum(area) FROM a) * sqrt(users * (1 - users))) / 0.01, 2))::BIGINT AS samples FROM a")
 def sample_size(spark, sf_dir):
-    a = spark.createDataFrame([(18000.0, 0.7), (13500.0, 0.6), (288000.0, 0.9), (580500.0, 0.95)], "area double, users double")
+    a = t.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("area"), F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("users"))
     return accuracy.sample_size(a, "area", "users", 0.01)
 
 
@@ -481,10 +481,17 @@ def cells_to_points(spark, sf_dir):
     return p.select("x", "y", "class")
 
 
-@query("WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, part, CASE part WHEN 'train' THEN floor(n * 0.3) ELSE n - floor(n * 0.3) END::BIGINT AS n FROM c, (VALUES ('train'), ('test')) AS p(part)")
+_ORDER = "('0x' || md5('1:' || {0})[1:15])::BIGINT, {0}"
+
+
+@query(f"SELECT c_custkey, c_mktsegment, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_ORDER.format('c_custkey')}) <= floor(count(*) OVER (PARTITION BY c_mktsegment) * 0.3) THEN 'train' ELSE 'test' END AS part FROM customer")
 def split_by_class(spark, sf_dir):
-    s = sampling.split(t.table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", 0.3)
-    return s.groupBy("c_mktsegment", "part").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.split(t.table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", 0.3).select("c_custkey", "c_mktsegment", "part")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {_ORDER.format('o_orderkey')}) <= floor(count(*) OVER () * 0.7) THEN 'train' ELSE 'test' END AS part FROM orders")
+def split_all(spark, sf_dir):
+    return sampling.split(t.table(spark, sf_dir, "orders"), "o_orderkey", share=0.7).select("o_orderkey", "part")
 
 
 @query("WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, n, round(n / sum(n) OVER (), 6)::DOUBLE AS weight FROM c")

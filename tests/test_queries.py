@@ -6,11 +6,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from gridlake.plans import catalogue, learning, queries
+from gridlake.plans import blocks, catalogue, learning, queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = queries.QUERIES | catalogue.QUERIES | learning.QUERIES
-ORACLE = queries.ORACLE | catalogue.ORACLE | learning.ORACLE
+QUERIES = queries.QUERIES | catalogue.QUERIES | learning.QUERIES | blocks.QUERIES
+ORACLE = queries.ORACLE | catalogue.ORACLE | learning.ORACLE | blocks.ORACLE
 
 
 @pytest.fixture(scope="module")

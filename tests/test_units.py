@@ -198,3 +198,54 @@ def test_mosaic_and_resample(spark):
     assert {(r.i, r.j): r.v for r in grid.mosaic([a, b], "v").collect()} == {(0, 0): 1, (0, 1): 2, (0, 2): 3}
     big = grid.resample(a, Extent(0, 1, 2, 0), Extent(0, 1, 2, 0, 0.5, 0.5), "v")
     assert big.count() == 8
+
+
+def test_nearest_at_any_distance(spark):
+    """Targets a million cells away, close ties, points and targets without coordinates, none at all."""
+    import math
+    import random
+
+    from gridlake.operators import sampling
+
+    rnd = random.Random(1)
+    targets = [(k, rnd.uniform(0, 50), rnd.uniform(0, 50)) for k in range(60)] + [(60, 1e6, 0.0), (61, 1e6, 1e6), (62, 1e6, 1e6), (63, None, 1.0), (64, -9e5, -9e5)]
+    points = [(k, rnd.uniform(-2e6, 2e6), rnd.uniform(-2e6, 2e6)) for k in range(80)] + [(k, rnd.uniform(-5, 55), rnd.uniform(-5, 55)) for k in range(80, 160)] + [(160, None, 2.0), (161, 1e6, 1e6)]
+    p, t = spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(targets, "t long, x double, y double")
+    want = {}
+    for k, x, y in points:
+        if x is not None:
+            d, n = min((math.sqrt((x - a) ** 2 + (y - b) ** 2), n) for n, a, b in targets if a is not None)
+            want[k] = (n, pytest.approx(d))
+    assert {r.p: (r.t, r.distance) for r in sampling.nearest(p, t, "p", "t", 1.0).collect()} == want
+    assert sampling.nearest(p, t.limit(0), "p", "t", 1.0).count() == 0
+    one = sampling.distance_weights(sampling.nearest(p, t.where("t = 60"), "p", "t", 3.0)).collect()
+    assert len(one) == 161 and min(r.weight for r in one) == 0
+
+
+def test_split_takes_exact_numbers(spark):
+    """Of each label, null included, and of all rows; ranges don't depend on partitions."""
+    from gridlake.operators import sampling
+
+    df = spark.range(5000).selectExpr("id", "if(id % 7 = 0, null, id % 3) AS label", "id AS part")
+    sizes = {r.label: r["count"] for r in df.groupBy("label").count().collect()}
+    got = sampling.split(df, "id", "label", 0.3)
+    assert got.columns == ["id", "label", "part"] and got.count() == 5000
+    assert {r.label: r["count"] for r in got.where("part = 'train'").groupBy("label").count().collect()} == {k: int(n * 0.3) for k, n in sizes.items()}
+    assert sampling.split(df, "id", share=0.25).where("part = 'train'").count() == 1250
+    assert {r.label: r["count"] for r in sampling.split(df, "id", "label", count={0: 10, 1: 10**6}).where("part = 'train'").groupBy("label").count().collect()} == {0: 10, 1: sizes[1]}
+    assert set(sampling.split(df.repartition(9), "id", "label", 0.3).collect()) == set(got.collect())
+
+
+@pytest.mark.parametrize("tile", [5, 64])
+def test_relaxation_over_tiles(spark, tile):
+    import numpy as np
+
+    from gridlake.operators import focal
+
+    rng = np.random.default_rng(1)
+    p, m = rng.random((3, 12, 14)), rng.random((3, 3))
+    df = spark.createDataFrame([(i, j, *map(float, p[:, i, j])) for i in range(12) for j in range(14)], "i long, j long, a double, b double, c double")
+    out = np.zeros_like(p)
+    for r in focal.relaxed_grid(df, ["a", "b", "c"], m, 5, 3, tile).collect():
+        out[:, r.i, r.j] = r.a, r.b, r.c
+    assert np.allclose(out, focal.relaxed(p, m, 5, 3))
