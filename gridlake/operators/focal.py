@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.operators.blocks import block_function
+from gridlake.operators.edges import extend_endpoints, link
 from gridlake.sources.scratch import written
 
 SEPARABLE = ("sum", "mean", "min", "max", "percent", "std")
@@ -208,11 +209,16 @@ def tiled(pixels: DataFrame, value: str, name: str, size: int, tile: int = TILE,
 
 
 def moving_window(pixels: DataFrame, value: str | list[str], statistic: str, size: int = 3, ignore: float | None = None, border: str = "zero", out: str | None = None, **how) -> DataFrame:
-    """(i, j, out) for every cell of a grid. ``plr`` takes class probabilities, a list of columns, and returns those."""
+    """(i, j, out) for every cell of a grid. ``plr`` takes class probabilities, a list of columns, and returns those;
+    ``link`` takes an edge and a gradient column, ``extend-endpoints`` edge, endpoint, gradient and direction."""
     if size % 2 == 0 or size < 3:
         raise ValueError("the window's size must be odd and 3 or more")
     if statistic == "plr":
         return relaxed_grid(pixels, value, size=size, **how)
+    if statistic == "link":
+        return link(pixels, *value, size=size, **how)
+    if statistic == "extend-endpoints":
+        return extend_endpoints(pixels, *value, size=size, **how)
     if statistic in SEPARABLE:
         made = _separable(pixels, value, size, statistic, ignore)
     elif statistic in GATHERED:
