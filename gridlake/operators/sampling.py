@@ -39,12 +39,13 @@ def cell_points(pixels: DataFrame, extent: Extent, value: str, no_data: float =
     return out.select(extent.x(F.col("j")).alias("x"), extent.y(F.col("i")).alias("y"), F.col(value).alias(value))
 
 
-def split(df: DataFrame, key: str, label: str | None = None, share: float | None = 0.5, count: int | dict | None = None, seed: int = 1) -> DataFrame:
+def split(df: DataFrame, key: str, label: str | None = None, share: float | None = 0.5, count: int | dict | None = None, seed: int = 1, rank: Column | None = None) -> DataFrame:
     """``df`` with ``part``: train or test. Exact numbers, of all rows or of each label: a share, rounded down, or a count.
 
     A count over a label's size takes the whole label for training. The order is dealt into 4096 ranges a label, whose
-    sizes say how many rows come before each, so rows are only ranked within a range and no label is sorted whole."""
-    r = order(key, seed)
+    sizes say how many rows come before each, so rows are only ranked within a range and no label is sorted whole.
+    ``rank`` replaces the order by another, a number of 0 or more and under 2^62."""
+    r = order(key, seed) if rank is None else rank
     rows = df.withColumns({"__label": F.col(label) if label else F.lit(0), "__range": F.shiftright(r, 48)})
     sizes = rows.groupBy("__label", "__range").agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.partitionBy("__label").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,8 +57,8 @@ def split(df: DataFrame, key: str, label: str | None = None, share: float | None
     else:
         n = F.lit(count) if count is not None else F.floor(size * share)
     sizes = sizes.select(F.col("__label").alias("__l"), F.col("__range").alias("__r"), (n - F.coalesce(F.sum("__rows").over(before), F.lit(0))).alias("__left"))
-    rank = F.row_number().over(Window.partitionBy("__label", "__range").orderBy(r, key))
-    out = rows.withColumn("__rank", rank).join(sizes, F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__range") == F.col("__r")))
+    place = F.row_number().over(Window.partitionBy("__label", "__range").orderBy(r, key))
+    out = rows.withColumn("__rank", place).join(sizes, F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__range") == F.col("__r")))
     return out.select(*(df[c] for c in df.columns if c != "part"), F.when(F.col("__rank") <= F.col("__left"), "train").otherwise("test").alias("part"))
 
 
