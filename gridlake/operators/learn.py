@@ -6,7 +6,6 @@ from functools import reduce
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -16,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlake.operators.neighbours import propagated  # noqa: F401  one of the learners
 from gridlake.operators.sampling import order, split
 from gridlake.sources.scratch import written
 
@@ -259,24 +259,3 @@ def calibration_error(df: DataFrame, p: Column, hit: Column, bins: int = 10) ->
     """The mean difference of predicted and true shares over bins of the prediction, by their rows."""
     b = df.groupBy(F.least(F.floor(p * bins), F.lit(bins - 1)).alias("bin")).agg(F.avg(p).alias("p"), F.avg(hit.cast("double")).alias("y"), F.count(F.lit(1)).alias("n"))
     return float(b.agg(F.sum(F.abs(F.col("p") - F.col("y")) * F.col("n")) / F.sum("n")).first()[0])
-
-
-def propagated(df: DataFrame, key: str, label: str, features: list[str], neighbours: int = 5, most: int = 20_000) -> DataFrame:
-    """(key, label) with labels of -1 taken from their nearest labelled rows, in rounds. For at most ``most`` rows, in one task."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows")
-    kinds = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[features].to_numpy(float), pdf[label].to_numpy().copy()
-        while (y == -1).any() and (y != -1).any():
-            known, todo = np.flatnonzero(y != -1), np.flatnonzero(y == -1)
-            d = ((x[todo][:, None, :] - x[known][None]) ** 2).sum(2)
-            near = np.argsort(d, axis=1, kind="stable")[:, :neighbours]
-            first = np.argsort(d.min(1), kind="stable")[: max(1, len(todo) // 2)]
-            for t in first:
-                votes, count = np.unique(y[known[near[t]]], return_counts=True)
-                y[todo[t]] = votes[count.argmax()]
-        return pd.DataFrame({key: pdf[key], label: y})
-
-    return df.select(key, label, *features).withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(run, f"{key} {kinds[key]}, {label} {kinds[label]}")

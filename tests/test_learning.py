@@ -58,3 +58,36 @@ def test_models_predict(spark, code):
     _, y, _ = rows(spark)
     assert len(got) == sum((y == c).sum() - (y == c).sum() // 2 for c in np.unique(y))
     assert {r.prediction for r in got} <= set(y.tolist()) and len({r.prediction for r in got}) > 1
+
+
+def test_robust_outliers(spark):
+    """Nine of ten rows of each label stay, those nearest by numpy's concentration."""
+    from tests.test_samples import concentrated
+
+    ids, y, x = rows(spark)
+    got = {r.vec_id for r in learning.QUERIES["robust_outliers"](spark, SF).collect()}
+    want = set()
+    for c in np.unique(y):
+        own = np.flatnonzero(y == c)
+        m, cov = concentrated(x[own, :3])
+        d = np.einsum("ij,jk,ik->i", x[own, :3] - m, np.linalg.pinv(cov + 1e-9 * np.eye(3)), x[own, :3] - m)
+        want |= set(ids[own[np.argsort(d, kind="stable")[: int(np.ceil(round(len(own) * 0.9, 6)))]]].tolist())
+    assert got == want
+
+
+def test_label_propagation(spark):
+    """As numpy's spreading over the true neighbours."""
+    from tests.test_neighbours import nearest, spread
+
+    ids, y, x = rows(spark)
+    got = {r.vec_id: r.label for r in learning.QUERIES["label_propagation"](spark, SF).collect()}
+    want = spread(nearest(x, 5), np.where(ids % 5 == 0, y, -1), "propagate", rounds=10)
+    assert len(got) == len(ids) and np.mean([got[i] == w for i, w in zip(ids.tolist(), want)]) > 0.97
+
+
+def test_calibrated_bayes(spark):
+    """A row for each test row; shares are those of labels on the whole, for the labels here have little to do with the bands."""
+    got = learning.QUERIES["calibrated_bayes"](spark, SF).collect()
+    _, y, _ = rows(spark)
+    assert len(got) == sum((y == c).sum() - (y == c).sum() // 2 for c in np.unique(y)) and {r.prediction for r in got} <= set(y.tolist())
+    assert abs(np.mean([r.share for r in got]) - np.mean([r.prediction == r.label for r in got])) < 0.1
