@@ -37,7 +37,10 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _NEGATIVE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "search"}
 _POSITIVE_TAGS = {"article", "main"}
-_NEGATIVE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|disqus|foot|footer|form|head|header|login|menu|modal|nav\w*|newsletter|notices?|overlay|pagination|pager|popup|promo\w*|related|replies|share|sharing|side|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Names of boilerplate: plain ones, those that content uses too, and those that say nothing beside one of these.
+_PLAINLY = re.compile(r"ads?|advert\w*|breadcrumbs?|comments?|cookies?|consent|disqus|footer|login|modal|nav|navbar|navigation|newsletter|pagination|pager|popup|promos?|replies|sidebar|signup|social|sponsors?|sponsored|subscribe|toolbar")
+_PERHAPS = re.compile(r"banner|disclaimer|foot|form|head|header|menu|notices?|overlay|related|share|sharing|side|widget")
+_FILLER = re.compile(r"area|bar|block|bottom|box|buttons?|col|container|global|inner|items?|left|links?|list|message|page|panel|primary|right|row|secondary|section|site|thread|top|wrapper")
 _POSITIVE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story)(?:$|[\s_-])", re.I)
 #: An element of the key closes an open one of the values, up to an element of the third column.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -53,6 +56,7 @@ class Block:
     depth: int  # open elements around it
     common: int  # of these, the ones around the block before too
     parent: int  # number of the element around the innermost one, 0 without
+    doubt: bool = False  # in an article, in an element with a name that boilerplate has too
 
 
 @dataclass
@@ -61,6 +65,20 @@ class _Open:
     number: int
     sign: int
     inside: bool  # an article or the page's main part, or in one
+    doubt: bool
+
+
+def named(names: str) -> int:
+    """2 if a class, id or role is plainly a name of boilerplate, 1 if it may be one, else 0.
+
+    All parts of the name must be such names or say nothing: ``cookie-banner`` and ``site-footer``, not ``market-share``."""
+    best = 0
+    for name in names.lower().split():
+        parts = [p for p in re.split("[-_]+", name) if p]
+        plain, perhaps = (any(map(k.fullmatch, parts)) for k in (_PLAINLY, _PERHAPS))
+        if (plain or perhaps) and all(_FILLER.fullmatch(p) or _PLAINLY.fullmatch(p) or _PERHAPS.fullmatch(p) for p in parts):
+            best = max(best, 2 if plain else 1)
+    return best
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -78,7 +96,7 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 top = stack[-1] if stack else None
-                out.append(Block(text, top.tag if top else "body", top.sign if top else 0, linked, len(stack), low, stack[-2].number if len(stack) > 1 else 0))
+                out.append(Block(text, top.tag if top else "body", top.sign if top else 0, linked, len(stack), low, stack[-2].number if len(stack) > 1 else 0, bool(top) and top.doubt))
                 low = len(stack)
             parts.clear()
         linked = 0
@@ -180,12 +198,14 @@ def blocks(page: str | None) -> list[Block]:
             sign = 1
         elif tag in _NEGATIVE_TAGS:
             sign = -1 if tag != "header" or not inside else sign
-        if hidden or tag == "head" or (names and _NEGATIVE_NAMES.search(names) and not (tag in _POSITIVE_TAGS)):
+        bad = named(names) if names and tag not in _POSITIVE_TAGS else 0
+        doubt = (bool(stack) and stack[-1].doubt) or (inside and bad == 1)
+        if hidden or tag == "head" or bad == 2 or (bad and not inside):
             sign = -1
         elif names and sign == 0 and _POSITIVE_NAMES.search(names):
             sign = 1
         number += 1
-        stack.append(_Open(tag, number, sign, inside or tag in _POSITIVE_TAGS))
+        stack.append(_Open(tag, number, sign, inside or tag in _POSITIVE_TAGS, doubt))
         opened[tag] += 1
     flush()
     return out
@@ -202,7 +222,7 @@ def _kind(tag: str) -> int:
 def features(page: list[Block], semantic: bool = True) -> np.ndarray:
     """A row for each block; ``semantic`` False blanks what its ancestors say."""
     n = len(page)
-    x = np.zeros((n, 9 + len(_KINDS)))
+    x = np.zeros((n, 10 + len(_KINDS)))
     for i, b in enumerate(page):
         size = len(b.text)
         x[i, 0] = 1.0
@@ -214,12 +234,13 @@ def features(page: list[Block], semantic: bool = True) -> np.ndarray:
         x[i, 6] = min(b.depth, 12) / 12
         if semantic:
             x[i, 7], x[i, 8] = float(b.sign > 0), float(b.sign < 0)
+            x[i, -1] = float(b.doubt)
         x[i, 9 + _kind(b.tag)] = 1.0
     return x
 
 
 #: Used where a sample says nothing of either side: long unlinked text is content.
-PLAIN = np.array([-2.0, 1.5, -4.0, 1.0, 0.5, -3.0, 0.0, 5.0, -7.0, 0.5, 0.2, -0.5, -0.5, 0.3, -0.3])
+PLAIN = np.array([-2.0, 1.5, -4.0, 1.0, 0.5, -3.0, 0.0, 5.0, -7.0, 0.5, 0.2, -0.5, -0.5, 0.3, -0.3, -2.5])
 
 
 def fit(pages: list[list[Block]], steps: int = 300) -> np.ndarray:

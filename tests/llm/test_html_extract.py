@@ -101,3 +101,32 @@ def test_table(spark):
     odd = spark.createDataFrame([(1, None, None, "z"), (1, "u", "", "z"), (None, "u", PAGE, "z")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in h.extract(odd).collect())[:2] == [0, 0]
     assert h.extract(odd.limit(0)).count() == 0
+
+
+SENTENCE = "This sentence belongs to the article, says what it has to say, and ends here."
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+@pytest.mark.parametrize("attribute", ['id="market-share"', 'class="side-effects"', 'class="form-factor"', 'class="head"', 'class="form"', 'id="comments-on-policy"', 'class="header"', 'class="navy"', 'class="widget share"'])
+@pytest.mark.parametrize("tag", ["p", "div", "h2", "section"])
+def test_names_do_not_drop_text_of_the_article(spark, tag, attribute, fitted):
+    weights = fitted_weights(spark) if fitted else h.PLAIN
+    page = f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{SENTENCE}</p><{tag} {attribute}>{SENTENCE}</{tag}><p>{SENTENCE}</p></article><footer>© site</footer>"
+    assert h.main_text(page, weights) == "\n\n".join(["Title", SENTENCE, SENTENCE, SENTENCE])
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+@pytest.mark.parametrize("attribute", ['class="comments"', 'class="comment-list"', 'id="cookie-banner"', 'class="newsletter-signup box"', 'class="ad"', 'class="site-footer"', 'class="social_links"', 'role="navigation"', "hidden", 'class="sidebar"'])
+def test_boilerplate_inside_the_article_goes(spark, attribute, fitted):
+    weights = fitted_weights(spark) if fitted else h.PLAIN
+    page = f"<article><h1>Title</h1><p>{SENTENCE}</p><div {attribute}><p>{SENTENCE}</p><p>Nice one!</p></div><p>{SENTENCE}</p></article>"
+    assert h.main_text(page, weights) == "\n\n".join(["Title", SENTENCE, SENTENCE])
+
+
+_weights = []
+
+
+def fitted_weights(spark):
+    if not _weights:
+        _weights.append(h.train(table(spark, "pages")))
+    return _weights[0]
