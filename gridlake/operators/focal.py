@@ -1,7 +1,7 @@
 """Moving windows over a grid.
 
 Sums, means, extremes and deviations are separable: one window along rows, one along columns, both in the JVM. Other
-statistics gather a cell's neighbours by an exploded equi-join, or run as array kernels on tiles with a halo.
+statistics run as array kernels on tiles with a halo.
 Cells within half a window of the border keep 0, or null with ``border='null'``.
 """
 
@@ -51,43 +51,66 @@ def _separable(pixels: DataFrame, value: str, size: int, statistic: str, ignore:
     return n.select("i", "j", F.coalesce(made, F.lit(0.0)).alias("out"))
 
 
-def _neighbours(pixels: DataFrame, value: str, half: int) -> DataFrame:
-    """(i, j, around): around holds (di, dj, v) of every cell in the window, by an equi-join on cells."""
-    steps = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-half, half + 1) for b in range(-half, half + 1)))
-    sent = pixels.select("i", "j", F.col(value).cast("double").alias("v"), F.explode(steps).alias("s"))
-    sent = sent.select((F.col("i") - F.col("s.di")).alias("i"), (F.col("j") - F.col("s.dj")).alias("j"), F.struct("s.di", "s.dj", "v").alias("e"))
-    return sent.groupBy("i", "j").agg(F.array_sort(F.collect_list("e")).alias("around"))
+def gathered_kernel(name: str, a: np.ndarray, size: int, ignore: float | None = None) -> np.ndarray:
+    """One statistic of the cells around each cell of an array that is NaN where there is no cell; 0 where it has none.
+
+    ``median`` is the upper middle value; of equally frequent values ``majority`` takes the first in reading order."""
+    half = size // 2
+    wide = np.pad(a, half, constant_values=np.nan)
+    steps = [(i, j) for i in range(size) for j in range(size)]
+    at = lambda i, j: wide[half + i : half + i + a.shape[0], half + j : half + j + a.shape[1]]
+    with np.errstate(invalid="ignore"):
+        if name == "duda":
+            out = np.zeros(a.shape)
+            for i, j in ((0, 1), (1, 0), (1, 1), (1, -1)):
+                p, q = at(-i, -j), at(i, j)
+                out = np.maximum(out, np.where((a > p) & (a > q), 2 * a - p - q, 0))
+            return out
+        around = np.stack([wide[i : i + a.shape[0], j : j + a.shape[1]] for i, j in steps])
+        if name == "median":
+            n = np.isfinite(around).sum(0)
+            around.sort(0)
+            out = np.take_along_axis(around, np.minimum(n // 2, len(steps) - 1)[None], 0)[0]
+        elif name == "majority":
+            if ignore is not None:
+                around[around == ignore] = np.nan
+            out, most = np.full(a.shape, np.nan), np.zeros(a.shape, int)
+            for own in around:
+                n = (around == own).sum(0)
+                better = n > most
+                out[better], most[better] = own[better], n[better]
+        else:
+            others = np.delete(around, half * size + half, 0)
+            mean = lambda ok: np.where(ok, others, 0).sum(0) / np.where(ok.any(0), ok.sum(0), np.nan)
+            if name in ("fill-basins", "fill-peaks"):
+                side = others > a if name == "fill-basins" else others < a
+                least = 7 if size == 3 else 2 * size + 2 * (size - 2)
+                out = np.where(side.sum(0) >= least, mean(side), a)
+            elif name == "remove-min":
+                out = np.where(mean(others > 0) * 0.1 > a, 0.0, a)
+            else:  # seg-dist
+                top = np.where(np.isfinite(others), others, -np.inf).max(0)
+                out = ((a == 0) | ((a < 1.4) & np.isfinite(top) & (top < 1.4))).astype(float)
+    return np.nan_to_num(out, nan=0.0)
+
+
+STRIP = 1 << 22  # values around cells that a kernel looks at at once
 
 
 def _gathered(pixels: DataFrame, value: str, size: int, statistic: str, ignore: float | None) -> DataFrame:
+    """(i, j, out) by tiles with a halo: a cell is sent to its tile and those whose halo it is in, not to each window."""
     half = size // 2
-    near = pixels.select("i", "j", F.col(value).cast("double").alias("c")).join(_neighbours(pixels, value, half), ["i", "j"])
-    vs = F.transform("around", lambda e: e["v"])
-    others = F.transform(F.filter("around", lambda e: (e["di"] != 0) | (e["dj"] != 0)), lambda e: e["v"])
-    mean = lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.when(F.size(x) > 0, F.size(x)))
-    c = F.col("c")
-    at = lambda a, b: F.element_at(F.transform(F.filter("around", lambda e: (e["di"] == a) & (e["dj"] == b)), lambda e: e["v"]), 1)
-    if statistic == "median":
-        made = F.element_at(F.array_sort(vs), F.floor(F.size(vs) / 2).cast("int") + 1)
-    elif statistic == "majority":
-        x = vs if ignore is None else F.filter(vs, lambda v: v != ignore)
-        counts = F.transform(F.array_distinct(x), lambda u: F.struct(F.size(F.filter(x, lambda v: v == u)).alias("n"), (-F.array_position(x, u)).alias("first"), u.alias("u")))
-        made = F.array_max(counts)["u"]
-    elif statistic == "duda":
-        axes = [((0, -1), (0, 1)), ((-1, 0), (1, 0)), ((-1, -1), (1, 1)), ((-1, 1), (1, -1))]
-        made = F.lit(0.0)
-        for a, b in axes:
-            a, b = at(*a), at(*b)
-            made = F.greatest(made, F.when((c > a) & (c > b), 2 * c - a - b).otherwise(0.0))
-    elif statistic in ("fill-basins", "fill-peaks"):
-        side = F.filter(others, lambda v: v > c) if statistic == "fill-basins" else F.filter(others, lambda v: v < c)
-        least = 7 if size == 3 else 2 * size + 2 * (size - 2)
-        made = F.when(F.size(side) >= least, mean(side)).otherwise(c)
-    elif statistic == "remove-min":
-        made = F.when(mean(F.filter(others, lambda v: v > 0)) * 0.1 > c, 0.0).otherwise(c)
-    else:  # seg-dist
-        made = F.when((c == 0) | ((c < 1.4) & (F.array_max(others) < 1.4)), 1.0).otherwise(0.0)
-    return near.select("i", "j", F.coalesce(made, F.lit(0.0)).alias("out"))
+
+    def run(x, at):
+        a = x["v"]
+        step = max(1, STRIP // (a.shape[1] * size * size))
+        out = np.zeros(a.shape)
+        for i in range(0, a.shape[0], step):
+            low = max(0, i - half)
+            out[i : i + step] = gathered_kernel(statistic, a[low : i + step + half], size, ignore)[i - low : i - low + step]
+        return out
+
+    return block_function({"v": (pixels, value)}, run, ["out"], TILE, half)
 
 
 # kernels on tiles: arrays in, arrays out; the halo is cut off afterwards

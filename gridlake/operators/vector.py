@@ -57,12 +57,21 @@ def within_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def points_in(points: DataFrame, polygons: DataFrame, key: str, cell: float, x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:
     """Points with the key of each polygon that holds them.
 
-    Polygons are listed under the square cells that their boxes touch, so the join is on cells; the ray decides."""
-    b = polygons.select(F.col(key), F.col(ring).alias("__ring"), bounds(F.col(ring)).alias("__b"))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    Polygons are listed under the few square cells that their boxes touch, of size ``cell`` or of the power of two
+    times it that is as large as the box, so a large polygon is no long list; points look in their cell of each size
+    that some polygon has. The join is on cells; boxes are compared before the ray decides. Polygons without corners
+    and points without coordinates are in none."""
+    b = polygons.select(F.col(key), F.col(ring).alias("__ring"), bounds(F.col(ring)).alias("__b")).where("__b.left is not null")
+    wide = F.greatest(F.col("__b.right") - F.col("__b.left"), F.col("__b.top") - F.col("__b.bottom")) / cell
+    b = b.withColumn("__level", F.when(wide > 1, F.ceil(F.log2(F.when(wide > 1, wide)))).otherwise(0).cast("int"))
+    levels = sorted(r[0] for r in b.select("__level").distinct().collect())
+    size = F.pow(F.lit(2.0), F.col("__level")) * cell
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
     b = b.withColumn("__ci", F.explode(span("__b.left", "__b.right"))).withColumn("__cj", F.explode(span("__b.bottom", "__b.top")))
-    p = points.withColumns({"__ci": F.floor(F.col(x) / cell), "__cj": F.floor(F.col(y) / cell)})
-    return p.join(b, ["__ci", "__cj"]).where(inside(F.col("__ring"), F.col(x), F.col(y))).drop("__ci", "__cj", "__ring", "__b")
+    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    p = p.withColumns({"__ci": F.floor(F.col(x) / size), "__cj": F.floor(F.col(y) / size)})
+    near = F.col(x).between(F.col("__b.left"), F.col("__b.right")) & F.col(y).between(F.col("__b.bottom"), F.col("__b.top"))
+    return p.join(b, ["__level", "__ci", "__cj"]).where(near).where(inside(F.col("__ring"), F.col(x), F.col(y))).drop("__level", "__ci", "__cj", "__ring", "__b")
 
 
 def boxes_overlap(left: DataFrame, right: DataFrame, key: str, other: str, cell: float) -> DataFrame:
@@ -87,8 +96,27 @@ def intersecting(left: DataFrame, right: DataFrame, key: str, cell: float) -> Da
     return left.join(hit.select(key).distinct(), key, "left_semi")
 
 
-def rasterized(polygons: DataFrame, extent: Extent, value: str, ring: str = "ring", order: str | None = None) -> DataFrame:
-    """(i, j, value) of cells whose centres a polygon holds; where several do, the last by ``order``.
+def _touched(polygons: DataFrame, extent: Extent, ring: str) -> DataFrame:
+    """(__v, __o, i, j) of the cells that the polygons' edges run through: each edge is cut into the rows it crosses,
+    and in each row it covers the columns between where it comes in and where it leaves."""
+    rows, cols = extent.shape
+    nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    e = polygons.select("__v", "__o", F.explode(F.zip_with(ring, nxt, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("e"))
+    row = lambda c: (F.lit(extent.top) - F.col(c)) / extent.height
+    col = lambda c: (F.col(c) - extent.left) / extent.width
+    e = e.select("__v", "__o", col("e.a.x").alias("x0"), row("e.a.y").alias("y0"), col("e.b.x").alias("x1"), row("e.b.y").alias("y1"))
+    first, last = F.greatest(F.floor(F.least("y0", "y1")), F.lit(0)), F.least(F.floor(F.greatest("y0", "y1")), F.lit(rows - 1))
+    none = F.array().cast("array<bigint>")
+    e = e.withColumn("i", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(none)))
+    at = lambda y: F.col("x0") + (F.col("x1") - F.col("x0")) * (F.least(F.greatest(y, F.least("y0", "y1")), F.greatest("y0", "y1")) - F.col("y0")) / F.when(F.col("y1") != F.col("y0"), F.col("y1") - F.col("y0"))
+    a, b = F.coalesce(at(F.col("i").cast("double")), F.col("x0")), F.coalesce(at(F.col("i") + 1.0), F.col("x1"))
+    j0, j1 = F.greatest(F.floor(F.least(a, b)), F.lit(0)), F.least(F.floor(F.greatest(a, b)), F.lit(cols - 1))
+    return e.select("__v", "__o", F.col("i").cast("int").alias("i"), F.explode(F.when(j0 <= j1, F.sequence(j0, j1)).otherwise(none)).alias("j")).withColumn("j", F.col("j").cast("int"))
+
+
+def rasterized(polygons: DataFrame, extent: Extent, value: str, ring: str = "ring", order: str | None = None, all_touched: bool = False) -> DataFrame:
+    """(i, j, value) of cells whose centres a polygon holds, or with ``all_touched`` of all that it covers a part of;
+    where several do, the last by ``order``.
 
     Each polygon is cut into rows, and each row into the spans between its crossings: no cell outside is looked at."""
     rows, cols = extent.shape
@@ -110,6 +138,9 @@ def rasterized(polygons: DataFrame, extent: Extent, value: str, ring: str = "rin
     j0 = F.greatest(F.lit(0), F.floor((a - extent.left) / extent.width - 0.5) + 1).cast("int")
     j1 = F.least(F.lit(cols - 1), F.ceil((z - extent.left) / extent.width - 0.5) - 1).cast("int")
     p = p.withColumn("j", F.explode(F.when(j0 <= j1, F.sequence(j0, j1)).otherwise(F.array().cast("array<int>"))))
+    if all_touched:
+        edges = polygons.select(F.col(value).alias("__v"), F.col(order or value).alias("__o"), F.col(ring).alias("__r"))
+        p = p.select("__v", "__o", "i", "j").unionByName(_touched(edges, extent, "__r"))
     return p.groupBy("i", "j").agg(F.max_by("__v", "__o").alias(value))
 
 

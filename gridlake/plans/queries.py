@@ -579,6 +579,14 @@ def rasterize_polygons(spark, sf_dir):
     return out.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "s_suppkey")
 
 
+@query(f"WITH {_BOXES}, c AS (SELECT u.i AS i, v.j AS j FROM range(50) AS u(i), range(50) AS v(j)) SELECT i, j, max(s_suppkey) AS s_suppkey FROM c JOIN x ON 2 * j < l + 9.5 AND 2 * j + 2 > l + 0.5 AND 100 - 2 * i - 2 < b + 9.5 AND 100 - 2 * i > b + 0.5 GROUP BY 1, 2")
+def rasterize_touched(spark, sf_dir):
+    """All cells of two by two that squares of nine by nine cover a part of."""
+    s = t.table(spark, sf_dir, "supplier").select("s_suppkey", vector.square(F.col("s_suppkey") * 13 % 90 + 5.0, F.col("s_suppkey") * 7 % 80 + 5.0, 4.5).alias("ring"))
+    out = vector.rasterized(s, Extent(0, 100, 100, 0, 2, 2), "s_suppkey", all_touched=True)
+    return out.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "s_suppkey")
+
+
 @query(f"WITH {_BOXES} SELECT s_suppkey, 100.0::DOUBLE AS area, l + 5 AS x, b + 5 AS y FROM x")
 def polygon_measures(spark, sf_dir):
     c = vector.centroid(F.col("ring"))
