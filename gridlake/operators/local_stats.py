@@ -1,9 +1,16 @@
-"""Statistics of one cell over its bands or dates, inside each row: array functions, no shuffle."""
+"""Statistics of one cell over its bands or dates, inside each row: array functions and array kernels, no shuffle."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridlake.functions.numeric import ratio
 
@@ -79,45 +86,63 @@ def zscores(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
 
 # features of a series in date order
 
-
-def cumulative_percentile(x: Column, p: float) -> Column:
-    """The running sum at position ceil(n p / 100), counted from 0 and held inside the series."""
-    k = F.least(F.ceil(F.size(x) * (p / 100.0)).cast("int"), F.size(x) - 1)
-    return F.when(F.size(x) > 0, _total(F.slice(x, 1, k + 1)))
+PERCENTILES = {"five": 5, "twenty_five": 25, "fifty": 50, "seventy_five": 75, "ninety_five": 95}
+WIDTH = 15  # values of a slope's window
 
 
-def rolling_slopes(x: Column, width: int = 15) -> Column:
-    """Least-squares slopes of all windows of ``width`` values."""
-    t_mean = (width - 1) / 2
-    t_var = sum((t - t_mean) ** 2 for t in range(width))
-    starts = F.when(F.size(x) >= width, F.sequence(F.lit(1), F.size(x) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.aggregate(F.transform(F.slice(x, s, width), lambda v, t: v * (t - t_mean)), F.lit(0.0), lambda a, v: a + v) / t_var)
+def _rolling_slopes(x: np.ndarray) -> np.ndarray:
+    """Least-squares slopes of all windows of ``WIDTH`` values of each row."""
+    t = np.arange(WIDTH) - (WIDTH - 1) / 2
+    return np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1) @ t / (t @ t)
 
 
-def max_second_difference(x: Column) -> Column:
-    n = F.size(x)
-    mid = F.sequence(F.lit(2), n - 1)
-    return F.when(n >= 3, F.array_max(F.transform(mid, lambda k: F.abs(F.element_at(x, k + 1) - 2 * F.element_at(x, k) + F.element_at(x, k - 1)))))
+def _deviation_share(x: np.ndarray) -> np.ndarray:
+    m = x.mean(1)
+    return np.where(m != 0, x.std(1) / np.where(m != 0, m, 1), 0.0)
 
 
-_PERCENTILES = {"five": 5, "twenty_five": 25, "fifty": 50, "seventy_five": 75, "ninety_five": 95}
+#: Name -> (fewest values, function of a matrix with a series in each row, all of one length).
 FEATURES = {
-    "mean": _mean,
-    "cv": lambda x: F.coalesce(ratio(F.sqrt(_variance(x)), _mean(x)), F.lit(0.0)),
-    **{n: (lambda p: lambda x: percentile(x, p))(p) for n, p in _PERCENTILES.items()},
-    **{f"{n}_cumulative": (lambda p: lambda x: cumulative_percentile(x, p))(p) for n, p in (("five", 5), ("twenty_five", 25), ("fifty", 50), ("seventy_five", 75), ("ninety_five", 95))},
-    "min_slope": lambda x: F.array_min(rolling_slopes(x)),
-    "max_slope": lambda x: F.array_max(rolling_slopes(x)),
-    "max_diff": max_second_difference,
+    "mean": (1, lambda x: x.mean(1)),
+    "cv": (1, _deviation_share),
+    **{n: (1, (lambda p: lambda x: np.percentile(x, p, axis=1))(p)) for n, p in PERCENTILES.items()},
+    **{f"{n}_cumulative": (1, (lambda p: lambda x: x[:, : min(math.ceil(x.shape[1] * (p / 100.0)), x.shape[1] - 1) + 1].sum(1))(p)) for n, p in PERCENTILES.items()},
+    "min_slope": (WIDTH, lambda x: _rolling_slopes(x).min(1)),
+    "max_slope": (WIDTH, lambda x: _rolling_slopes(x).max(1)),
+    "max_diff": (3, lambda x: np.abs(x[:, 2:] - 2 * x[:, 1:-1] + x[:, :-2]).max(1)),
 }
 
 
+def _feature_pass(series: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(b.schema.names.index(series))
+            col = col.cast(pa.list_(pa.float64()))
+            size = pc.fill_null(col.value_lengths(), 0).to_numpy()
+            values = col.flatten().to_numpy(zero_copy_only=False)
+            start = np.r_[0, np.cumsum(size)[:-1]].astype(int)
+            made = {n: np.full(b.num_rows, np.nan) for n in names}
+            for k in np.unique(size[size > 0]).tolist():
+                own = np.flatnonzero(size == k)
+                x = values[start[own][:, None] + np.arange(k)]
+                for n in names:
+                    least, f = FEATURES[n]
+                    if k >= least:
+                        made[n][own] = f(x)
+            if "cv" in made:
+                made["cv"][size == 0] = 0.0
+            keep = [c for c in b.schema.names if c not in names]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(c)) for c in keep), *(pa.array(v, from_pandas=True) for v in made.values())], [*keep, *names])
+
+    return run
+
+
 def series_features(df: DataFrame, series: str, names: list[str] | None = None) -> DataFrame:
-    """``df`` with the named features of an array column (all by default); it is sorted once, and slopes are fitted once."""
+    """``df`` with the named features of an array column (all by default); columns of these names are replaced.
+
+    Series of one length are a matrix, taken from the column's buffer, so each feature is one array operation. Null
+    where a series has too few values, or one that is null or NaN; of an empty or null series ``cv`` is 0."""
     names = list(names or FEATURES)
-    once = {"__sorted": F.array_sort(series)} if set(names) & set(_PERCENTILES) else {}
-    if {"min_slope", "max_slope"} & set(names):
-        once["__slopes"] = rolling_slopes(F.col(series))
-    shared = {n: percentile(F.col("__sorted"), p, True) for n, p in _PERCENTILES.items()} | {"min_slope": F.array_min("__slopes"), "max_slope": F.array_max("__slopes")}
-    made = {n: shared[n] if n in shared else FEATURES[n](F.col(series)) for n in names}
-    return df.withColumns(once).withColumns(made).drop(*once)
+    kept = [f for f in df.schema.fields if f.name not in names]
+    schema = StructType([*kept, *(StructField(n, DoubleType()) for n in names)])
+    return df.mapInArrow(_feature_pass(series, names), schema)

@@ -249,3 +249,15 @@ def test_relaxation_over_tiles(spark, tile):
     for r in focal.relaxed_grid(df, ["a", "b", "c"], m, 5, 3, tile).collect():
         out[:, r.i, r.j] = r.a, r.b, r.c
     assert np.allclose(out, focal.relaxed(p, m, 5, 3))
+
+
+def test_series_of_any_length(spark):
+    """Series of several lengths, too short ones, empty and null ones, with nulls; other columns stay."""
+    rows = [(1, [1.0, 2.0, 4.0, 8.0]), (2, [3.0]), (3, []), (4, None), (5, [1.0, None, 3.0]), (6, [float(k * k) for k in range(20)]), (7, [1.0, -1.0]), (8, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, x array<double>").withColumn("mean", F.lit("old"))
+    got = {r.id: r for r in local_stats.series_features(df, "x").collect()}
+    assert len(got) == 8 and got[1].x == rows[0][1]
+    assert (got[1].mean, got[1].fifty, got[1].five_cumulative, got[1].ninety_five_cumulative, got[1].max_diff, got[1].min_slope) == (3.75, 3.0, 3.0, 15.0, 2.0, None)
+    assert got[1].cv == pytest.approx(np.std(rows[0][1]) / 3.75) and got[7].cv == 0 and got[2].five == 3.0
+    assert got[6].min_slope == pytest.approx(np.polyfit(range(15), [k * k for k in range(15)], 1)[0]) and got[6].max_slope == pytest.approx(24.0)
+    assert all(got[k].mean is None and got[k].fifty is None and got[k].cv == 0 for k in (3, 4)) and all(got[k].mean is None and got[k].seventy_five is None for k in (5, 8))
