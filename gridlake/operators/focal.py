@@ -231,9 +231,51 @@ def tiled(pixels: DataFrame, value: str, name: str, size: int, tile: int = TILE,
     return sent.groupBy("ti", "tj").applyInPandas(run, "i bigint, j bigint, out double")
 
 
+#: Weights of the eight cells around one, of sides and of corners.
+SIDE, CORNER = 1.0, 0.7071
+
+
+def _spectral(x: np.ndarray, index: np.ndarray, no_data: float) -> np.ndarray:
+    """Of each cell: mean of its first three bands, times its index, times the weighted means over the eight cells
+    around it of their distance from it in all bands and of their index's difference (where theirs is over 0)."""
+    far, differ, weights = np.zeros(index.shape), np.zeros(index.shape), 0.0
+    some = x != no_data
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            if i or j:
+                w = CORNER if i and j else SIDE
+                d = sum(np.where(own & _shifted(own, i, j), np.nan_to_num(_shifted(a, i, j) - a) ** 2, 0) for a, own in zip(x, some))
+                near = _shifted(index, i, j)
+                far += w * np.sqrt(d)
+                differ += w * np.where(near > 0, np.abs(index - near), 0)
+                weights += w
+    return x[:3].mean(0) * index * far / weights * differ / weights
+
+
+def spectral_distance(pixels: DataFrame, bands: list[str], index: str, no_data: float = -9999.0, tile: int = TILE) -> DataFrame:
+    """(i, j, out): how far a cell is from those around it in all bands and in a vegetation index, by its brightness and
+    index. Bands that are ``no_data`` in one of two cells don't count between them. Three bands or more."""
+    run = lambda x, at: _spectral(np.stack([x[f"b{k}"] for k in range(len(bands))]), x["index"], no_data)
+    return block_function({f"b{k}": (pixels, b) for k, b in enumerate(bands)} | {"index": (pixels, index)}, run, ["out"], tile, 1, 0.0)
+
+
+def colour_distance(pixels: DataFrame, bands: list[str], size: int = 5, tile: int = TILE) -> DataFrame:
+    """(i, j, out): the sum of a cell's distances in three bands from all others of its window, by half the window
+    squared less 1; null for a window of 3, where that is 0."""
+    half = size // 2
+
+    def run(x, at):
+        a = np.stack(list(x.values()))
+        steps = [(i, j) for i in range(-half, half + 1) for j in range(-half, half + 1) if i or j]
+        total = sum(np.sqrt(sum((_shifted(b, i, j) - b) ** 2 for b in a)) for i, j in steps)
+        return total / (half * half - 1) if half > 1 else np.full(total.shape, np.nan)
+
+    return block_function({b: (pixels, b) for b in bands}, run, ["out"], tile, half, 0.0)
+
+
 def moving_window(pixels: DataFrame, value: str | list[str], statistic: str, size: int = 3, ignore: float | None = None, border: str = "zero", out: str | None = None, **how) -> DataFrame:
     """(i, j, out) for every cell of a grid. ``plr`` takes class probabilities, a list of columns, and returns those;
-    ``link`` takes an edge and a gradient column, ``extend-endpoints`` edge, endpoint, gradient and direction."""
+    ``distance`` takes bands and an index last, or one column; ``rgb-distance`` takes three bands; ``link`` an edge and a gradient column, ``extend-endpoints`` edge, endpoint, gradient and direction."""
     if size % 2 == 0 or size < 3:
         raise ValueError("the window's size must be odd and 3 or more")
     if statistic == "plr":
@@ -246,6 +288,10 @@ def moving_window(pixels: DataFrame, value: str | list[str], statistic: str, siz
         made = _separable(pixels, value, size, statistic, ignore)
     elif statistic in GATHERED:
         made = _gathered(pixels, value, size, statistic, ignore)
+    elif statistic == "distance" and not isinstance(value, str):
+        size, made = 3, spectral_distance(pixels, value[:-1], value[-1], **({} if ignore is None else {"no_data": ignore}), **how)
+    elif statistic == "rgb-distance":
+        made = colour_distance(pixels, value, size, **how)
     elif statistic in TILED:
         made = tiled(pixels, value, statistic, size, **how)
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlake.operators import sampling
+from gridlake.operators.neighbours import propagated
 
 
 def read_samples(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -58,6 +59,30 @@ def standardised(samples: DataFrame, features: list[str]) -> DataFrame:
     return samples.withColumns({c: (F.col(c) - (got[f"m_{k}"] or 0.0)) / (got[f"s_{k}"] or 1.0) for k, c in enumerate(features)})
 
 
+def compared(base: DataFrame, later: DataFrame, key: str, features: list[str], label: str = "response", distance: float = 500.0, share: float = 0.75, weight: str | None = None, replaced: float = 2.0, spread: bool = False, add: bool = False, **how) -> DataFrame:
+    """Rows of ``later`` that have changed little since ``base``: those of which ``share`` of the features, rounded down,
+    are less than ``distance`` away when squared. Rows are matched by their key; those without a match go.
+
+    With ``spread`` the others stay, with the label that spreads to them over features (see ``neighbours.propagated``,
+    to which ``how`` goes). ``weight`` is a column of ``base``; its rows of weight 1 give ``replaced``, others their own.
+    ``add`` puts the rows of ``base`` before, with the columns of both."""
+    old = base.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__old{k}") for k, c in enumerate(features)), *([F.col(weight).alias("__weight")] if weight else []))
+    out = later.drop(weight) if weight else later
+    columns = out.columns
+    out = out.join(old, F.col(key) == F.col("__key"))
+    near = sum((F.coalesce(F.pow(F.col(c) - F.col(f"__old{k}"), F.lit(2.0)) < distance, F.lit(False)).cast("int") for k, c in enumerate(features)), F.lit(0))
+    out = out.withColumn("__near", near >= int(share * len(features)))
+    kept = [F.col(c) for c in columns] + ([F.when(F.col("__weight") == 1, F.lit(float(replaced))).otherwise(F.col("__weight")).alias(weight)] if weight else [])
+    if spread:
+        todo = out.withColumn(label, F.when(F.col("__near"), F.col(label)).otherwise(F.lit(-1)))
+        found = propagated(todo, key, label, features, method="spread", **how).select(F.col(key).alias("__of"), F.col(label).alias("__found"))
+        out = out.join(found, F.col(key) == F.col("__of")).withColumn(label, F.col("__found").cast(dict(later.dtypes)[label]))
+    else:
+        out = out.where("__near")
+    out = out.select(*kept)
+    return base.select(*out.columns).unionByName(out) if add else out
+
+
 @dataclass
 class Split:
     """Rows for training and for testing, and what their columns are."""

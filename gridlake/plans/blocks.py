@@ -112,3 +112,26 @@ def warp_bilinear(spark, sf_dir):
 @query(_warp_sql("[-1, 0, 1, 2]", "(CASE WHEN {0} <= 1 THEN 1.5 * {0}**3 - 2.5 * {0}**2 + 1 ELSE -0.5 * {0}**3 + 2.5 * {0}**2 - 4 * {0} + 2 END)"))
 def warp_cubic(spark, sf_dir):
     return _warped(spark, sf_dir, "cubic")
+
+
+_THREE = f"{_E}, m AS (SELECT max(i) AS n FROM e), b AS (SELECT i, j, value AS b1, class * 10.0::DOUBLE AS b2, ((i * 7 + j * 3) % 11)::DOUBLE AS b3, class / 5::DOUBLE AS v FROM e)"
+
+
+def _three(spark, sf_dir):
+    e = t.event_grid(spark, sf_dir)
+    return e.select("i", "j", F.col("value").alias("b1"), (F.col("class") * 10.0).alias("b2"), ((F.col("i") * 7 + F.col("j") * 3) % 11).cast("double").alias("b3"), (F.col("class") / 5).alias("v"))
+
+
+@query(f"""WITH {_THREE}, s AS (SELECT a.i, a.j, (a.b1 + a.b2 + a.b3) / 3 * a.v AS c, sum(CASE WHEN a.i <> o.i AND a.j <> o.j THEN 0.7071 ELSE 1 END::DOUBLE * sqrt(pow(a.b1 - o.b1, 2) + pow(a.b2 - o.b2, 2) + pow(a.b3 - o.b3, 2))) AS far,
+sum(CASE WHEN a.i <> o.i AND a.j <> o.j THEN 0.7071 ELSE 1 END::DOUBLE * abs(a.v - o.v)) AS differ FROM b a JOIN b o ON o.i BETWEEN a.i - 1 AND a.i + 1 AND o.j BETWEEN a.j - 1 AND a.j + 1 AND (a.i <> o.i OR a.j <> o.j) GROUP BY ALL)
+SELECT i, j, CASE WHEN i BETWEEN 1 AND n - 1 AND j BETWEEN 1 AND 98 THEN round(c * far * differ / pow(4 + 4 * 0.7071::DOUBLE, 2), 6) ELSE 0 END AS out FROM s, m""")
+def focal_spectral_distance(spark, sf_dir):
+    out = focal.moving_window(_three(spark, sf_dir), ["b1", "b2", "b3", "v"], "distance", tile=64)
+    return out.select("i", "j", F.round("out", 6).alias("out"))
+
+
+@query(f"""WITH {_THREE} SELECT a.i, a.j, CASE WHEN a.i BETWEEN 2 AND n - 2 AND a.j BETWEEN 2 AND 97 THEN round(sum(sqrt(pow(a.b1 - o.b1, 2) + pow(a.b2 - o.b2, 2) + pow(a.b3 - o.b3, 2))) / 3, 6) ELSE 0 END AS out
+FROM b a JOIN b o ON o.i BETWEEN a.i - 2 AND a.i + 2 AND o.j BETWEEN a.j - 2 AND a.j + 2, m GROUP BY a.i, a.j, n""")
+def focal_rgb_distance(spark, sf_dir):
+    out = focal.moving_window(_three(spark, sf_dir), ["b1", "b2", "b3"], "rgb-distance", 5, tile=64)
+    return out.select("i", "j", F.round("out", 6).alias("out"))

@@ -88,3 +88,12 @@ def label_propagation(spark, sf_dir):
     """The labels of one vector in five spread to the others."""
     d = _data(spark, sf_dir).withColumn("label", F.when(F.col("vec_id") % 5 == 0, F.col("label")).otherwise(-1.0))
     return learn.propagated(d, "vec_id", "label", BANDS, rounds=10)
+
+
+@query("SELECT p_partkey, p_type AS response, (p_size + p_partkey % 30)::DOUBLE AS f1, p_retailprice + p_partkey % 40 AS f2 FROM part WHERE (pow(p_partkey % 30, 2) < 300)::INT + (pow(p_partkey % 40, 2) < 300)::INT >= 2")
+def compare_samples(spark, sf_dir):
+    """Samples whose two features have changed little."""
+    p = t.table(spark, sf_dir, "part")
+    base = p.select("p_partkey", F.col("p_type").alias("response"), F.col("p_size").cast("double").alias("f1"), F.col("p_retailprice").alias("f2"))
+    later = base.withColumns({"f1": F.col("f1") + F.col("p_partkey") % 30, "f2": F.col("f2") + F.col("p_partkey") % 40})
+    return samples.compared(base, later, "p_partkey", ["f1", "f2"], distance=300.0, share=1.0)

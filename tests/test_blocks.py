@@ -132,3 +132,27 @@ def test_lower_envelope():
     g[3], g[4] = np.inf, 0
     j = np.arange(40)
     assert (proximity.lower_envelope(g) == ((j[:, None] - j) ** 2 + g[:, None, :]).min(2)).all()
+
+
+def test_distances_between_bands(spark):
+    """Cell by cell, with no data in some bands."""
+    from gridlake.operators import focal
+
+    rng = np.random.default_rng(9)
+    a = np.where(rng.random((3, 9, 8)) < 0.1, -1.0, rng.random((3, 9, 8)))
+    v = rng.uniform(-0.2, 1, (9, 8))
+    df = spark.createDataFrame([(i, j, *map(float, a[:, i, j]), float(v[i, j])) for i, j in np.ndindex(v.shape)], "i long, j long, r double, g double, b double, v double")
+    got = array(focal.moving_window(df, ["r", "g", "b", "v"], "distance", ignore=-1.0, tile=4), v.shape, "out")
+    colour = array(focal.moving_window(df, ["r", "g", "b"], "rgb-distance", 5, tile=4), v.shape, "out")
+    for i, j in np.ndindex(v.shape):
+        near = [(p, q) for p in (-1, 0, 1) for q in (-1, 0, 1) if p or q]
+        want = 0.0
+        if 0 < i < 8 and 0 < j < 7:
+            w = {(p, q): 0.7071 if p and q else 1.0 for p, q in near}
+            far = sum(w[p, q] * np.sqrt(sum((x[i + p, j + q] - x[i, j]) ** 2 for x in a if x[i, j] != -1 and x[i + p, j + q] != -1)) for p, q in near)
+            differ = sum(w[p, q] * abs(v[i, j] - v[i + p, j + q]) for p, q in near if v[i + p, j + q] > 0)
+            want = a[:, i, j].mean() * v[i, j] * far * differ / sum(w.values()) ** 2
+        assert got[i, j] == pytest.approx(want)
+        wide = [(p, q) for p in range(-2, 3) for q in range(-2, 3)]
+        assert colour[i, j] == pytest.approx(sum(np.linalg.norm(a[:, i + p, j + q] - a[:, i, j]) for p, q in wide) / 3 if 2 <= i < 7 and 2 <= j < 6 else 0)
+    assert np.isnan(array(focal.colour_distance(df, ["r", "g", "b"], 3), v.shape, "out")).all()

@@ -137,3 +137,17 @@ def test_calibration_helps(spark, method):
     assert error(made, F.col("probability")[1]) < 0.5 * before
     assert made.where(F.abs(F.col("probability")[0] + F.col("probability")[1] - 1) > 1e-9).count() == 0
     assert made.where("prediction = label").count() > 900
+
+
+def test_compared_samples(spark):
+    base = spark.createDataFrame([(k, k % 2, float(10 * (k % 2)), float(k), 1.0 if k < 5 else 0.3) for k in range(20)], "id long, response int, a double, b double, w double")
+    later = base.where("id < 19").withColumns({"b": F.when(F.col("id") % 4 == 0, F.col("b") + 100).otherwise(F.col("b") + 1), "response": F.lit(7)})
+    got = {r.id: r for r in samples.compared(base, later, "id", ["a", "b"], share=1.0, weight="w").collect()}
+    assert set(got) == {k for k in range(19) if k % 4} and all(r.response == 7 and r.w == (2.0 if k < 5 else 0.3) for k, r in got.items())
+    assert samples.compared(base, later, "id", ["a", "b"], share=0.5).count() == 19  # one of two is enough
+    both = samples.compared(base, later, "id", ["a", "b"], share=1.0, weight="w", add=True)
+    assert both.count() == 20 + 14 and both.columns == ["id", "response", "a", "b", "w"]
+    mixed = base.withColumn("b", F.when(F.col("id") % 10 == 0, 1e3).otherwise(F.col("b")))
+    spread = {r.id: r.response for r in samples.compared(base, mixed, "id", ["a", "b"], share=1.0, spread=True, neighbours=2).collect()}
+    assert len(spread) == 20 and all(v == k % 2 for k, v in spread.items() if k % 10) and set(spread.values()) <= {0, 1, -1}
+    assert samples.compared(base, later.limit(0), "id", ["a", "b"]).count() == 0
