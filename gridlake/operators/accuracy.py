@@ -3,10 +3,11 @@ arithmetic on a table of classes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.numeric import ratio
+from gridlake.operators.regions import TILE, regions
 
 
 def confusion(df: DataFrame, predicted: str, observed: str) -> DataFrame:
@@ -93,13 +94,51 @@ def pairs(matrix: DataFrame) -> DataFrame:
     return matrix.where("n > 0").select("predicted", "observed", F.explode(F.sequence(F.lit(1), F.col("n")))).select("predicted", "observed")
 
 
+def _eccentricity(i: str, j: str) -> Column:
+    """Of the ellipse with a group's second moments: 0 for a circle or one cell, 1 for a line."""
+    a, b, c = F.var_pop(i), F.var_pop(j), F.covar_pop(i, j)
+    mid, off = (a + b) / 2, F.sqrt(F.pow((a - b) / 2, F.lit(2.0)) + c * c)
+    return F.when(mid + off > 1e-12, F.sqrt(F.greatest(1 - (mid - off) / F.when(mid + off > 1e-12, mid + off), F.lit(0.0)))).otherwise(0.0)
+
+
 def objects(cells: DataFrame, reference: str, predicted: str) -> DataFrame:
-    """(reference, predicted, over, under, fragments, offset) for each reference object other than 0: against the
-    predicted object that covers most of it, of several the least. ``cells``: (i, j, both labels)."""
-    size = cells.where(F.col(predicted) != 0).groupBy(F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("pn"), F.avg("i").alias("pi"), F.avg("j").alias("pj"))
-    ref = cells.where(F.col(reference) != 0).groupBy(F.col(reference).alias("r")).agg(F.count(F.lit(1)).alias("rn"), F.avg("i").alias("ri"), F.avg("j").alias("rj"))
+    """(reference, predicted, cells, predicted_cells, over, under, fragments, shape, offset, relative) for each reference
+    object other than 0: against the predicted object that covers most of it, of several the least.
+
+    ``cells``: (i, j, both labels). ``over`` and ``under`` are the shares of either that the other doesn't cover,
+    ``fragments`` the number of predicted objects on it by its cells, ``shape`` the difference of eccentricities,
+    ``offset`` the distance of centres in cells, ``relative`` the difference of sizes in percent. Objects that no
+    predicted one touches are left out. All are sums by label."""
+
+    def sized(label, p):
+        own = cells.where(F.col(label) != 0).groupBy(F.col(label).alias(p))
+        return own.agg(F.count(F.lit(1)).alias(f"{p}n"), F.avg("i").alias(f"{p}i"), F.avg("j").alias(f"{p}j"), _eccentricity("i", "j").alias(f"{p}e"))
+
     both = cells.where((F.col(reference) != 0) & (F.col(predicted) != 0)).groupBy(F.col(reference).alias("r"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     best = both.groupBy("r").agg(F.max(F.struct("n", (-F.col("p")).alias("m"))).alias("x"), F.count(F.lit(1)).alias("parts")).select("r", (-F.col("x.m")).alias("p"), F.col("x.n").alias("n"), "parts")
-    j = ref.join(best, "r").join(size, "p")
+    j = sized(reference, "r").join(best, "r").join(sized(predicted, "p"), "p")
     frag = F.when(F.col("rn") > 1, (F.col("parts") - 1) / F.when(F.col("rn") > 1, F.col("rn") - 1)).otherwise(0.0)
-    return j.select(F.col("r").alias("reference"), F.col("p").alias("predicted"), (1 - F.col("n") / F.col("rn")).alias("over"), (1 - F.col("n") / F.col("pn")).alias("under"), frag.alias("fragments"), F.sqrt(F.pow(F.col("ri") - F.col("pi"), F.lit(2.0)) + F.pow(F.col("rj") - F.col("pj"), F.lit(2.0))).alias("offset"))
+    return j.select(
+        F.col("r").alias("reference"),
+        F.col("p").alias("predicted"),
+        F.col("rn").alias("cells"),
+        F.col("pn").alias("predicted_cells"),
+        (1 - F.col("n") / F.col("rn")).alias("over"),
+        (1 - F.col("n") / F.col("pn")).alias("under"),
+        frag.alias("fragments"),
+        F.abs(F.col("re") - F.col("pe")).alias("shape"),
+        F.sqrt(F.pow(F.col("ri") - F.col("pi"), F.lit(2.0)) + F.pow(F.col("rj") - F.col("pj"), F.lit(2.0))).alias("offset"),
+        ((F.col("pn") - F.col("rn")) * 100.0 / F.col("rn")).alias("relative"),
+    )
+
+
+def objects_of_masks(cells: DataFrame, reference: str, predicted: str, tile: int = TILE) -> DataFrame:
+    """``objects`` of two masks: each region of set cells of a mask that touch by their sides is an object, named by the
+    number of its first cell and one more. ``cells``: (i, j, both masks); 0 and null cells are in no object."""
+
+    def labelled(mask, name):
+        own = cells.where(F.col(mask) != 0).select("i", "j", F.lit(1.0).alias("v"))
+        return regions(own, "v", tile).select("i", "j", (F.col("region") + 1).alias(name))
+
+    both = labelled(reference, "r").join(labelled(predicted, "p"), ["i", "j"], "full")
+    return objects(both.fillna(0, ["r", "p"]), "r", "p")

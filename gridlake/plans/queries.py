@@ -466,6 +466,16 @@ def object_accuracy(spark, sf_dir):
     return out.select("reference", "predicted", *(_r(c).alias(c) for c in ("over", "under", "fragments")), _r("offset").alias("offset_"))
 
 
+_ECC = "CASE WHEN (var_pop(i) + var_pop(j)) / 2 + sqrt(power((var_pop(i) - var_pop(j)) / 2, 2) + power(covar_pop(i, j), 2)) > 1e-12 THEN sqrt(greatest(1 - ((var_pop(i) + var_pop(j)) / 2 - sqrt(power((var_pop(i) - var_pop(j)) / 2, 2) + power(covar_pop(i, j), 2))) / ((var_pop(i) + var_pop(j)) / 2 + sqrt(power((var_pop(i) - var_pop(j)) / 2, 2) + power(covar_pop(i, j), 2))), 0)) ELSE 0 END"
+
+
+@query(f"WITH {E1}, {O1}, g AS (SELECT i, j, e.class + 10 * (j // 25) AS r, o.class + 10 * (j // 20) AS p FROM e JOIN o USING (i, j)), ps AS (SELECT p, count(*) AS pn, {_ECC} AS pe FROM g GROUP BY 1), rs AS (SELECT r, count(*) AS rn, {_ECC} AS re FROM g GROUP BY 1), b AS (SELECT r, p, count(*) AS n FROM g GROUP BY 1, 2), m AS (SELECT r, arg_max(p, n * 1000 - p) AS p FROM b GROUP BY 1) SELECT r AS reference, rn AS cells, pn AS predicted_cells, round(abs(re - pe), 6) AS shape, round((pn - rn) * 100.0::DOUBLE / rn, 6) AS relative FROM m JOIN rs USING (r) JOIN ps USING (p)")
+def object_shapes(spark, sf_dir):
+    a = t.event_grid(spark, sf_dir).select("i", "j", (F.col("class") + 10 * F.floor(F.col("j") / 25)).alias("r"))
+    b = t.order_grid(spark, sf_dir).select("i", "j", (F.col("class") + 10 * F.floor(F.col("j") / 20)).alias("p"))
+    return accuracy.objects(a.join(b, ["i", "j"]), "r", "p").select("reference", "cells", "predicted_cells", _r("shape").alias("shape"), _r("relative").alias("relative"))
+
+
 # sampling
 
 

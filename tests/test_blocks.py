@@ -156,3 +156,34 @@ def test_distances_between_bands(spark):
         wide = [(p, q) for p in range(-2, 3) for q in range(-2, 3)]
         assert colour[i, j] == pytest.approx(sum(np.linalg.norm(a[:, i + p, j + q] - a[:, i, j]) for p, q in wide) / 3 if 2 <= i < 7 and 2 <= j < 6 else 0)
     assert np.isnan(array(focal.colour_distance(df, ["r", "g", "b"], 3), v.shape, "out")).all()
+
+
+def test_objects_of_masks(spark):
+    """Each region of one mask against what covers most of it in the other, object by object."""
+    from gridlake.operators import accuracy
+
+    rng = np.random.default_rng(11)
+    a, b = rng.random((2, 16, 18)) < 0.55
+    cells = spark.createDataFrame([(i, j, int(a[i, j]), int(b[i, j]) if b[i, j] or i % 2 else None) for i, j in np.ndindex(a.shape)], "i long, j long, r int, p int")
+    got = {r.reference: r for r in accuracy.objects_of_masks(cells, "r", "p", tile=5).collect()}
+    labels = [np.where(m, flood(np.where(m, 1, 0), {c for c in np.ndindex(m.shape) if not m[c]}) + 1, 0) for m in (a, b)]
+
+    def shape(m):
+        at = np.argwhere(m)
+        low, high = np.linalg.eigvalsh(np.cov(at.T, bias=True).reshape(2, 2)) if len(at) > 1 else (0, 0)
+        return np.sqrt(max(1 - low / high, 0)) if high > 1e-12 else 0.0
+
+    seen = 0
+    for r in np.unique(labels[0][labels[0] > 0]):
+        own = labels[0] == r
+        over, n = np.unique(labels[1][own & (labels[1] > 0)], return_counts=True)
+        if len(over):
+            other = labels[1] == over[n.argmax()]
+            x = got[int(r)]
+            assert (x.predicted, x.cells, x.predicted_cells) == (over[n.argmax()], own.sum(), other.sum())
+            assert (x.over, x.under, x.relative) == pytest.approx((1 - n.max() / own.sum(), 1 - n.max() / other.sum(), 100 * (other.sum() - own.sum()) / own.sum()))
+            assert x.shape == pytest.approx(abs(shape(own) - shape(other)), abs=1e-6)
+            assert x.offset == pytest.approx(np.linalg.norm(np.argwhere(own).mean(0) - np.argwhere(other).mean(0)))
+            assert x.fragments == pytest.approx((len(over) - 1) / (own.sum() - 1) if own.sum() > 1 else 0)
+            seen += 1
+    assert seen == len(got) > 5
