@@ -136,6 +136,12 @@ def statistics(pixels: DataFrame, bands: list[str]) -> DataFrame:
     return long.groupBy("band").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
 
 
+def contains_value(pixels: DataFrame, bands: list[str], value: float) -> DataFrame:
+    """(band, found, cells): whether each band holds a value, and in how many cells; NaN is found as NaN."""
+    long = pixels.select(F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands))).alias("x")).select("x.*")
+    return long.groupBy("band").agg(F.count_if(F.col("v") == value).alias("cells")).select("band", (F.col("cells") > 0).alias("found"), "cells")
+
+
 def clear_share(pixels: DataFrame, value: str, clear: float, background: float) -> DataFrame:
     """Percent of cells other than background that are clear."""
     n = F.count_if(F.col(value) != background)

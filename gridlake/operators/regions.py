@@ -80,8 +80,8 @@ def outlines(labelled: DataFrame, region: str = "region", tile: int = TILE) -> D
     end: an outline keeps to its cell, else goes on to the next, so where two cells of a region touch by a corner only,
     rings touch but don't cross. Rings are the components of edges and positions come by doubling, so that no ring is
     gathered in one place. ``ring`` is its least edge number."""
-    half = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    sent = labelled.select("i", "j", F.col(region).alias("r"), half.alias("s")).select("i", "j", "r", F.floor((F.col("i") + F.col("s.a")) / tile).alias("ti"), F.floor((F.col("j") + F.col("s.b")) / tile).alias("tj")).distinct()
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile)))
+    sent = labelled.select("i", "j", F.col(region).alias("r")).withColumn("ti", near("i")).withColumn("tj", near("j"))
 
     def run(key, pdf):
         i0, j0 = int(key[0]) * tile - 1, int(key[1]) * tile - 1

@@ -32,6 +32,16 @@ def raster_window(spark, sf_dir):
     return raster.open_raster(spark, path, [2, 1]).where(F.col("j").between(20, 70))
 
 
+@query("SELECT k::INT AS band, CASE k WHEN 1 THEN count(*) FILTER (value = 50) ELSE count(*) FILTER (event_type = 'view') END::BIGINT AS cells, 0::BIGINT AS bad FROM events, (SELECT unnest([1, 2]) AS k) GROUP BY k")
+def raster_values(spark, sf_dir):
+    """How many cells of each band of a written raster hold a value, and how many of its parts can't be read."""
+    path = scratch.new_path(spark, "raster")
+    raster.write_raster(t.event_grid(spark, sf_dir), path, ["value", "class"], block=32)
+    df = raster.open_raster(spark, path)
+    held = grid.contains_value(df, ["b1"], 50.0).unionByName(grid.contains_value(df, ["b2"], 5.0))
+    return held.select(F.substring("band", 2, 9).cast("int").alias("band"), "cells").join(raster.check_bands(spark, path).select("band", "bad"), "band")
+
+
 def _contrast(x, at):
     """Value over the mean of the cells within two, and how many of those have the cell's class."""
     near = [np.roll(x["value"], (a, b), (0, 1)) for a in range(-2, 3) for b in range(-2, 3)]

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -281,6 +282,32 @@ def open_raster(spark: SparkSession, path: str, bands: list[int] | None = None,
     return (r.option("bands", ",".join(map(str, bands))) if bands else r).load()
 
 
+def check_bands(spark: SparkSession, path: str, strip: int = STRIP_BYTES) -> DataFrame:
+    """(band, parts, bad, reasons): how many parts of each band can't be read, as files that are missing or too short, or
+    hold values that are not finite, and why; parts are read by tasks. A block that was never written isn't bad."""
+    of = layout(path)
+    parts = Reader(path, [1], of, strip).partitions()
+    rows = spark.createDataFrame([(p.file, *p.whole, *p.cells, b) for p in parts for b in range(1, of.bands + 1)], "file string, a long, b long, c long, d long, i0 long, i1 long, j0 long, j1 long, band int")
+
+    def run(batches):
+        for pdf in batches:
+            said = []
+            for r in pdf.itertuples():
+                store, at = _place(r.file)
+                try:
+                    if of.block and not _exists(store, at):
+                        said.append(None)
+                        continue
+                    got = read_part(store, at, (r.b - r.a, r.d - r.c), of, (r.i0 - r.a, r.i1 - r.a), (r.j0 - r.c, r.j1 - r.c), [r.band])
+                    said.append(None if np.isfinite(got.astype(float)).all() else "not finite")
+                except (OSError, ValueError) as e:
+                    said.append("too short" if isinstance(e, ValueError) else "can't be read")
+            yield pd.DataFrame({"band": pdf.band, "reason": said})
+
+    found = rows.repartition(max(1, min(len(parts), 200))).mapInPandas(run, "band int, reason string")
+    return found.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.count("reason").alias("bad"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+
+
 def write_raster(pixels: DataFrame, path: str, bands: list[str], like: Layout | None = None, mode: str = "overwrite", **how) -> Layout:
     """Writes columns of ``pixels`` as bands 1, 2 and so on, in blocks, and returns the layout.
 

@@ -91,3 +91,21 @@ def test_cases(spark, tmp_path):
         raster.open_raster(spark, path, [3]).collect()
     with pytest.raises(ValueError, match="lines"):
         raster.parsed("ENVI\nsamples = 3\n")
+
+
+def test_bad_parts_are_found(spark, tmp_path):
+    """A short file, one with a value that is not finite, one that is missing, and good ones, band by band."""
+    path = tmp_path / "r"
+    a = np.random.default_rng(3).random((2, 16, 16))
+    raster.write_raster(table(spark, a), str(path), ["x0", "x1"], block=8)
+    seen = lambda: {r.band: (r.parts, r.bad, r.reasons) for r in raster.check_bands(spark, str(path)).collect()}
+    assert seen() == {1: (4, 0, []), 2: (4, 0, [])}
+    short = path / "block-0-0.dat"
+    short.write_bytes(short.read_bytes()[: 8 * 8 * 8 + 9])  # the second band is cut
+    odd = np.frombuffer((path / "block-1-1.dat").read_bytes()).copy()
+    odd[3] = np.inf
+    (path / "block-1-1.dat").write_bytes(odd.tobytes())
+    (path / "block-0-1.dat").unlink()
+    assert seen() == {1: (4, 1, ["not finite"]), 2: (4, 1, ["too short"])}
+    held = grid.contains_value(raster.open_raster(spark, str(path), [1]).where("i >= 8 and j < 8"), ["b1"], a[0, 9, 3]).first()
+    assert held.found and held.cells == 1
