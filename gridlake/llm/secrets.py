@@ -18,25 +18,83 @@ GENERIC = "[A-Za-z0-9+/_-]{20,}"
 HOT_USES = 500_000  # uses of a value beyond which its rows aren't gathered by value
 
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
+PIECE = 256  # code points of the pieces that a text is cut into to take parts out of it
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, in which ``value`` is computed once, also where ``use`` names it in the lambda of a list."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, add, neutral: int) -> Column:
+    """``add`` over each value and all before it, by doubling: step k adds what stands 2^k places before."""
+    wide = values.cast("array<bigint>")
+    steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(acc, k):
+        back = F.call_function("shiftleft", F.lit(1), k)
+        ahead = F.concat(F.array_repeat(F.lit(neutral).cast("bigint"), back), F.slice(acc, F.lit(1), F.size(acc) - back))
+        return F.zip_with(ahead, acc, add)
+
+    return F.aggregate(steps, wide, step)
 
 
 def spans(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` with code point offsets, as ``SPAN``.
 
-    The pieces between matches, from split, and the matches themselves give the offsets. ``value`` is the group's text."""
+    The pieces between matches, from split, and the matches themselves give the offsets: each match ends where the
+    lengths up to it add up to. Work grows with n log n of the matches. ``value`` is the group's text."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = hits if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     steps = F.arrays_zip(F.slice(pieces, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("got"))
+    sized = F.transform(steps, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), x["value"].alias("value")))
+
+    def placed(x):
+        ends = running(F.transform(x, lambda s: s["gap"] + s["hit"]), lambda a, b: a + b, 0)
+        return F.zip_with(x, ends, lambda s, e: F.struct(F.lit(kind).alias("kind"), (e - s["hit"]).alias("start"), e.alias("end"), s["value"].alias("value")))
+
+    return F.when(text.rlike(pattern), let(sized, placed)).otherwise(F.array().cast(SPAN))
+
+
+def outside(spans_: Column, others: Column) -> Column:
+    """Those of ``spans_`` that share no character with any of ``others``, both as ``SPAN``.
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["got"], F.array(one)).alias("got"))
+    In one list by start, a span meets another that began before it if the furthest end so far lies beyond its start,
+    and one that begins after it if the nearest start to come lies before its end."""
+    far = (1 << 62)
 
-    got = F.aggregate(steps, first, add, lambda a: a["got"])
-    return F.when(text.rlike(pattern), got).otherwise(F.array().cast(SPAN))
+    def mark(own):
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s["kind"].alias("kind"), s["value"].alias("value"))
+
+    def judged(x):
+        ends = running(F.transform(x, lambda s: F.when(s["own"], F.lit(-1)).otherwise(s["end"])), lambda a, b: F.greatest(a, b), -1)
+        starts = F.reverse(running(F.reverse(F.transform(x, lambda s: F.when(s["own"], F.lit(far)).otherwise(s["start"]))), lambda a, b: F.least(a, b), far))
+        free = F.filter(F.arrays_zip(x.alias("s"), ends.alias("e"), starts.alias("n")), lambda z: z["s"]["own"] & (z["e"] <= z["s"]["start"]) & (z["n"] >= z["s"]["end"]))
+        return F.transform(free, lambda z: F.struct(z["s"]["kind"].alias("kind"), z["s"]["start"].alias("start"), z["s"]["end"].alias("end"), z["s"]["value"].alias("value")))
+
+    merged = F.array_sort(F.concat(F.transform(spans_, mark(True)), F.transform(others, mark(False))))
+    return F.when((F.size(spans_) == 0) | (F.size(others) == 0), spans_).otherwise(let(merged, judged))
+
+
+def replaced(text: Column, cuts: Column, mark: str) -> Column:
+    """``text`` with each of ``cuts`` (a, b), sorted and possibly overlapping, replaced; what overlaps becomes one mark.
+
+    The text is cut once into pieces of ``PIECE`` code points, so taking out a part doesn't walk the text from its start."""
+
+    def part(pieces, a, b):
+        first = F.floor(a / PIECE).cast("int")
+        held = F.array_join(F.slice(pieces, first + 1, F.floor(b / PIECE).cast("int") - first + 1), "")
+        return F.substr(held, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))
+
+    def cut(x):
+        reach = running(F.transform(x["cuts"], lambda s: s["b"]), lambda a, b: F.greatest(a, b), 0)
+        before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        kept = F.filter(F.zip_with(before, x["cuts"], lambda at, s: F.struct(at.alias("at"), s["a"].alias("a"))), lambda s: s["a"] >= s["at"])
+        ahead = F.array_join(F.transform(kept, lambda s: F.concat(part(x["pieces"], s["at"], s["a"]), F.lit(mark))), "")
+        return F.concat(ahead, part(x["pieces"], F.element_at(reach, -1), x["size"]))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(F.struct(pieces.alias("pieces"), cuts.alias("cuts"), F.length(text).cast("bigint").alias("size")), cut)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -56,12 +114,14 @@ def _joined(spans_: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(value_hash, n_owners, n_repos, n_uses) over (value_hash, owner, repo).
+    """(value_hash, n_owners, n_repos, n_uses) over (value_hash, owner, repo): distinct owners, distinct repositories
+    whoever owns them, and rows. Null owners and repositories count as one of their own.
 
-    Three sums, each partial before its shuffle, so a value that a third of all rows hold meets in no task."""
-    by_repo = candidates.groupBy("value_hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = by_repo.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
-    return by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_uses"))
+    Two sums, each partial before its shuffle, so a value that a third of all rows hold meets in no task."""
+    held = F.array(F.struct(F.lit(False).alias("repo"), F.col("owner").alias("name")), F.struct(F.lit(True).alias("repo"), F.col("repo").alias("name")))
+    by_name = candidates.select("value_hash", F.explode(held).alias("h")).groupBy("value_hash", "h").agg(F.count(F.lit(1)).alias("n"))
+    repo = F.col("h.repo").cast("bigint")
+    return by_name.groupBy("value_hash").agg(F.sum(1 - repo).alias("n_owners"), F.sum(repo).alias("n_repos"), F.sum((1 - repo) * F.col("n")).alias("n_uses"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", copied_owners: int = 3, copied_repos: int = 12) -> DataFrame:
@@ -80,9 +140,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     base = base_spans(t)
     wanted = lambda s: s["value"].rlike("[0-9][^0-9]*[0-9][^0-9]*[0-9]") & s["value"].rlike("[A-Za-z]")
     light = light.select("k", "owner", "repo", F.xxhash64("k", "t").alias("th"), *(c.alias(n) for n, c in base.items()), F.filter(spans(t, "live", GENERIC), wanted).alias("generic"))
-    every = F.concat("assign", "access", "hex")
-    outside = F.filter("generic", lambda g: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (g["start"] < b["end"]) & (b["start"] < g["end"])))
-    light = materialise(light.select("k", "owner", "repo", "th", *(F.size(n).cast("bigint").alias(f"n_{n}") for n in base), every.alias("base"), outside.alias("generic")))
+    light = light.withColumn("base", F.concat("assign", "access", "hex"))
+    light = materialise(light.select("k", "owner", "repo", "th", *(F.size(n).cast("bigint").alias(f"n_{n}") for n in base), "base", outside(F.col("generic"), F.col("base")).alias("generic")))
 
     # equal rows share one identity: their spans are equal, and so are the results joined to them
     named = light.withColumn("id", F.struct(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("a"), F.col("k").isNull().alias("b"), F.col("th").alias("c"), F.coalesce("owner", F.lit("")).alias("d")))
@@ -123,14 +182,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
     hit = materialise(hit.select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), cuts.alias("__s")).distinct())
     joined = docs.join(hit, docs[key].eqNullSafe(hit["__k"]) & (F.xxhash64(docs[key], docs[text]) == hit["__h"]), "left")
     t = F.coalesce(docs[text], F.lit(""))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def cut(acc, s):
-        ahead = F.substr(t, (acc["at"] + 1).cast("int"), (s["a"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.when(s["a"] >= acc["at"], F.concat(acc["out"], ahead, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate("__s", first, cut, lambda a: F.concat(a["out"], F.substr(t, (a["at"] + 1).cast("int"))))
-    out = joined.withColumn("__t", F.when(F.col("__s").isNull(), docs[text]).otherwise(new))
+    out = joined.withColumn("__t", F.when(F.col("__s").isNull(), docs[text]).otherwise(replaced(t, F.col("__s"), mark)))
     kinds = dict(docs.dtypes)
     changed = F.col("__s").isNotNull()
     cols = [F.col("__t").alias(c) if c == text else F.when(changed, F.length("__t").cast(kinds[c])).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from gridlake.llm import secrets
 from tests.llm.common import as_dict, docs, table
@@ -98,5 +100,71 @@ def test_redact(spark):
     assert got[2]["text"] is None and got[3]["text"] == "clean"
 
 
+def test_a_repository_under_two_owners_is_one(spark):
+    rows = [(7, "a", "r"), (7, "b", "r"), (7, "b", "q"), (7, None, None), (7, None, None), (8, "a", "r")]
+    got = secrets.ownership(spark.createDataFrame(rows, "value_hash long, owner string, repo string"))
+    assert {tuple(r) for r in got.collect()} == {(7, 3, 3, 5), (8, 1, 1, 1)}
+
+
+def test_many_matches_in_one_text(spark):
+    """Offsets, spans outside the base ones and redaction of very many matches; time grows with their number."""
+
+    def text(n):
+        return "".join(f"é{hashlib.md5(str(i).encode()).hexdigest()}{i} 𝄞 Zq{i}aaaaaaaaaaaaaaaaaa99999 " for i in range(n))
+
+    def timed(n):
+        t = text(n)
+        src = docs(spark, [(1, t), (2, "clean")])
+        start = time.perf_counter()
+        got = as_dict(secrets.digest(secrets.scan(src)))
+        new = as_dict(secrets.redact(src))[1]["text"]
+        return t, got[1], new, time.perf_counter() - start
+
+    timed(100)
+    t, r, new, short = timed(12_500)
+    check([(1, t)], {1: r})
+    t, r, new, long = timed(50_000)
+    check([(1, t)], {1: r})
+    assert r["n_hex"] == 50_000 and r["spans"].count("live:") == 50_000
+    live = [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",")]
+    want, at = [], 0
+    for a, e in live:
+        want += [t[at:a], "[secret]"]
+        at = e
+    assert new == "".join(want) + t[at:]
+    assert long < 8 * short + 10
+
+
+def test_redact_overlaps(spark):
+    """Cuts that overlap, touch, lie in each other or at either end, against a loop; code points beyond 16 bits."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        t = "".join(rng.choice("aé𝄞 \n") for _ in range(rng.choice([1, 5, 255, 256, 257, 2000])))
+        cuts = sorted(sorted((rng.randint(0, len(t)), rng.randint(0, len(t)))) for _ in range(rng.randint(1, 5)))
+        rows.append((i, t, [(a, b) for a, b in cuts if a < b] or [(0, 1)]))
+    src = spark.createDataFrame(rows, "i int, t string, c array<struct<a:bigint,b:bigint>>")
+    got = {r.i: r.out for r in src.select("i", secrets.replaced(src["t"], src["c"], "#").alias("out")).collect()}
+    for i, t, cuts in rows:
+        at, want = 0, ""
+        for a, b in cuts:
+            if a >= at:
+                want += t[at:a] + "#"
+            at = max(at, b)
+        assert got[i] == want + t[at:], (i, cuts)
+
+
+def test_outside_against_a_loop(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):
+        make = lambda k: [(k, a, a + rng.randint(1, 30), k) for a in rng.sample(range(300), rng.randint(0, 6))]
+        rows.append((i, make("live"), make("hex") + make("assign")))
+    src = spark.createDataFrame(rows, f"i int, g {secrets.SPAN}, b {secrets.SPAN}")
+    got = {r.i: sorted(map(tuple, r.o)) for r in src.select("i", secrets.outside(src["g"], src["b"]).alias("o")).collect()}
+    for i, g, b in rows:
+        assert got[i] == sorted(s for s in g if not any(s[1] < e and a < s[2] for _, a, e, _ in b))
+
+
 def test_empty(spark):
     assert secrets.digest(secrets.scan(docs(spark, []))).count() == 0
