@@ -82,4 +82,4 @@ QUERIES = {
     "op13_spelling": op13_spelling,
 }
 #: Queries whose rows SQL can't express are compared with brute force by their tests.
-ORACLE: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op4_language_model": language_model.SQL, "op5_decontamination": decontaminate.SQL, "op7_ngram_join": ngram_join.SQL, "op11_vector_forest": vector_forest.SQL, "op12_filter_audit": filter_audit.SQL, "op13_spelling": spelling.SQL}
+ORACLE: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op3_secrets": secrets.SQL, "op4_language_model": language_model.SQL, "op5_decontamination": decontaminate.SQL, "op7_ngram_join": ngram_join.SQL, "op11_vector_forest": vector_forest.SQL, "op12_filter_audit": filter_audit.SQL, "op13_spelling": spelling.SQL}

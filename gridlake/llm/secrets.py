@@ -188,3 +188,40 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
     cols = [F.col("__t").alias(c) if c == text else F.when(changed, F.length("__t").cast(kinds[c])).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return out.select(*cols)
 
+
+
+def _sql() -> str:
+    """The digest of a scan of ``documents`` with its default parameters."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = [(0, "assign", ASSIGN, 2, 8), (1, "access", ACCESS, 0, 16), (2, "hex", HEX, 0, 32), (3, "live", GENERIC, 0, 20)]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, owner, {n} AS kind, '{k}' AS name, {least} AS least, generate_subscripts(regexp_extract_all(t, {quoted(p)}, 0), 1) AS pos, "
+        f"unnest(string_split_regex(t, {quoted(p)})[:-2]) AS gap, unnest(regexp_extract_all(t, {quoted(p)}, 0)) AS hit, unnest(regexp_extract_all(t, {quoted(p)}, {g})) AS value FROM d"
+        for n, k, p, g, least in kinds
+    )
+    return f"""
+WITH d AS (SELECT doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS stop FROM found),
+spans AS (
+  SELECT doc_id, owner, kind, name, value, CAST(stop - length(hit) AS BIGINT) AS a, CAST(stop AS BIGINT) AS b FROM placed
+  WHERE length(value) >= least AND (kind < 3 OR (regexp_matches(value, '[0-9][^0-9]*[0-9][^0-9]*[0-9]') AND regexp_matches(value, '[A-Za-z]')))),
+every AS (
+  SELECT * FROM spans WHERE kind < 3
+  UNION ALL SELECT * FROM spans g WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = g.doc_id AND b.kind < 3 AND g.a < b.b AND b.a < g.b)),
+held AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners, count(DISTINCT doc_id) AS repos FROM every GROUP BY value),
+judged AS (SELECT e.*, owners >= 3 OR repos >= 12 AS example, owners FROM every e JOIN held USING (value)),
+kept AS (SELECT *, name || ':' || a || ':' || b AS s FROM judged WHERE kind < 3 OR (owners = 1 AND NOT example)),
+per AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY a, kind) AS spans,
+    count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example
+  FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
+#: Keys are those of ``documents``, one row each.
+SQL = _sql()
