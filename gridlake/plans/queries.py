@@ -56,7 +56,7 @@ _INDEX_SQL = {
     "NDSI": _CLIP.format(_ND.format(a="nir", b="midir")),
     "NDBAI": _CLIP.format(_ND.format(a="midir", b="farir")),
     "NBRI": _CLIP.format(_ND.format(a="farir", b="nir")),
-    "NDII": _CLIP.format("(farir - midir + green) / nullif(farir + midir + green, 0)"),
+    "NDII": _CLIP.format("(farir - midir + {v}) / nullif(farir + midir + {v}, 0)".format(v=_CLIP.format(_ND.format(a="red", b="nir")))),
     "NDVI": _CLIP.format(_ND.format(a="red", b="nir")),
     "RENDVI": _CLIP.format(_ND.format(a="rededge", b="nir")),
     "ONDVI": "atan((nir - red) / nullif(nir + red, 0)) * 4 / pi()",
@@ -78,11 +78,10 @@ _INDEX_SQL = {
 
 
 def _index_query(name: str) -> Query:
-    bands = ["green" if b == "ndvi" else b for b in indices.INDICES[name].bands]
-
     def run(spark, sf_dir):
         m = t.reflectances(spark, sf_dir)
-        return m.select("vec_id", _r(indices.index(name, *map(F.col, bands), in_no_data=None)).alias("value"))
+        m = m.withColumn("ndvi", indices.index("NDVI", F.col("red"), F.col("nir"), in_no_data=None))
+        return m.select("vec_id", _r(indices.index(name, *map(F.col, indices.INDICES[name].bands), in_no_data=None)).alias("value"))
 
     return run
 
