@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b in doubles, null where b is 0."""
-    a, b = a.cast("double"), b.cast("double")
-    return F.when(b != 0, a / F.when(b != 0, b))
+    return F.try_divide(a.cast("double"), b.cast("double"))
 
 
 def finite(x: Column) -> Column:
@@ -24,13 +23,15 @@ def filled(x: Column, no_data: float) -> Column:
 
 
 def clamp(x: Column, low: float | None, high: float | None) -> Column:
-    """x inside [low, high]; null stays null."""
+    """x inside [low, high]; null stays null, NaN becomes ``high``.
+
+    ``x`` is named as seldom as can be: expressions nest, and each name of it is a copy in the generated code."""
     out = x
     if low is not None:
-        out = F.when(out < low, F.lit(float(low))).otherwise(out)
+        out = F.greatest(out, F.lit(float(low)))
     if high is not None:
-        out = F.when(out > high, F.lit(float(high))).otherwise(out)
-    return out
+        out = F.least(out, F.lit(float(high)))
+    return out if out is x else F.when(x.isNotNull(), out)
 
 
 def stretch(x: Column, source: tuple[float, float], target: tuple[float, float]) -> Column:
