@@ -131,14 +131,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
     with h half the lesser length, an edit leaves the first h letters or the other half's number of last letters as
     they are. So each word stands in twelve buckets, those of few letters and common bands are no larger for it, and
     adaptive execution splits what is still large. Masks are compared within a bucket, then letters; pairs found in
-    several buckets count once."""
+    several buckets count once. Joins here are merged, for a broadcast would pass all words through the driver."""
     w = words.select("word", "n", F.char_length("word").alias("size"), F.expr(_PARITY).alias("parity"))
     w = w.withColumn("least", F.explode(F.array(F.col("size"), F.col("size") - 1)))
     half = F.floor(F.col("least") / 2).cast("int")
     sides = [F.substring("word", F.lit(1), half), F.substring("word", F.col("size") - F.col("least") + half + 1, F.col("least") - half)]
     keys = [F.xxhash64(F.lit(k), F.col("parity").bitwiseAND(F.lit(band)), "least", F.lit(side), part) for k, band in enumerate(BANDS) for side, part in enumerate(sides)]
     held = w.select(F.explode(F.array(*keys)).alias("bucket"), "word", "n", "size", "parity")
-    x, y = held.alias("x"), held.alias("y")
+    x, y = held.alias("x"), held.alias("y").hint("merge")
     edit = f"CASE WHEN greatest(x.size, y.size) <= {TABLED} THEN levenshtein(x.word, y.word, 1) = 1 ELSE {_SAME_REST} END"
     near = f"bit_count(x.parity ^ y.parity) <= 2 - abs(x.size - y.size) AND abs(x.size - y.size) <= 1 AND x.word < y.word AND {edit}"
     met = x.join(y, F.expr(f"x.bucket = y.bucket AND {near}"))
@@ -151,7 +151,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = materialise(forms.select("word", F.col("form").alias("root")))
     while True:
         on = at.select(F.col("word").alias("via"), F.col("root").alias("further"))
-        new = materialise(at.join(on, at["root"] == on["via"], "left").select("word", F.coalesce("further", "root").alias("root"), F.col("via").isNotNull().alias("moved")))
+        new = materialise(at.join(on.hint("merge"), at["root"] == on["via"], "left").select("word", F.coalesce("further", "root").alias("root"), F.col("via").isNotNull().alias("moved")))
         at = new.select("word", "root")
         if not new.where("moved").limit(1).count():
             return at
@@ -167,10 +167,10 @@ def variants(words: DataFrame, times: int = 5) -> DataFrame:
     both = pairs.select(F.col("a").alias("of"), F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("near")).alias("x")).unionByName(pairs.select(F.col("b").alias("of"), F.struct((-F.col("a_n")).alias("less"), F.col("a").alias("near")).alias("x")))
     best = both.groupBy("of").agg(F.count(F.lit(1)).alias("n_near"), F.min("x").alias("x"))
     taken = -F.col("x.less") >= times * F.col("n")
-    out = words.join(best, words["word"] == best["of"], "left")
+    out = words.join(best.hint("merge"), words["word"] == best["of"], "left")
     out = materialise(out.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(taken, F.col("x.near")).alias("form"), F.when(taken, -F.col("x.less")).alias("form_n")))
     last = roots(out.where("form is not null")).withColumnRenamed("word", "of")
-    return out.join(last, out["word"] == last["of"], "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(last.hint("merge"), out["word"] == last["of"], "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 _FROM = "".join(map(chr, range(0xC0, 0x100)))

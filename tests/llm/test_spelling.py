@@ -103,3 +103,14 @@ def test_checksums():
     codes, at = (v.ravel() for v in np.meshgrid(range(len(words)), range(len(before))))
     got = spelling._checksums(words, codes, np.array([zlib.crc32(b) for b in before], np.uint32)[at])
     assert got.tolist() == [zlib.crc32(before[j] + words[i]) for i, j in zip(codes, at)]
+
+
+def test_no_join_passes_the_words_through_the_driver(spark, tmp_path):
+    """At Spark's own threshold words of some 10 MB were broadcast, more than a small driver holds."""
+    words = spark.createDataFrame([("letter", 50), ("leter", 5), ("lettter", 6), ("planets", 9)], "word string, n long")
+    words.write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    for df in (spelling.near_pairs(words), spelling.variants(words)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
