@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.model import Extent
+from gridlake.sources.scratch import written
 
 RING = "array<struct<x:double,y:double>>"
+BUNDLE = 256  # rows of equal shape that stand in one array, on average at most
+WORK = 1 << 24  # pairs that meet in one task, on average at most
 
 
 def area(ring: Column) -> Column:
@@ -54,24 +57,51 @@ def within_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt(F.pow(x1 - x2, F.lit(2.0)) + F.pow(y1 - y2, F.lit(2.0)))
 
 
+def _bundled(df: DataFrame, by: list[str], rows: Column, name: str) -> DataFrame:
+    """``by``, ``name`` (an array of ``rows``, each as ``v``, for arrays take no null) and ``name_id``: rows of equal ``by``, in bundles of about ``BUNDLE``."""
+    df = df.select(*by, F.struct(rows.alias("v")).alias(name), F.monotonically_increasing_id().alias("__id"))
+    many = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__held")).where(F.col("__held") > BUNDLE)
+    bundle = F.coalesce(F.pmod(F.xxhash64("__id"), F.ceil(F.col("__held") / BUNDLE)), F.lit(0)).alias("__bundle")
+    out = df.join(many, by, "left").groupBy(*by, bundle).agg(F.collect_list(name).alias(name))
+    return written(out.drop("__bundle").withColumn(f"{name}_id", F.monotonically_increasing_id()))
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
+    """The join of bundles ``a`` and ``b`` on ``on``. Where more than ``WORK`` pairs of rows share a value of it, the
+    left bundles are dealt into parts, each of which meets all right ones; tasks are as many as the pairs ask for."""
+    p, q = (df.groupBy(*on).agg(F.sum(F.size(c)).cast("double").alias(f"__{c}"), F.count(F.lit(1)).alias(f"__{c}_n")) for df, c in ((left, a), (right, b)))
+    work = written(p.join(q, on).withColumn("__work", F.col(f"__{a}") * F.col(f"__{b}")))
+    tasks = math.ceil((work.agg(F.sum("__work")).first()[0] or 0) / WORK)
+    tasks = min(1 << 15, max(tasks, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    large = work.where(F.col("__work") > WORK).select(*on, F.least(F.ceil(F.col("__work") / WORK), F.col(f"__{a}_n")).cast("int").alias("__parts"))
+    dealt = lambda df: df.join(large, on, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    one = dealt(left).withColumn("__part", F.pmod(F.xxhash64(f"{a}_id"), "__parts").cast("int")).drop("__parts")
+    all_ = dealt(right).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return one.repartition(tasks, *on, "__part").join(all_.repartition(tasks, *on, "__part").hint("merge"), [*on, "__part"])
+
+
 def points_in(points: DataFrame, polygons: DataFrame, key: str, cell: float, x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:
     """Points with the key of each polygon that holds them.
 
     Polygons are listed under the few square cells that their boxes touch, of size ``cell`` or of the power of two
     times it that is as large as the box, so a large polygon is no long list; points look in their cell of each size
-    that some polygon has. The join is on cells; boxes are compared before the ray decides. Polygons without corners
-    and points without coordinates are in none."""
-    b = polygons.select(F.col(key), F.col(ring).alias("__ring"), bounds(F.col(ring)).alias("__b")).where("__b.left is not null")
+    that some polygon has. The join is on cells; boxes are compared before the ray decides. Equal points and equal
+    rings go in bundles, for which the ray decides once, and cells of many pairs are shared by several tasks. Polygons
+    without corners and points without coordinates are in none."""
+    b = polygons.select(F.col(key).alias("__key"), F.col(ring).alias("__ring")).where(bounds(F.col("__ring"))["left"].isNotNull())
+    b = _bundled(b, ["__ring"], F.col("__key"), "__keys").withColumn("__b", bounds(F.col("__ring")))
     wide = F.greatest(F.col("__b.right") - F.col("__b.left"), F.col("__b.top") - F.col("__b.bottom")) / cell
     b = b.withColumn("__level", F.when(wide > 1, F.ceil(F.log2(F.when(wide > 1, wide)))).otherwise(0).cast("int"))
     levels = sorted(r[0] for r in b.select("__level").distinct().collect())
     size = F.pow(F.lit(2.0), F.col("__level")) * cell
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
     b = b.withColumn("__ci", F.explode(span("__b.left", "__b.right"))).withColumn("__cj", F.explode(span("__b.bottom", "__b.top")))
-    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    p = p.withColumns({"__ci": F.floor(F.col(x) / size), "__cj": F.floor(F.col(y) / size)})
-    near = F.col(x).between(F.col("__b.left"), F.col("__b.right")) & F.col(y).between(F.col("__b.bottom"), F.col("__b.top"))
-    return p.join(b, ["__level", "__ci", "__cj"]).where(near).where(inside(F.col("__ring"), F.col(x), F.col(y))).drop("__level", "__ci", "__cj", "__ring", "__b")
+    p = points.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.struct(*points.columns).alias("__row")).where("__x is not null and __y is not null")
+    p = _bundled(p, ["__x", "__y"], F.col("__row"), "__rows").withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    p = p.withColumns({"__ci": F.floor(F.col("__x") / size), "__cj": F.floor(F.col("__y") / size)})
+    near = F.col("__x").between(F.col("__b.left"), F.col("__b.right")) & F.col("__y").between(F.col("__b.bottom"), F.col("__b.top"))
+    met = _met(p, b, ["__level", "__ci", "__cj"], "__rows", "__keys").where(near).where(inside(F.col("__ring"), F.col("__x"), F.col("__y")))
+    return met.select(F.explode("__rows.v").alias("__row"), "__keys").select("__row.*", F.explode("__keys.v").alias(key))
 
 
 def boxes_overlap(left: DataFrame, right: DataFrame, key: str, other: str, cell: float) -> DataFrame:

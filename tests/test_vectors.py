@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridlake.model import Extent
 from gridlake.operators import focal, vector
@@ -104,3 +105,21 @@ def test_gathered_statistics(name, size):
         else:
             want = float(c == 0 or (c < 1.4 and bool(others) and max(others) < 1.4))
         assert got[i, j] == pytest.approx(want), (i, j)
+
+
+def test_copies_meet_in_bundles_shared_by_tasks(spark, monkeypatch):
+    """Copies of points and boxes beyond a bundle, cells of more pairs than a task takes, null keys: nothing is lost,
+    and the ray decides once for a bundle."""
+    monkeypatch.setattr(vector, "BUNDLE", 4)
+    monkeypatch.setattr(vector, "WORK", 50)
+    rng = np.random.default_rng(8)
+    spots = [(float(k), *map(float, rng.uniform(0, 12, 2))) for k in range(6)]
+    points = [(100 * k + n, x, y) for k, (_, x, y) in enumerate(spots) for n in range(11)]
+    corners = [(0, 0), (5, 0), (5, 5), (0, 5)]
+    rings = [(k if k else None, np.array(corners) + 3.0 * (k % 3)) for k in range(20)]
+    polygons = table(spark, rings)
+    p = spark.createDataFrame(points, "p long, x double, y double")
+    found = vector.points_in(p, polygons, "k", 4.0)
+    got = sorted((r.p, r.k or 0) for r in found.collect())
+    assert found.columns == ["p", "x", "y", "k"]
+    assert got == sorted((n, k or 0) for n, x, y in points for k, r in rings if holds(r, x, y))
