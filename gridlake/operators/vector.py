@@ -107,17 +107,20 @@ def points_in(points: DataFrame, polygons: DataFrame, key: str, cell: float, x:
 def boxes_overlap(left: DataFrame, right: DataFrame, key: str, other: str, cell: float) -> DataFrame:
     """(key, other) of boxes that share area; ``left`` and ``right``: (key, left, top, right, bottom).
 
-    A pair is reported in the one cell that holds the overlap's lower left corner, so nothing needs to be made distinct."""
+    A pair is reported in the one cell that holds the overlap's lower left corner, so nothing needs to be made distinct.
+    Equal boxes go in bundles that are compared once, and cells of many pairs are shared by several tasks."""
 
     def dealt(df, k, p):
-        d = df.select(F.col(k).alias(f"{p}k"), *(F.col(c).cast("double").alias(p + c) for c in ("left", "top", "right", "bottom")))
+        sides = [p + c for c in ("left", "top", "right", "bottom")]
+        d = df.select(F.col(k).alias(f"{p}k"), *(F.col(c[len(p) :]).cast("double").alias(c) for c in sides)).where(F.forall(F.array(*sides), lambda c: c.isNotNull()))
+        d = _bundled(d, sides, F.col(f"{p}k"), f"{p}keys")
         d = d.withColumn("ci", F.explode(F.sequence(F.floor(F.col(p + "left") / cell), F.floor(F.col(p + "right") / cell))))
         return d.withColumn("cj", F.explode(F.sequence(F.floor(F.col(p + "bottom") / cell), F.floor(F.col(p + "top") / cell))))
 
-    j = dealt(left, key, "a").join(dealt(right, other, "b"), ["ci", "cj"])
+    j = _met(dealt(left, key, "a"), dealt(right, other, "b"), ["ci", "cj"], "akeys", "bkeys")
     shared = (F.col("aleft") < F.col("bright")) & (F.col("bleft") < F.col("aright")) & (F.col("abottom") < F.col("btop")) & (F.col("bbottom") < F.col("atop"))
     home = (F.col("ci") == F.floor(F.greatest("aleft", "bleft") / cell)) & (F.col("cj") == F.floor(F.greatest("abottom", "bbottom") / cell))
-    return j.where(shared & home).select(F.col("ak").alias(key), F.col("bk").alias(other))
+    return j.where(shared & home).select(F.explode("akeys.v").alias(key), "bkeys").select(key, F.explode("bkeys.v").alias(other))
 
 
 def intersecting(left: DataFrame, right: DataFrame, key: str, cell: float) -> DataFrame:

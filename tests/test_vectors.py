@@ -123,3 +123,9 @@ def test_copies_meet_in_bundles_shared_by_tasks(spark, monkeypatch):
     got = sorted((r.p, r.k or 0) for r in found.collect())
     assert found.columns == ["p", "x", "y", "k"]
     assert got == sorted((n, k or 0) for n, x, y in points for k, r in rings if holds(r, x, y))
+    boxes = polygons.select("k", vector.bounds(F.col("ring")).alias("e")).select("k", "e.*")
+    found = vector.boxes_overlap(boxes.withColumnRenamed("k", "a"), boxes.withColumnRenamed("k", "b"), "a", "b", 4.0)
+    got = sorted((r.a or 0, r.b or 0) for r in found.collect())
+    over = lambda r, s: (r.min(0) < s.max(0)).all() and (s.min(0) < r.max(0)).all()
+    assert got == sorted((k or 0, n or 0) for k, r in rings for n, s in rings if over(r, s))
+    assert found.rdd.getNumPartitions() > 4  # as many tasks as the pairs ask for, not one
