@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.model import Extent
+from gridlake.sources.scratch import written
+
+CROWD = 64  # targets of a cell above which cells are divided further
+DEEPEST = 20  # divisions of a cell of size ``radius``, each into 16
+
 
 
 def order(key: str, seed: int = 1) -> Column:
@@ -89,43 +96,71 @@ def class_weights(df: DataFrame, label: str, how: str = "percent") -> DataFrame:
 def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
     """(key, target key, distance) of the nearest target of each point, however far; of several the least key.
 
-    Targets are hashed to square cells of size ``radius``, those to cells four times as large, and so on up to one that
-    holds all. Each point descends: of the cells below its own it keeps those whose nearest edge is no farther than the
-    farthest corner of some cell, which holds a target. So it meets only targets of a few cells, no pair is made of all
-    points and targets, and nothing ends the search before the nearest is found. Points and targets without
-    coordinates are left out; without targets there are no rows."""
+    Points and targets without coordinates are left out; without targets there are no rows. See ``_near``."""
+    d = F.sqrt(F.pow(F.col("__x") - F.col("__tx"), F.lit(2.0)) + F.pow(F.col("__y") - F.col("__ty"), F.lit(2.0)))
+    best = _near(points, targets, key, target_key, radius, x, y).groupBy("__k").agg(F.min(F.struct(d.alias("d"), F.col("__t").alias("t"))).alias("m"))
+    return best.select(F.col("__k").alias(key), F.col("m.t").alias(target_key), F.col("m.d").alias("distance"))
+
+
+def _near(points: DataFrame, targets: DataFrame, key: str, target_key: str, radius: float, x: str, y: str) -> DataFrame:
+    """(__k, __x, __y, __t, __tx, __ty): each point with some targets, the nearest among them.
+
+    Targets of equal coordinates are one, of the least key. They are hashed to square cells of size ``radius``, or of a
+    quarter of it and so on until no cell holds more than ``CROWD``; those to cells four times as large, and so on up to
+    one that holds all. Each point descends: of the cells below its own it keeps those whose nearest edge is no farther
+    than the farthest corner of some cell, which holds a target. So it meets only targets of a few cells, however many
+    there are within ``radius``, and nothing ends the search before the nearest is found."""
     p = points.select(F.col(key).alias("__k"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__x is not null and __y is not null")
     t = targets.select(F.col(target_key).alias("__t"), F.col(x).cast("double").alias("__tx"), F.col(y).cast("double").alias("__ty")).where("__tx is not null and __ty is not null")
+    t = written(t.groupBy("__tx", "__ty").agg(F.min("__t").alias("__t")))
     edge = t.agg(F.min("__tx").alias("x"), F.min("__ty").alias("y"), F.max("__tx").alias("xx"), F.max("__ty").alias("yy")).first()
     if edge.x is None:
-        return p.join(t, F.lit(False)).select(F.col("__k").alias(key), F.col("__t").alias(target_key), F.lit(0.0).alias("distance"))
+        return p.join(t, F.lit(False))
+    for _ in range(DEEPEST):
+        cell = [F.floor((F.col(c) - low) / radius) for c, low in (("__tx", edge.x), ("__ty", edge.y))]
+        if t.groupBy(*cell).count().agg(F.max("count")).first()[0] <= CROWD:
+            break
+        radius /= 4
     t = t.withColumns({"a": F.floor((F.col("__tx") - edge.x) / radius), "b": F.floor((F.col("__ty") - edge.y) / radius)})
     last, top = max(int((edge.xx - edge.x) // radius), int((edge.yy - edge.y) // radius)), 0
     while last >> (2 * top):
         top += 1
-    at = p.withColumn("c", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))))
+    at = p.withColumns({"a": F.lit(0).cast("bigint"), "b": F.lit(0).cast("bigint")})
+    kind = dict(p.dtypes)["__k"]
+    up = lambda c, by: F.shiftright(c, 2 * by)
     for level in range(top - 1, -1, -1):
-        size = radius * 4**level
-        up = lambda c, by: F.shiftright(c, 2 * by)
         below = t.select(up("a", level).alias("a"), up("b", level).alias("b")).distinct()
         below = below.groupBy(up("a", 1).alias("pa"), up("b", 1).alias("pb")).agg(F.collect_list(F.struct("a", "b")).alias("below"))
-        at = at.select("__k", "__x", "__y", F.explode("c").alias("c")).join(below, (F.col("c.a") == F.col("pa")) & (F.col("c.b") == F.col("pb")))
-        at = at.groupBy("__k", "__x", "__y").agg(F.flatten(F.collect_list("below")).alias("c"))
-
-        def bounds(c, size=size):
-            out = []
-            for v, start, cell in (("__x", edge.x, c["a"]), ("__y", edge.y, c["b"])):
-                low = F.lit(start) + cell * size - F.col(v)
-                high = low + size
-                out.append((F.greatest(low, -high, F.lit(0.0)), F.greatest(F.abs(low), F.abs(high))))
-            return [F.sqrt(out[0][n] * out[0][n] + out[1][n] * out[1][n]) for n in (0, 1)]
-
-        at = at.withColumn("__far", F.array_min(F.transform("c", lambda c: bounds(c)[1])))
-        at = at.select("__k", "__x", "__y", F.filter("c", lambda c: bounds(c)[0] <= F.col("__far") * (1 + 1e-9) + 1e-9 * radius).alias("c"))
-    near = at.select("__k", "__x", "__y", F.explode("c").alias("c")).join(t, (F.col("c.a") == F.col("a")) & (F.col("c.b") == F.col("b")))
-    d = F.sqrt(F.pow(F.col("__x") - F.col("__tx"), F.lit(2.0)) + F.pow(F.col("__y") - F.col("__ty"), F.lit(2.0)))
-    best = near.groupBy("__k").agg(F.min(F.struct(d.alias("d"), F.col("__t").alias("t"))).alias("m"))
-    return best.select(F.col("__k").alias(key), F.col("m.t").alias(target_key), F.col("m.d").alias("distance"))
+        below = below.select("pa", "pb", F.col("below.a").alias("na"), F.col("below.b").alias("nb"))
+        if top - level <= 3:  # 256 rows or fewer, and most points of few cells, which a join by cell would lay into few tasks
+            below = F.broadcast(below)
+        at = at.join(below, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")))
+        at = at.groupBy("__k", "__x", "__y").agg(F.flatten(F.collect_list("na")).alias("a"), F.flatten(F.collect_list("nb")).alias("b"))
+        at = at.mapInArrow(_closest(edge.x, edge.y, radius * 4**level, 1e-9 * radius), f"__k {kind}, __x double, __y double, a bigint, b bigint")
+    return at.join(t, ["a", "b"]).select("__k", "__x", "__y", "__t", "__tx", "__ty")
+
+
+def _closest(left: float, low: float, size: float, slack: float):
+    """Of each point's cells (arrays ``a`` and ``b``) those whose nearest edge is no farther than some farthest corner."""
+
+    def run(batches):
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            n = rows.column("a").value_lengths().to_numpy()
+            row = np.repeat(np.arange(rows.num_rows), n)
+            near, far, cells = np.zeros(len(row)), np.zeros(len(row)), []
+            for point, start, c in (("__x", left, "a"), ("__y", low, "b")):
+                cells.append(rows.column(c).flatten())
+                d = start + cells[-1].to_numpy() * size - rows.column(point).to_numpy()[row]
+                near += np.maximum(np.maximum(d, -(d + size)), 0) ** 2
+                far += np.maximum(np.abs(d), np.abs(d + size)) ** 2
+            most = np.sqrt(np.minimum.reduceat(far, np.cumsum(n) - n))
+            kept = np.flatnonzero(~(np.sqrt(near) > (most * (1 + 1e-9) + slack)[row]))  # NaN stays
+            points = rows.select(["__k", "__x", "__y"]).take(pa.array(row[kept]))
+            yield pa.RecordBatch.from_arrays([*points.columns, *(c.take(pa.array(kept)) for c in cells)], ["__k", "__x", "__y", "a", "b"])
+
+    return run
 
 
 def distance_weights(near: DataFrame) -> DataFrame:

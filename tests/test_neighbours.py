@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gridlake.operators import neighbours
+from gridlake.operators import neighbours, sampling
 
 
 def table(spark, x, y=None):
@@ -68,3 +68,18 @@ def test_cases(spark):
     assert {(r.id, r.y) for r in neighbours.propagated(df, "id", "y", ["a"], 2).collect()} == {(1, 3), (2, 3), (3, -1), (4, -1)}
     assert neighbours.propagated(df.limit(0), "id", "y", ["a"]).count() == 0
     assert {r.y for r in neighbours.propagated(df.where("y = -1"), "id", "y", ["a"]).collect()} == {-1}
+
+
+def test_nearest_of_many_targets_within_the_radius(spark):
+    """A radius that holds all targets: points meet few of them, and the nearest of the least key among equals."""
+    rng = np.random.default_rng(6)
+    t, p = np.round(rng.uniform(0, 50, (3000, 2)), 1), rng.uniform(-20, 70, (400, 2))
+    t[:300] = t[300:600]  # equal places
+    t[600:900] = 10 + t[600:900] / 1000  # and many in a narrow one
+    frame = lambda v: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(v)], "k long, x double, y double")
+    targets = frame(t).withColumnRenamed("k", "t")
+    d = np.sqrt(((p[:, None] - t[None]) ** 2).sum(2))
+    got = {r.k: (r.t, r.distance) for r in sampling.nearest(frame(p), targets, "k", "t", 2000.0).collect()}
+    assert {k: v[0] for k, v in got.items()} == dict(enumerate(d.argmin(1).tolist()))
+    assert np.allclose([got[k][1] for k in range(400)], d.min(1))
+    assert sampling._near(frame(p), targets, "k", "t", 2000.0, "x", "y").count() < 400 * 300  # of 400 * 3000 pairs
