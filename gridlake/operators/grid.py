@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +91,10 @@ def resample(pixels: DataFrame, source: Extent, target: Extent, value: str, how:
     return cells.join(pixels.select("i", "j", value), ["i", "j"]).select(F.col("ti").alias("i"), F.col("tj").alias("j"), value)
 
 
-def _taps(f: Column, how: str) -> list[tuple[int, Column]]:
+TILE = 256  # target cells of a tile, or the source cells under it, on each side
+
+
+def _taps(f, how: str) -> list:
     """(step, weight) of the cells that an inner position takes part of, ``f`` past the first one's centre."""
     if how == "bilinear":
         return [(0, 1 - f), (1, f)]
@@ -103,22 +108,55 @@ def warp(pixels: DataFrame, source: Extent, target: Extent, value: str, how: str
     source cells around each target cell's centre.
 
     Cells that are missing, null or ``no_data`` take no part and the other weights are scaled to add up to 1; a target
-    cell is left out where its centre is outside the source, or what is left weighs nothing or less. Target cells send
-    their taps to source cells, an equi-join, and add up what they get; both sides are dealt out by cell."""
+    cell is left out where its centre is outside the source, or what is left weighs nothing or less. Source cells are
+    sent once to each tile of target cells that they take part in, with those around it, and weighted there."""
     if how not in ("bilinear", "cubic"):
         raise ValueError(f"no kernel {how!r}")
     rows, columns = target.shape
-    cells = pixels.sparkSession.range(rows * columns).select(F.floor(F.col("id") / columns).alias("ti"), (F.col("id") % columns).alias("tj"))
-    x, y = target.x(F.col("tj")), target.y(F.col("ti"))
-    u, v = (x - source.left) / source.width - 0.5, (F.lit(source.top) - y) / source.height - 0.5
-    cells = cells.where(source.holds(x, y)).select("ti", "tj", F.floor(u).alias("j"), F.floor(v).alias("i"), (u - F.floor(u)).alias("fu"), (v - F.floor(v)).alias("fv"))
-    sent = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (wa * wb).alias("w")) for a, wa in _taps(F.col("fv"), how) for b, wb in _taps(F.col("fu"), how)))
-    sent = cells.select("ti", "tj", "i", "j", F.explode(sent).alias("t")).where("t.w <> 0").select("ti", "tj", (F.col("i") + F.col("t.a")).alias("i"), (F.col("j") + F.col("t.b")).alias("j"), F.col("t.w").alias("w"))
+    reach = 1 if how == "bilinear" else 2
+    tile = {"i": max(1, min(TILE, int(TILE * source.height / target.height))), "j": max(1, min(TILE, int(TILE * source.width / target.width)))}
+    v0, dv = (source.top - target.top) / source.height - 0.5, target.height / source.height
+    u0, du = (target.left - source.left) / source.width - 0.5, target.width / source.width
+
+    def tiles(c, start, step, size, cells):
+        first, last = F.ceil((F.col(c) - reach - start) / step - 0.5 - 1e-6), F.floor((F.col(c) + reach - start) / step - 0.5 + 1e-6)
+        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(cells - 1))
+        return F.explode(F.when(first <= last, F.sequence(F.floor(first / size), F.floor(last / size))).otherwise(F.array().cast("array<bigint>")))
+
     good = F.col(value).isNotNull() if no_data is None else F.col(value) != no_data
-    got = sent.join(pixels.where(good).select("i", "j", F.col(value).cast("double").alias("v")), ["i", "j"])
-    total = F.sum("w")
-    got = got.groupBy("ti", "tj").agg(F.sum(F.col("w") * F.col("v")).alias("s"), total.alias("w")).where("w > 1e-9")
-    return got.select(F.col("ti").alias("i"), F.col("tj").alias("j"), (F.col("s") / F.col("w")).alias(value))
+    sent = pixels.where(good).select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col(value).cast("double").alias("v"))
+    sent = sent.withColumn("ti", tiles("i", v0, dv, tile["i"], rows)).withColumn("tj", tiles("j", u0, du, tile["j"], columns))
+
+    def axis(first, size, cells, low, step, start, width, sign, edges):
+        """The target cells of a tile whose centres are inside, their first source cells and the weights of the taps."""
+        t = np.arange(first, min(first + size, cells))
+        at = low + sign * (t + 0.5) * step
+        t, at = t[(at > edges[0]) & (at < edges[1])], at[(at > edges[0]) & (at < edges[1])]
+        p = sign * (at - start) / width - 0.5
+        base = np.floor(p)
+        return t, base.astype(np.int64), _taps(p - base, how)
+
+    def run(key, pdf):
+        ti, vi, wi = axis(int(key[0]) * tile["i"], tile["i"], rows, target.top, target.height, source.top, source.height, -1, (source.bottom, source.top))
+        tj, vj, wj = axis(int(key[1]) * tile["j"], tile["j"], columns, target.left, target.width, source.left, source.width, 1, (source.left, source.right))
+        if not len(ti) or not len(tj):
+            return pd.DataFrame({"i": [], "j": [], value: []})
+        i0, j0 = vi[0] - 1, vj[0] - 1
+        total, count = (np.zeros((vi[-1] - i0 + 3, vj[-1] - j0 + 3)) for _ in range(2))
+        i, j = pdf.i.to_numpy() - i0, pdf.j.to_numpy() - j0
+        held = (i >= 0) & (j >= 0) & (i < total.shape[0]) & (j < total.shape[1])
+        np.add.at(total, (i[held], j[held]), pdf.v.to_numpy()[held])
+        np.add.at(count, (i[held], j[held]), 1)
+        s, w = np.zeros((len(ti), len(tj))), np.zeros((len(ti), len(tj)))
+        for a, wa in wi:
+            for b, wb in wj:
+                at, weight = np.ix_(vi + a - i0, vj + b - j0), wa[:, None] * wb
+                s += np.where(weight != 0, weight * total[at], 0)
+                w += weight * count[at]
+        x, y = np.nonzero(w > 1e-9)
+        return pd.DataFrame({"i": ti[x], "j": tj[y], value: s[x, y] / w[x, y]})
+
+    return sent.groupBy("ti", "tj").applyInPandas(run, f"i bigint, j bigint, `{value}` double")
 
 
 def translate(pixels: DataFrame, value: str, i: int, j: int, rows: int, columns: int, scale: tuple[float, float, float, float] | None = None, kind: str = "double") -> DataFrame:

@@ -187,3 +187,18 @@ def test_objects_of_masks(spark):
             assert x.fragments == pytest.approx((len(over) - 1) / (own.sum() - 1) if own.sum() > 1 else 0)
             seen += 1
     assert seen == len(got) > 5
+
+
+def test_warp_sends_source_cells_not_taps(spark, monkeypatch):
+    """Over small tiles as over one; the plan has no join of sixteen taps for each target cell."""
+    from gridlake.model import Extent
+    from gridlake.operators import grid
+
+    a = np.random.default_rng(2).normal(size=(9, 11))
+    source, target = Extent(0.0, 9.0, 11.0, 0.0), Extent(-0.6, 9.4, 11.4, -0.2, 0.6, 0.8)
+    made = lambda: grid.warp(table(spark, a, {(4, 4)}), source, target, "v", "cubic")
+    whole = {(r.i, r.j): r.v for r in made().collect()}
+    monkeypatch.setattr(grid, "TILE", 3)
+    cut = made()
+    assert {(r.i, r.j): r.v for r in cut.collect()} == pytest.approx(whole) and len(whole) > 150
+    assert "Join" not in cut._jdf.queryExecution().executedPlan().toString()
