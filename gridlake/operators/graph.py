@@ -27,13 +27,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return at
 
 
-def positions(chain: DataFrame, node: str = "id", after: str = "after", ring: str = "ring") -> DataFrame:
-    """(node, position) along rings, from 0 at each ring's smallest node.
+def positions(chain: DataFrame, node: str = "id", after: str = "after", ring: str = "ring", size: str | None = None) -> DataFrame:
+    """(node, position) along rings, from 0 at each ring's smallest node; ``size`` names the steps that a node takes, else 1.
 
     ``chain`` has each node once, with the node that follows and its ring's smallest node. Every round adds what lies
-    ahead of the node reached so far, twice as many steps as the round before."""
+    ahead of the node reached so far, twice as many nodes as the round before."""
     left = F.when(F.col(after) != F.col(ring), F.col(after))
-    at = written(chain.select(F.col(node).alias("node"), left.alias("next"), left.isNotNull().cast("bigint").alias("steps"), F.col(ring).alias("ring")))
+    steps = (F.col(size) if size else F.lit(1)).cast("bigint")
+    at = written(chain.select(F.col(node).alias("node"), left.alias("next"), steps.alias("steps"), F.col(ring).alias("ring")))
     while at.where("next is not null").limit(1).count():
         on = at.select(F.col("node").alias("via"), F.col("next").alias("further"), F.col("steps").alias("more"))
         at = written(at.join(on, at["next"] == on["via"], "left").select("node", F.col("further").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), "ring"))

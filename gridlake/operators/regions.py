@@ -72,14 +72,34 @@ _SIDES = (
 )
 
 
+def _chains(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, place) of each node: the node that its chain begins with, and how many come before it.
+
+    ``after`` is the node that follows, the node itself where none does. A closed chain begins with its least node."""
+    at = np.arange(len(after))
+    least, far = at, after
+    for _ in range(max(len(after) - 1, 1).bit_length()):
+        least, far = np.minimum(least, least[far]), far[far]
+    after = np.where((after[far] != far) & (after == least[after]), at, after)
+    far, ahead = after, (after != at).astype(np.int64)
+    while (far[far] != far).any():
+        ahead, far = ahead + ahead[far], far[far]
+    begins = np.ones(len(after), bool)
+    begins[after[after != at]] = False
+    first = np.zeros(len(after), np.int64)
+    first[far[begins]] = at[begins]
+    return first[far], ahead[first[far]] - ahead
+
+
 def outlines(labelled: DataFrame, region: str = "region", tile: int = TILE) -> DataFrame:
     """(region, ring, position, row, column): the corners of each region's rings, in order and clockwise in map view for
     outer rings, the other way for holes, one for each cell side.
 
     Every side between a region and what isn't of it is an edge. Which edge follows is known from the cells around its
     end: an outline keeps to its cell, else goes on to the next, so where two cells of a region touch by a corner only,
-    rings touch but don't cross. Rings are the components of edges and positions come by doubling, so that no ring is
-    gathered in one place. ``ring`` is its least edge number."""
+    rings touch but don't cross. Each tile follows its edges to where they leave it: rings within a tile are done there,
+    of the others only whole arcs, one for each passage of a seam, become components whose positions come by doubling,
+    so that no ring is gathered in one place. ``ring`` is its least edge number, at which positions begin."""
     near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile)))
     sent = labelled.select("i", "j", F.col(region).alias("r")).withColumn("ti", near("i")).withColumn("tj", near("j"))
 
@@ -97,20 +117,53 @@ def outlines(labelled: DataFrame, region: str = "region", tile: int = TILE) -> D
             left = straight & (a[x + oi, y + oj] == of)
             ti, tj = np.where(left, oi, np.where(straight, si, 0)), np.where(left, oj, np.where(straight, sj, 0))
             turn = np.where(left, (side + 3) % 4, np.where(straight, side, (side + 1) % 4))
-            parts.append(pd.DataFrame({"region": of, "id": cell_number(x + i0, y + j0) * 4 + side, "after": cell_number(x + ti + i0, y + tj + j0) * 4 + turn, "row": x + i0 + ci, "column": y + j0 + cj}))
-        return pd.concat(parts)
-
-    edges = graph.written(sent.groupBy("ti", "tj").applyInPandas(run, "region bigint, id bigint, after bigint, row bigint, column bigint"))
-    ring = graph.components(edges, "id", "after")
-    edges = edges.join(ring, edges["id"] == ring["node"]).select("region", "id", "after", "row", "column", F.col("root").alias("ring"))
-    at = graph.positions(edges)
-    return edges.join(at, edges["id"] == at["node"]).select("region", "ring", "position", "row", "column")
+            inside = (x + ti >= 1) & (x + ti <= tile) & (y + tj >= 1) & (y + tj <= tile)
+            parts.append(pd.DataFrame({"region": of, "id": cell_number(x + i0, y + j0) * 4 + side, "after": cell_number(x + ti + i0, y + tj + j0) * 4 + turn, "inside": inside, "row": x + i0 + ci, "column": y + j0 + cj}))
+        e = pd.concat(parts).sort_values("id")
+        number, after, inside = e.id.to_numpy(), e.after.to_numpy(), e.inside.to_numpy()
+        first, place = _chains(np.where(inside, np.searchsorted(number, after), np.arange(len(e))) if len(e) else np.zeros(0, np.int64))
+        out = pd.DataFrame({"region": e.region, "row": e.row, "column": e.column, "arc": number[first], "place": place, "open": False, "after": 0, "size": 0, "least": 0, "turn": 0})
+        ends, size = np.flatnonzero(~inside), np.bincount(first, minlength=len(e))
+        least = np.full(len(e), len(e))
+        np.minimum.at(least, first, np.arange(len(e)))
+        head = first[ends]
+        leaves = np.zeros(len(e), bool)
+        leaves[head] = True
+        out["open"] = leaves[first]
+        for c, v in (("after", after[ends]), ("size", size[head]), ("least", number[least[head]]), ("turn", place[least[head]])):
+            x = np.zeros(len(e), np.int64)
+            x[head] = v
+            out[c] = x
+        return out
+
+    made = graph.written(sent.groupBy("ti", "tj").applyInPandas(run, "region bigint, row bigint, column bigint, arc bigint, place bigint, open boolean, after bigint, size bigint, least bigint, turn bigint"))
+    arcs = made.where("size > 0").select("arc", "after", "size", "least", "turn")
+    loop = graph.components(arcs, "arc", "after")
+    arcs = graph.written(arcs.join(loop, arcs["arc"] == loop["node"]).drop("node"))
+    start = graph.positions(arcs, "arc", "after", "root", "size")
+    arcs = graph.written(arcs.join(start, arcs["arc"] == start["node"]).select("arc", "root", "size", "position", F.struct("least", (F.col("position") + F.col("turn")).alias("turn")).alias("first")))
+    whole = arcs.groupBy("root").agg(F.min("first").alias("begin"), F.sum("size").alias("corners"))
+    arcs = arcs.join(whole, "root").select("arc", F.col("begin.least").alias("ring"), (F.col("position") - F.col("begin.turn")).alias("start"), "corners")
+    within = made.where("not open").select("region", F.col("arc").alias("ring"), F.col("place").alias("position"), "row", "column")
+    return within.unionByName(made.where("open").join(arcs, "arc").select("region", "ring", F.pmod(F.col("start") + F.col("place"), F.col("corners")).alias("position"), "row", "column"))
+
+
+RUN = 4096  # corners of a ring that a window takes at once
 
 
 def ring_areas(rings: DataFrame) -> DataFrame:
     """(region, ring, area, corners) of outlines: cells inside, below 0 for holes; sums over corners, in no order.
 
-    The area is the integral of columns over rows along the ring, whose steps go from each corner to the next."""
-    nxt: Column = F.lead("row").over(Window.partitionBy("ring").orderBy("position"))
-    first = F.first("row").over(Window.partitionBy("ring").orderBy("position"))
-    return rings.withColumn("step", F.coalesce(nxt, first) - F.col("row")).groupBy("region", "ring").agg(F.sum(F.col("column") * F.col("step")).alias("area"), F.count(F.lit(1)).alias("corners"))
+    The area is the integral of columns over rows along the ring, whose steps go from each corner to the next: within
+    runs of ``RUN`` corners first, then from each run's last to the next one's first."""
+    step = F.lead("row").over(Window.partitionBy("ring", "run").orderBy("position")) - F.col("row")
+    runs = rings.withColumn("run", F.floor(F.col("position") / RUN)).withColumn("step", step).groupBy("region", "ring", "run").agg(
+        F.sum(F.col("column") * F.col("step")).alias("area"),
+        F.count(F.lit(1)).alias("corners"),
+        F.min_by("row", "position").alias("first"),
+        F.max_by("row", "position").alias("row"),
+        F.max_by("column", "position").alias("column"),
+    )
+    w = Window.partitionBy("ring").orderBy("run")
+    on: Column = F.coalesce(F.lead("first").over(w), F.first("first").over(w)) - F.col("row")
+    return runs.withColumn("step", on).groupBy("region", "ring").agg(F.sum(F.coalesce("area", F.lit(0)) + F.col("column") * F.col("step")).alias("area"), F.sum("corners").alias("corners"))

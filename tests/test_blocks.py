@@ -103,6 +103,24 @@ def test_regions_and_outlines(spark, a, tile):
     assert sum(map(len, by.values())) == sum(want[i, j] != (want[p, q] if 0 <= p < a.shape[0] and 0 <= q < a.shape[1] else -1) for i, j in np.ndindex(a.shape) if not np.isnan(want[i, j]) for p, q in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)))
 
 
+def test_outlines_send_arcs_not_edges(spark, monkeypatch):
+    """Rings within a tile take no part in rounds of joins, of others the passages of seams; areas come in short runs."""
+    sent = []
+    plain = graph.components
+    monkeypatch.setattr(graph, "components", lambda edges, *names: sent.append(edges.count()) or plain(edges, *names))
+    a = np.random.default_rng(5).integers(0, 3, (40, 40))
+    labelled = graph.written(regions.regions(table(spark, a), "v", 16))
+    sent.clear()
+    rings = graph.written(regions.outlines(labelled, tile=16))
+    seams = sum((a[k - 1 : k + 1] == a[k - 1 : k]).sum() for k in (16, 32)) + sum((a[:, k - 1 : k + 1] == a[:, k - 1 : k]).sum() for k in (16, 32))
+    assert len(sent) == 1 and 0 < sent[0] <= 4 * seams and sent[0] < rings.count() / 5
+    one = graph.written(regions.outlines(labelled, tile=64))
+    assert sent[1] == 0 and sorted(one.collect()) == sorted(rings.collect())
+    whole = sorted(regions.ring_areas(rings).collect())
+    monkeypatch.setattr(regions, "RUN", 3)
+    assert sorted(regions.ring_areas(rings).collect()) == whole
+
+
 def test_no_regions(spark):
     none = table(spark, np.zeros((0, 0)))
     assert regions.regions(none, "v").count() == 0 and regions.outlines(regions.regions(none, "v")).count() == 0
