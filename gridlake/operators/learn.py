@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlake.operators.forest import Forest
 from gridlake.operators.neighbours import propagated  # noqa: F401  one of the learners
 from gridlake.operators.sampling import order, split
 from gridlake.sources.scratch import written
@@ -23,7 +24,7 @@ TREES, DEPTH, LEAF, RATE = 100, 25, 5, 0.1
 
 
 def _forest(**how):
-    return C.RandomForestClassifier(numTrees=how.get("trees", TREES), maxDepth=min(30, how.get("depth", DEPTH)), minInstancesPerNode=how.get("leaf", LEAF), seed=how.get("seed", 1))
+    return Forest(how.get("trees", TREES), how.get("depth", DEPTH), how.get("leaf", LEAF), how.get("seed", 1))
 
 
 def _boosted(**how):

@@ -91,3 +91,35 @@ def test_calibrated_bayes(spark):
     _, y, _ = rows(spark)
     assert len(got) == sum((y == c).sum() - (y == c).sum() // 2 for c in np.unique(y)) and {r.prediction for r in got} <= set(y.tolist())
     assert abs(np.mean([r.share for r in got]) - np.mean([r.prediction == r.label for r in got])) < 0.1
+
+
+def _learnt(spark, n, seed):
+    """Four labels by two of three features, a tenth of them wrong."""
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, 3))
+    y = np.where(rng.random(n) < 0.1, rng.integers(0, 4, n), (x[:, 0] > 0.4) * 2 + (x[:, 1] > x[:, 0]))
+    return spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(n)], "id long, a double, b double, c double, label double")
+
+
+@pytest.mark.parametrize("group", [1 << 16, 200], ids=["in tasks", "by counts"])
+def test_forest_stays_in_tables(spark, monkeypatch, group):
+    """As good as MLlib's, whose trees the driver holds, whether tasks grow trees whole or only below divided nodes."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from gridlake.operators import forest, learn
+
+    monkeypatch.setattr(forest, "GROUP", group)
+    monkeypatch.setattr(forest, "SCORED", 300)
+    train, test, names = _learnt(spark, 1500, 1), _learnt(spark, 700, 2), ["a", "b", "c"]
+    m = learn.estimator("rf", "label", names, trees=20).fit(train)
+    assert isinstance(m.stages[-1], forest.ForestModel) and (len(m.stages[-1].top[0]) > 0) == (group == 200)
+    got = m.transform(test).collect()
+    share = np.array([r.probability.toArray() for r in got])
+    assert sorted(r.id for r in got) == list(range(700)) and np.allclose(share.sum(1), 1) and [r.prediction for r in got] == share.argmax(1).tolist()
+    v = VectorAssembler(inputCols=names, outputCol="features")
+    plain = RandomForestClassifier(numTrees=20, maxDepth=25, minInstancesPerNode=5, labelCol="label").fit(v.transform(train)).transform(v.transform(test)).collect()
+    right = [np.mean([r.prediction == r.label for r in rows]) for rows in (got, plain)]
+    assert right[0] > right[1] - 0.03 and right[0] > 0.8
+    rank = m.stages[-1].featureImportances.toArray()
+    assert rank.argmin() == 2 and rank.sum() == pytest.approx(1)
